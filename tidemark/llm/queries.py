@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, line_dedup, mixing, pieces, pii, quality, simhash, toxicity, url_filter
+from . import bwt_dedup, iblt, line_dedup, mixing, pieces, pii, quality, simhash, toxicity, url_filter
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -47,7 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-_ALL = (op1_toxicity, op2_sentencepiece, op3_quality_rules, op5_url_filter, op6_fingerprints, op7_pii, op8_mixing, op9_line_dedup, op10_simhash)
+_ALL = (op1_toxicity, op2_sentencepiece, op3_quality_rules, op4_suffix_array_dedup, op5_url_filter, op6_fingerprints, op7_pii, op8_mixing, op9_line_dedup, op10_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
