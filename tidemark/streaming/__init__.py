@@ -1,0 +1 @@
+"""Stream forms of operators that need no look-ahead."""
