@@ -68,13 +68,16 @@ def edit_within(a: Column, b: Column, t: int) -> Column:
     full, top = (1 << _W) - 1, 1 << (_W - 1)
     na, nb = F.length(a), F.length(b)
 
-    def step(s: Column, j: Column) -> Column:
-        """State after character j (0-based) of b."""
-        c = F.substring(b, j + 1, 1)
+    def run(chars: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), nb - 1), first, lambda s, j: F.when(s["d"] > 2 * t + nb - na, s).otherwise(step(chars, s, j)), lambda s: s["d"])
+
+    def step(chars: Column, s: Column, j: Column) -> Column:
+        """State after character j (0-based) of b; a distance that can't come back to t stays as it is."""
+        c = F.get(chars["b"], j)
         match = F.lit(0).cast("long")
         for k in range(2 * t + 1):
             at = j + t - k  # 0-based row of a at bit top - k
-            match = match + F.when((at >= 0) & (at < na) & (F.substring(a, at + 1, 1) == c), F.lit(1 << (_W - 1 - k)).cast("long")).otherwise(F.lit(0).cast("long"))
+            match = match + F.when((at >= 0) & (at < na) & (F.get(chars["a"], at) == c), F.lit(1 << (_W - 1 - k)).cast("long")).otherwise(F.lit(0).cast("long"))
 
         def rest(x: Column) -> Column:
             vp, vn = s["vp"], s["vn"]
@@ -100,7 +103,7 @@ def edit_within(a: Column, b: Column, t: int) -> Column:
 
     vp = (full << (_W - t - 1)) & full
     first = F.struct(F.lit(vp).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(t).cast("int").alias("d"))
-    dist = F.aggregate(F.sequence(F.lit(0), nb - 1), first, step, lambda s: s["d"])
+    dist = let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
     return F.when(F.abs(na - nb) > t, F.lit(False)).when(F.least(na, nb) <= t, F.levenshtein(a, b) <= t).otherwise(dist <= t)
 
 
@@ -118,6 +121,26 @@ def _prefix(a: Column, b: Column) -> Column:
     return F.aggregate(steps, lo_hi, lambda s, i: F.when(s["lo"] < s["hi"], half(s, i)).otherwise(s), lambda s: s["lo"])
 
 
+def near(x: Column, y: Column, t: int) -> Column:
+    """`edit_within` of what is left without the equal ends, which cost no edit.
+
+    All is one expression: a filter that Spark pushes down computes every part once.
+    """
+
+    def ends(s: Column, n: Column) -> Column:
+        return F.struct(*[F.substring(s[c], n + 1, F.length(s[c])).alias(c) for c in "xy"])
+
+    def turned(s: Column) -> Column:
+        return F.struct(*[F.reverse(s[c]).alias(c) for c in "xy"])
+
+    def trim(s: Column) -> Column:
+        return let(_prefix(s["x"], s["y"]), lambda n: ends(s, n))
+
+    pair = F.struct(x.alias("x"), y.alias("y"))
+    middle = let(let(let(pair, trim), turned), trim)  # reversed, which leaves the distance as it is
+    return let(middle, lambda m: edit_within(m["x"], m["y"], t))
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     flat = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(F.length("line") >= min_chars)
     return flat.withColumn("n", F.length("line")).withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line"))
@@ -136,12 +159,9 @@ def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     texts = cut(line.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # what is equal at both ends costs no edit
-    head = both.withColumn("p", _prefix(F.col("x"), F.col("y")))
-    body = head.select("a", "b", F.expr("substring(x, p + 1)").alias("x"), F.expr("substring(y, p + 1)").alias("y"))
-    tail = body.withColumn("q", _prefix(F.reverse("x"), F.reverse("y")))
-    mid = tail.select("a", "b", F.expr("left(x, length(x) - q)").alias("x"), F.expr("left(y, length(y) - q)").alias("y"))
-    return mid.where(edit_within(F.col("x"), F.col("y"), t)).select("a", "b")
+    # few rows, much work in each
+    both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.where(near(F.col("x"), F.col("y"), t)).select("a", "b")
 
 
 def removals(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
