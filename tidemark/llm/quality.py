@@ -50,19 +50,22 @@ def metrics(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = let(
-        words(F.col("text")),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _repeat_words(w).alias("n_repeat_words"),
+        let(
+            words(F.col("text")),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                _repeat_words(w).alias("n_repeat_words"),
+            ),
         ),
+        # in the same expression, so that a filter on it computes the counts once
+        lambda c: F.struct(c.alias("m"), ((c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])).alias("base_failed")),
     )
     symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     # one nested column, unpacked in the next step, so that nothing is computed twice
     packed = docs.select(*keep, F.struct(counts.alias("c"), symbols.cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines")).alias("_m"))
-    out = packed.select(*keep, "_m.c.n_words", "_m.c.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.c.n_repeat_words")
-    return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    return packed.select(*keep, "_m.c.m.n_words", "_m.c.m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.c.m.n_repeat_words", "_m.c.base_failed")
 
 
 def rule_failures() -> dict[str, Column]:
