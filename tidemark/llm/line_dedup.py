@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import bounded_broadcast, cut, let
 from .components import components
 
 MIN_CHARS, THRESHOLD = 20, 1
@@ -156,7 +156,9 @@ def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
     found = keyed.withColumnRenamed("h", "b").join(mine, "key").where("a < b or (a > b and not own)")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    # one long a row: broadcast up to a counted limit, so that the texts of all lines needn't be shuffled
+    wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    wanted = bounded_broadcast(wanted, wanted.count(), 1_000_000)
     texts = cut(line.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     # few rows, much work in each
