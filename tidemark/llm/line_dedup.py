@@ -190,7 +190,8 @@ def _kept(text: Column, drop: Column) -> Column:
 def drop_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without repeated lines; other columns unchanged, n_chars (if there) counted anew."""
     gone = cut(removals(docs, t, min_chars)).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_drop"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").withColumn("text", _kept(F.col("text"), F.col("_drop")))
+    # as many rows as there are documents with repeats: never broadcast, at no size
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_id"]), "left").withColumn("text", _kept(F.col("text"), F.col("_drop")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*[f"`{c}`" for c in docs.columns])
@@ -199,7 +200,7 @@ def drop_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
 def report(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document: doc_id, n_lines, n_exact, n_near (lines that go), kept_sha256 of what stays."""
     gone = cut(removals(docs, t, min_chars)).select(F.col("doc_id").alias("_id"), "exact", "near")
-    joined = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.select("doc_id", "text").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     text = F.coalesce(_kept(F.col("text"), F.concat("exact", "near")), F.lit(""))
     return joined.select(
         "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
