@@ -178,6 +178,23 @@ def test_edit_distance(spark, t):
         assert r.ok == (_distance(r.a, r.b) <= t), (r.a, r.b)
 
 
+@pytest.mark.parametrize("t", [1, 2])
+def test_line_pairs_of_crowded_segments(spark, t):
+    import random
+
+    rng, lines = random.Random(5), {"the same long first half of all lines, " * 2 + "x" * k for k in range(6)}
+    for _ in range(60):
+        x = "the same long first half of all lines " + "".join(rng.choice("ab") for _ in range(8)) + " and an end"
+        k = rng.randint(0, len(x) - 1)
+        lines |= {x, x[:k] + rng.choice(["", "z", x[k] + "y"]) + x[k + 1 :]}
+    df = spark.createDataFrame([(i, f"{x}\n{x}") for i, x in enumerate(sorted(lines))], "doc_id long, text string")
+    hashes = {r.h: r.line for r in line_dedup._lines(df, 20).collect()}
+    want = {frozenset((a, b)) for a in lines for b in lines if a < b and abs(len(a) - len(b)) <= t and _distance(a, b) <= t}
+    for most in (20, 10_000):
+        got = [frozenset((hashes[r.a], hashes[r.b])) for r in line_dedup.near_pairs(df, t, 20, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("t", [1, 2])
 def test_line_dedup(spark, odd, empty, t):
     import random

@@ -5,7 +5,8 @@ lines within `THRESHOLD` edits are found by the pigeonhole principle: a line is
 threshold + 1 segments, at least one of which survives in any line within the threshold, near its
 place. Segments index a line under (its length, segment number, text); a probe looks up, for each
 length it may match, the substrings at the shifts that can still agree (multi-match-aware). Candidates
-are verified with a banded bit-parallel edit distance. The first line (by doc_id, line number) of
+are verified with a banded bit-parallel edit distance. Segments that very many lines share are refined
+by the segments of what the lines hold besides (see `candidates`). The first line (by doc_id, line number) of
 each connected group stays, the others go.
 
 Nulls and odd inputs: a null text has no lines and stays null; short and blank lines always stay; a
@@ -22,6 +23,8 @@ from .common import bounded_broadcast, cut, let
 from .components import components
 
 MIN_CHARS, THRESHOLD = 20, 1
+#: Distinct lines indexed under one segment that are compared as they are; a segment with more is refined.
+MOST = 128
 #: Bits of the word that holds the band; sums of two words stay within a long.
 _W = 48
 
@@ -37,26 +40,28 @@ def segments(length: Column, t: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _key(length: Column, k: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(k), text)
+def _spot(under: Column, length: Column, k: int, line: Column, at: Column, size: Column) -> Column:
+    """The substring at `at` as segment k of a line of that length: its key, place and size."""
+    return F.struct(F.xxhash64(under, length, F.lit(k), F.substring(line, at, size)).alias("key"), at.cast("int").alias("at"), size.alias("size"))
 
 
-def index_keys(line: Column, length: Column, t: int) -> Column:
-    """The keys under which a line is indexed; they are its probes for equal shift and length too."""
-    return F.array(*[_key(length, k, F.substring(line, at, size)) for k, (at, size) in enumerate(segments(length, t))])
+def index_spots(line: Column, length: Column, t: int, under: Column) -> Column:
+    """The segments under which a line is indexed; they are its probes for equal shift and length too."""
+    return F.array(*[_spot(under, length, k, line, at, size) for k, (at, size) in enumerate(segments(length, t))])
 
 
-def probe_keys(line: Column, length: Column, t: int) -> Column:
-    """Keys of the indexed lines (not longer than this one) that this line must be compared with."""
-    keys = []
+def probe_spots(line: Column, length: Column, t: int, under: Column) -> Column:
+    """Substrings for the indexed lines (not longer than this one) that this line must be compared with."""
+    spots = []
     for less in range(t + 1):
         other = length - less
         for k, (at, size) in enumerate(segments(other, t)):
             lo, hi = max(-k, less - (t - k)), min(k, less + (t - k))
             for shift in range(lo, hi + 1):
                 if less or shift:
-                    keys.append(F.when(at + shift + size - 1 <= length, _key(other, k, F.substring(line, at + shift, size))))
-    return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<bigint>")
+                    fits = (other >= 0) & (at + shift >= 1) & (at + shift + size - 1 <= length)
+                    spots.append(F.when(fits, _spot(under, other, k, line, at + shift, size)))
+    return F.array_compact(F.array(*spots)) if spots else F.array().cast("array<struct<key:bigint,at:int,size:int>>")
 
 
 def edit_within(a: Column, b: Column, t: int) -> Column:
@@ -146,16 +151,50 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return flat.withColumn("n", F.length("line")).withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line"))
 
 
-def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def _spots(rests: DataFrame, t: int) -> DataFrame:
+    """(h, rest, own, key, at, size): index and probe substrings of `rest`; only an own line is indexed."""
+    n, under = F.length("rest"), F.col("under")
+    arr = F.array(
+        F.struct(F.col("own").alias("own"), index_spots(F.col("rest"), n, t, under).alias("spots")),
+        F.struct(F.lit(False).alias("own"), probe_spots(F.col("rest"), n, t, under).alias("spots")),
+    )
+    each = rests.select("h", "rest", F.explode(arr).alias("_k")).select("h", "rest", "_k.own", F.explode("_k.spots").alias("_s"))
+    return each.select("h", "rest", "own", "_s.key", "_s.at", "_s.size")
+
+
+def candidates(line: DataFrame, t: int = THRESHOLD, most: int = MOST) -> DataFrame:
+    """Pairs (a, b) of distinct lines, by hash, that share a segment, and all that are within t edits.
+
+    A segment that more than `most` distinct lines are indexed under isn't compared as it stands: with
+    it cut out, lines within t edits leave rests within t edits, so its lines go on under the segments
+    of their rests, until no segment is crowded or at most t characters are left.
+    """
+    found: DataFrame | None = None
+    rows = _spots(line.select("h", F.col("line").alias("rest"), F.lit(0).cast("long").alias("under"), F.lit(True).alias("own")), t)
+    while True:
+        left = F.length("rest") - F.col("size")
+        owners = rows.where(F.col("own") & (left > t)).select("key", "h").distinct()
+        crowded = cut(owners.groupBy("key").count().where(F.col("count") > most).select("key"))
+        n = crowded.count()
+        hot = bounded_broadcast(crowded, n)
+        fit = rows.join(hot, "key", "left_anti") if n else rows
+        keyed = fit.groupBy("key", "h").agg(F.max("own").alias("own"))
+        mine = keyed.where("own").select("key", F.col("h").alias("a"))
+        # probes for equal length are the index keys themselves: those pairs come up twice, once is enough
+        both = keyed.withColumnRenamed("h", "b").join(mine, "key").where("a < b or (a > b and not own)")
+        pairs = cut(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = pairs if found is None else cut(found.union(pairs).distinct())
+        if not n:
+            return found
+        rest = F.concat(F.expr("substring(rest, 1, at - 1)"), F.expr("substring(rest, at + size)"))
+        inside = rows.join(hot, "key", "left_semi").select("h", rest.alias("rest"), F.col("key").alias("under"), "own")
+        rows = _spots(cut(inside.distinct()), t)
+
+
+def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, most: int = MOST) -> DataFrame:
     """Pairs (a, b) of distinct lines, by hash, within t edits of each other."""
     line = _lines(docs, min_chars)
-    arr = F.array(F.struct(F.lit(True).alias("own"), index_keys(F.col("line"), F.col("n"), t).alias("keys")), F.struct(F.lit(False).alias("own"), probe_keys(F.col("line"), F.col("n"), t).alias("keys")))
-    keyed = line.select("h", F.explode(arr).alias("_k")).select("h", "_k.own", F.explode("_k.keys").alias("key")).groupBy("key", "h").agg(F.max("own").alias("own"))
-    mine = keyed.where("own").select("key", F.col("h").alias("a"))
-    # probes for equal length are the index keys themselves: those pairs come up twice, once is enough
-    found = keyed.withColumnRenamed("h", "b").join(mine, "key").where("a < b or (a > b and not own)")
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs)
+    pairs = candidates(line, t, most)
     # one long a row: broadcast up to a counted limit, so that the texts of all lines needn't be shuffled
     wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     wanted = bounded_broadcast(wanted, wanted.count(), 1_000_000)
