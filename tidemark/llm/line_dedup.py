@@ -40,28 +40,28 @@ def segments(length: Column, t: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _spot(under: Column, length: Column, k: int, line: Column, at: Column, size: Column) -> Column:
-    """The substring at `at` as segment k of a line of that length: its key, place and size."""
-    return F.struct(F.xxhash64(under, length, F.lit(k), F.substring(line, at, size)).alias("key"), at.cast("int").alias("at"), size.alias("size"))
+def spots(n: Column, t: int) -> list[tuple[int, Column, Column, Column]]:
+    """(segment, length of the indexed line, start, size) of the substrings that a line of n characters looks up.
 
-
-def index_spots(line: Column, length: Column, t: int, under: Column) -> Column:
-    """The segments under which a line is indexed; they are its probes for equal shift and length too."""
-    return F.array(*[_spot(under, length, k, line, at, size) for k, (at, size) in enumerate(segments(length, t))])
-
-
-def probe_spots(line: Column, length: Column, t: int, under: Column) -> Column:
-    """Substrings for the indexed lines (not longer than this one) that this line must be compared with."""
-    spots = []
+    The first t + 1 are its own segments, under which it is indexed and which serve as its probes for
+    equal shift and length; the others are probes for lines that aren't longer.
+    """
+    own = [(k, n, at, size) for k, (at, size) in enumerate(segments(n, t))]
+    more = []
     for less in range(t + 1):
-        other = length - less
-        for k, (at, size) in enumerate(segments(other, t)):
+        for k, (at, size) in enumerate(segments(n - less, t)):
             lo, hi = max(-k, less - (t - k)), min(k, less + (t - k))
-            for shift in range(lo, hi + 1):
-                if less or shift:
-                    fits = (other >= 0) & (at + shift >= 1) & (at + shift + size - 1 <= length)
-                    spots.append(F.when(fits, _spot(under, other, k, line, at + shift, size)))
-    return F.array_compact(F.array(*spots)) if spots else F.array().cast("array<struct<key:bigint,at:int,size:int>>")
+            more += [(k, n - less, at + shift, size) for shift in range(lo, hi + 1) if less or shift]
+    return own + more
+
+
+def spot_keys(line: Column, n: Column, t: int, under: Column) -> Column:
+    """The keys of `spots`, in that order; null where there is no such substring."""
+    keys = []
+    for i, (k, other, at, size) in enumerate(spots(n, t)):
+        key = F.xxhash64(under, other, F.lit(k), F.substring(line, at, size))
+        keys.append(key if i <= t else F.when((other >= 0) & (at >= 1) & (at + size - 1 <= n), key))
+    return F.array(*keys)
 
 
 def edit_within(a: Column, b: Column, t: int) -> Column:
@@ -151,15 +151,11 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return flat.withColumn("n", F.length("line")).withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line"))
 
 
-def _spots(rests: DataFrame, t: int) -> DataFrame:
-    """(h, rest, own, key, at, size): index and probe substrings of `rest`; only an own line is indexed."""
-    n, under = F.length("rest"), F.col("under")
-    arr = F.array(
-        F.struct(F.col("own").alias("own"), index_spots(F.col("rest"), n, t, under).alias("spots")),
-        F.struct(F.lit(False).alias("own"), probe_spots(F.col("rest"), n, t, under).alias("spots")),
-    )
-    each = rests.select("h", "rest", F.explode(arr).alias("_k")).select("h", "rest", "_k.own", F.explode("_k.spots").alias("_s"))
-    return each.select("h", "rest", "own", "_s.key", "_s.at", "_s.size")
+def _looked_up(rests: DataFrame, t: int) -> DataFrame:
+    """(h, rest, n, own, p, key): a row for each of the spots of `rest`, p its number; only an own line is indexed."""
+    keys = spot_keys(F.col("rest"), F.col("n"), t, F.col("under"))
+    each = rests.withColumn("n", F.length("rest")).select("h", "rest", "n", F.col("own").alias("_own"), F.posexplode(keys).alias("p", "key"))
+    return each.where("key is not null").select("h", "rest", "n", (F.col("_own") & (F.col("p") <= t)).alias("own"), "p", "key")
 
 
 def candidates(line: DataFrame, t: int = THRESHOLD, most: int = MOST) -> DataFrame:
@@ -170,9 +166,9 @@ def candidates(line: DataFrame, t: int = THRESHOLD, most: int = MOST) -> DataFra
     of their rests, until no segment is crowded or at most t characters are left.
     """
     found: DataFrame | None = None
-    rows = _spots(line.select("h", F.col("line").alias("rest"), F.lit(0).cast("long").alias("under"), F.lit(True).alias("own")), t)
+    rows = _looked_up(line.select("h", F.col("line").alias("rest"), F.lit(0).cast("long").alias("under"), F.lit(True).alias("own")), t)
     while True:
-        left = F.length("rest") - F.col("size")
+        left = F.col("n") - F.floor(F.col("n") / (t + 1)) - 1  # at least, once the segment is cut out
         owners = rows.where(F.col("own") & (left > t)).select("key", "h").distinct()
         crowded = cut(owners.groupBy("key").count().where(F.col("count") > most).select("key"))
         n = crowded.count()
@@ -186,9 +182,11 @@ def candidates(line: DataFrame, t: int = THRESHOLD, most: int = MOST) -> DataFra
         found = pairs if found is None else cut(found.union(pairs).distinct())
         if not n:
             return found
-        rest = F.concat(F.expr("substring(rest, 1, at - 1)"), F.expr("substring(rest, at + size)"))
+        each = spots(F.col("n"), t)
+        at, size = (F.get(F.array(*[x[i].cast("int") for x in each]), F.col("p")) for i in (2, 3))
+        rest = F.concat(F.substring("rest", F.lit(1), at - 1), F.substring("rest", at + size, F.col("n")))
         inside = rows.join(hot, "key", "left_semi").select("h", rest.alias("rest"), F.col("key").alias("under"), "own")
-        rows = _spots(cut(inside.distinct()), t)
+        rows = _looked_up(cut(inside.distinct()), t)
 
 
 def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, most: int = MOST) -> DataFrame:
