@@ -125,3 +125,38 @@ def keep(docs: DataFrame) -> DataFrame:
     fine = metrics(docs.select("text", "source", whole), "source", "_doc").where("not base_failed")
     out = fine.join(bounded_broadcast(bad, bad.count()), F.col("source").eqNullSafe(F.col("_h")), "left_anti")
     return out.select("_doc.*")
+
+
+def oracle_sql() -> str:
+    """SQL with the rows of `judge`."""
+    rates = ", ".join(f"(f_{r} + k_{r} * mu_{r}) / (n_docs + k_{r}) AS rate_{r}" for r in HOST_LIMITS)
+    totals = ", ".join(f"sum(f_{r}) / sum(n_docs)::DOUBLE AS mu_{r}, var_pop(f_{r} / n_docs::DOUBLE) AS v_{r}" for r in HOST_LIMITS)
+    strengths = ", ".join(f"CASE WHEN v_{r} > 0 THEN least(1000.0, greatest(1.0, mu_{r} * (1 - mu_{r}) / v_{r} - 1)) ELSE 1000.0 END::DOUBLE AS k_{r}" for r in HOST_LIMITS)
+    rejected = " OR ".join(f"rate_{r} > {limit}" for r, limit in HOST_LIMITS.items())
+    nexts = ", ".join(f"lead(word, {k}) OVER p" for k in range(1, 8))
+    return f"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents),
+u AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT rid, i, lead(i, 7) OVER p AS last, concat_ws(' ', word, {nexts}) AS gram FROM u WINDOW p AS (PARTITION BY rid ORDER BY i)),
+d AS (SELECT rid, i FROM g WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+r AS (SELECT rid, sum(least(8, gap)) AS n FROM (SELECT rid, i - lag(i, 1, -8) OVER (PARTITION BY rid ORDER BY i) AS gap FROM d) GROUP BY rid),
+c AS (SELECT rid, sum(length(word)) AS n FROM u GROUP BY rid),
+m AS (
+  SELECT doc_id, source, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN c USING (rid) LEFT JOIN r USING (rid)),
+f AS (
+  SELECT source, count(*) AS n_docs, count(*) FILTER (n_words < 20) AS f_short,
+    count(*) FILTER (100 * n_repeat_words > 30 * n_words) AS f_repeat, count(*) FILTER (10 * n_symbols > word_chars) AS f_symbols,
+    count(*) FILTER (n_dup_lines > 0.3::DOUBLE * n_words / 10 + 3) AS f_dup_lines
+  FROM m GROUP BY source),
+prior AS (SELECT *, {strengths} FROM (SELECT {totals} FROM f)),
+h AS (SELECT source, {rejected} AS host_rejected FROM (SELECT source, {rates} FROM f, prior)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, host_rejected
+FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source"""
