@@ -49,9 +49,9 @@ def tokens(text: str | None) -> set[str]:
 def patterns(text: str | None) -> list[float]:
     """Shouting, exclamation and second person, each 0 or 1."""
     t = text or ""
-    upper = sum(map(str.isupper, t[:: max(1, len(t) // 2000)]))
+    upper = sum(map(str.isupper, t))
     low = t.lower()
-    return [float(upper > 0.3 * min(len(t), 2000) and bool(t)), float(t.count("!") * 40 > len(t) > 0), float(" you " in low), float(bool(re.search(r"\byou(?:'re| are) (?:an? )?", low)))]
+    return [float(upper > 0.3 * len(t)), float(t.count("!") * 40 > len(t) > 0), float(" you " in low), float(bool(re.search(r"\byou(?:'re| are) (?:an? )?", low)))]
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
