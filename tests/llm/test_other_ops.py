@@ -96,6 +96,13 @@ def test_pii(spark, odd, empty):
     assert pii.find(odd).count() == odd.count() and pii.find(empty).count() == 0
 
 
+def test_pii_sample(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DOCS", 50)
+    docs = spark.createDataFrame([(i, f"text {max(300, i)} @") for i in range(1000)], KIND)
+    want = sorted(r.h for r in docs.selectExpr("xxhash64(text) AS h").distinct().collect())[:50]
+    assert sorted(r.h for r in pii._sample(docs).collect()) == want
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(2)
     docs = [(i, " ".join(rng.choice(["tree", "river", "stone", "cloud", "idiot" if i % 4 == 0 else "lamp"]) for _ in range(30))) for i in range(400)]
