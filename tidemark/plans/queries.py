@@ -488,6 +488,122 @@ def funnel(spark, d):
     return j.groupBy("c_mktsegment").agg(F.count("o_orderkey").alias("n_orders"), F.count("l_orderkey").alias("n_lines"), F.round(F.percentile(S.hours_between("o_orderdate", "l_shipdate"), 0.5), 6).alias("median_hours"))
 
 
+#: Stand-ins for the columns of a feature table, in expressions that Spark and DuckDB share.
+_LABS = {
+    "last_lactate_6h": "l_tax * 75", "last_inr_12h": "l_discount * 20", "last_aptt_24h": "l_quantity * 1.25", "last_platelets_24h": "l_quantity * 4",
+    "last_bilirubin_12h": "l_discount * 40", "last_creatinine_12h": "l_tax * 50", "last_egfr_12h": "l_quantity * 2", "last_gcs_12h": "CASE WHEN l_returnflag <> 'N' THEN l_quantity END",
+    "Baseline_Platelets": "CASE WHEN l_linenumber > 2 THEN l_linenumber * 100 END", "Baseline_Bilirubin": "CASE WHEN l_linenumber <> 3 THEN l_tax * 20 END",
+    "Baseline_Creatinine": "CASE WHEN l_linenumber > 1 THEN l_discount * 30 END", "Baseline_eGFR": "CASE WHEN l_linenumber < 6 THEN l_linenumber * 25 END",
+    "last_sbp_8h": "l_quantity * 4", "last_map_8h": "CASE WHEN l_returnflag <> 'A' THEN l_quantity * 2 + 20 END", "Baseline_SBP": "CASE WHEN l_linenumber > 3 THEN 110 + l_linenumber * 10 END",
+    "last_vasopressin_24h": "CASE WHEN l_linestatus = 'F' THEN l_discount - 0.05 END", "last_phenylephrine_24h": "CAST(NULL AS DOUBLE)",
+    "last_norepinephrine_24h": "CASE WHEN l_linenumber = 7 THEN l_tax END", "last_epinephrine_24h": "l_tax * 0",
+}
+_LAB = "lab AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f'{e} AS "{n}"' for n, e in _LABS.items()) + " FROM lineitem)"
+
+
+def _lab(spark, d):
+    return _read(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {n}" for n, e in _LABS.items()])
+
+
+@_query(f"""
+WITH {_LAB}, f AS (SELECT l_orderkey, l_linenumber, CASE WHEN last_lactate_6h > 2 THEN 1 ELSE 0 END AS cardiovascular_dysfunction,
+ CASE WHEN last_inr_12h > 1.5 OR last_aptt_24h > 60 OR (last_platelets_24h < 100 AND ("Baseline_Platelets" IS NULL OR (last_platelets_24h < 0.5 * "Baseline_Platelets" AND "Baseline_Platelets" > 100))) THEN 1 ELSE 0 END AS coagulation_dysfunction,
+ CASE WHEN last_bilirubin_12h > 2 AND ("Baseline_Bilirubin" IS NULL OR last_bilirubin_12h > 2 * "Baseline_Bilirubin") THEN 1 ELSE 0 END AS hepatic_dysfunction,
+ CASE WHEN ("Baseline_Creatinine" IS NULL AND last_creatinine_12h > 2) OR last_creatinine_12h > 2 * "Baseline_Creatinine" OR last_egfr_12h < 0.5 * "Baseline_eGFR" THEN 1 ELSE 0 END AS renal_dysfunction,
+ CAST(last_gcs_12h < 15 AS INTEGER) AS neurological_dysfunction FROM lab)
+SELECT *, cardiovascular_dysfunction + coagulation_dysfunction + hepatic_dysfunction + renal_dysfunction + coalesce(neurological_dysfunction, 0) AS organ_dysfunction_total FROM f""")
+def organ_flags(spark, d):
+    return C.organ_dysfunction(_lab(spark, d)).drop(*_LABS)
+
+
+_SHOCK = f"""
+WITH {_LAB}, f AS (SELECT l_orderkey, l_linenumber, CASE WHEN last_sbp_8h < 90 AND "Baseline_SBP" IS NULL THEN 1 WHEN NOT (last_sbp_8h < 90 AND "Baseline_SBP" IS NULL) THEN 0 END AS sbp90_flag,
+ CAST("Baseline_SBP" - last_sbp_8h > 40 AS INTEGER) AS sbpdelta40_flag, CAST(last_map_8h < 65 AS INTEGER) AS map65_flag, CAST(last_lactate_6h > 4 AS INTEGER) AS lactate4_flag,
+ CASE WHEN last_vasopressin_24h > 0 OR last_phenylephrine_24h > 0 OR last_norepinephrine_24h > 0 OR last_epinephrine_24h > 0 THEN 1 ELSE 0 END AS vasopressor_flag FROM lab)
+SELECT *, {{}} AS septic_shock_flag FROM f"""
+_SHOCK_FLAGS = ("sbp90_flag", "sbpdelta40_flag", "map65_flag", "lactate4_flag", "vasopressor_flag")
+
+
+@_query(_SHOCK.format(f"greatest({', '.join(f'coalesce({x}, 0)' for x in _SHOCK_FLAGS)})"))
+def shock_flags(spark, d):
+    return C.septic_shock(_lab(spark, d)).drop(*_LABS)
+
+
+@_query(_SHOCK.format(f"coalesce({' | '.join(_SHOCK_FLAGS)}, 0)"))
+def shock_flags_null_propagating(spark, d):
+    return C.septic_shock(_lab(spark, d), "propagate").drop(*_LABS)
+
+
+_VENT = {
+    "user_id": "user_id", "ts": "ts", "grp": "CASE event_type WHEN 'click' THEN 'Vent On/Off' WHEN 'view' THEN 'PAO2' WHEN 'error' THEN 'FIO2' WHEN 'purchase' THEN 'O2 Delivery' ELSE 'Vent On Documentation' END",
+    "txt": "CASE WHEN event_type = 'click' THEN CASE WHEN value > 40 THEN 'On' ELSE 'Off' END WHEN event_type = 'purchase' THEN CASE WHEN value > 60 THEN 'Ventilator' WHEN value > 20 THEN 'Nasal cannula' ELSE 'Mask' END WHEN event_type = 'signup' AND value > 5 THEN CASE WHEN value > 150 THEN 'Z99.11' WHEN value > 30 THEN 'Standby' ELSE 'PEEP' END END",
+    "num": "value",
+}
+
+
+@_query(f"""
+WITH e AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _VENT.items())} FROM events), x AS (SELECT * FROM e WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM e WHERE txt = 'Z99.11' AND user_id IS NOT NULL)),
+pf AS (SELECT p.user_id, p.ts, p.num / (q.num / 100) AS pf_ratio FROM x p JOIN x q ON p.user_id = q.user_id AND p.grp = 'PAO2' AND q.grp = 'FIO2' AND q.ts > p.ts - INTERVAL 48 HOUR AND q.ts < p.ts + INTERVAL 48 HOUR WHERE q.num > 0),
+j AS (SELECT x.*, pf_ratio FROM x LEFT JOIN pf ON x.user_id = pf.user_id AND x.ts = pf.ts AND x.grp = 'PAO2')
+SELECT user_id, ts, grp, round(pf_ratio, 6) AS pf_ratio, CASE
+ WHEN (grp = 'Vent On/Off' AND txt = 'Off') OR (grp = 'O2 Delivery' AND txt = 'Nasal cannula') OR (grp = 'Vent On Documentation' AND (txt IS NULL OR txt = 'Standby')) OR pf_ratio > 200 THEN 0
+ WHEN (grp = 'Vent On/Off' AND txt = 'On') OR (grp = 'Vent On Documentation' AND txt <> 'Standby') OR (grp = 'O2 Delivery' AND txt = 'Ventilator') OR pf_ratio < 200 THEN 1 END AS pulmonary_dysfunction_flag FROM j""")
+def pulmonary_flags(spark, d):
+    e = _read(spark, d, "events").selectExpr(*[f"{x} AS {n}" for n, x in _VENT.items()])
+    p = C.pulmonary(e, C.Columns(key="user_id", ts="ts", group="grp", text="txt", number="num"), C.Ventilation(pf_hours=48))
+    return p.select("user_id", "ts", "grp", F.round("pf_ratio", 6).alias("pf_ratio"), "pulmonary_dysfunction_flag")
+
+
+@_query("""
+WITH i AS (SELECT DISTINCT user_id, ts AS infect_dt FROM events WHERE event_type = 'error'), hit AS (SELECT i.*, e.ts, e.event_type, e.value FROM i JOIN events e ON e.user_id = i.user_id AND e.ts BETWEEN infect_dt - INTERVAL 96 HOUR AND infect_dt + INTERVAL 96 HOUR),
+two AS (SELECT * FROM hit WHERE event_type = 'view' AND floor(value / 10) >= 1), three AS (SELECT hit.* FROM hit JOIN (SELECT DISTINCT user_id, infect_dt FROM two) USING (user_id, infect_dt) WHERE event_type = 'purchase' AND value > 30)
+SELECT user_id, 1 AS score, min(least(infect_dt, ts)) AS instant FROM hit WHERE event_type = 'click' AND ts BETWEEN infect_dt - INTERVAL 24 HOUR AND infect_dt + INTERVAL 24 HOUR AND floor(value / 10) >= 2 GROUP BY 1
+UNION ALL SELECT user_id, 2, min(least(infect_dt, ts)) FROM two GROUP BY 1 UNION ALL SELECT user_id, 3, min(least(infect_dt, ts)) FROM three GROUP BY 1""")
+def severity_instants(spark, d):
+    e = lambda k, x, n: _events(spark, d, k).select("user_id", "ts", F.expr(x).alias(n))
+    inf = _events(spark, d, "error").select("user_id", F.col("ts").alias("infect_dt"))
+    labels = C.sepsis_labels(inf, e("click", "floor(value / 10)", "sirs_score"), e("view", "floor(value / 10)", "organ_dysfunction_total"), e("purchase", "cast(value > 30 as int)", "septic_shock_flag"), "user_id", "ts", C.Scenario(organ_hours=96, shock_hours=96))
+    return C.stacked(labels, "user_id")
+
+
+@_query("""
+WITH i AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'error' GROUP BY 1),
+w AS (SELECT e.user_id, e.event_type, max(CASE WHEN value < 5 THEN 0 WHEN value < 20 THEN 1 WHEN value < 50 THEN 2 ELSE 3 END) AS p FROM i JOIN events e ON e.user_id = i.user_id AND e.ts BETWEEN t - INTERVAL 240 HOUR AND t + INTERVAL 240 HOUR WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, sum(p)::BIGINT AS sofa FROM w GROUP BY 1 HAVING sum(p) >= 2""")
+def organ_scores(spark, d):
+    i = _events(spark, d, "error").groupBy("user_id").agg(F.min("ts").alias("t"))
+    e = _events(spark, d).where("value is not null").select("user_id", "ts", "event_type", S.ladder(F.col("value"), [(50, 3), (20, 2), (5, 1)], below=False).alias("points"))
+    return C.sofa_worst(T.band_join(i, e, ["user_id"], "t", "ts", 240, 240), "user_id", "event_type", "points")
+
+
+@_query("""
+WITH a AS (SELECT user_id, max(ts) AS act FROM events WHERE event_type = 'purchase' GROUP BY 1),
+f AS (SELECT user_id, ts, event_type FROM events WHERE value > 20 AND event_type <> 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) = 1)
+SELECT f.user_id, event_type AS first_organ, ts AS first_time, act, round((epoch_us(act) - epoch_us(ts)) / 3600000000.0, 6) AS lag_hours FROM f LEFT JOIN a ON f.user_id = a.user_id""")
+def first_failed_organ(spark, d):
+    a = _events(spark, d, "purchase").groupBy("user_id").agg(F.max("ts").alias("act"))
+    e = _events(spark, d).where("value > 20 and event_type <> 'purchase'").join(a, "user_id", "left")
+    return C.first_organ(e, "user_id", "event_type", "ts", "act").withColumn("lag_hours", F.round("lag_hours", 6))
+
+
+_LABELS = {"ours": "CASE WHEN l_quantity > 40 THEN NULL WHEN l_returnflag = 'N' THEN 'NPOA-' || (l_linenumber % 3 + 1) ELSE 'POA-' || (l_linenumber % 3 + 1) END", "theirs": "CASE WHEN l_discount > 0.08 THEN NULL WHEN l_linestatus = 'O' THEN 'NPOA-' || (l_linenumber % 2 + 1) ELSE 'POA-' || (l_linenumber % 2 + 1) END"}
+
+
+@_query(f"""
+WITH x AS (SELECT bin, {', '.join(f'{e} AS {n}' for n, e in _LABELS.items())} FROM (SELECT *, l_suppkey % 7 AS bin FROM lineitem)),
+y AS (SELECT bin AS factor, CASE WHEN ours IS NULL AND theirs IS NULL THEN 'none' WHEN theirs IS NULL THEN 'only_ours' WHEN ours IS NULL THEN 'only_theirs' WHEN ours = theirs THEN 'agree' WHEN split_part(ours, '-', 1) = split_part(theirs, '-', 1) THEN 'other_severity' ELSE 'other_class' END AS match_class FROM x)
+SELECT factor, match_class, count(*) AS n FROM y GROUP BY 1, 2""")
+def agreement_classes(spark, d):
+    x = _read(spark, d, "lineitem").selectExpr("l_suppkey % 7 AS factor", *[f"{e} AS {n}" for n, e in _LABELS.items()])
+    return X.factor_classes(x, "ours", "theirs").groupBy("factor", "match_class").agg(F.count("*").alias("n"))
+
+
+@_query("""
+SELECT o_custkey, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(avg(o_totalprice), 6) AS mean_price, round(stddev_samp(o_totalprice), 6) AS sd FROM orders GROUP BY 1""")
+def group_aggregates(spark, d):
+    return _read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.percentile("o_totalprice", 0.5), 6).alias("p50"), F.round(F.avg("o_totalprice"), 6).alias("mean_price"), F.round(F.stddev_samp("o_totalprice"), 6).alias("sd"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 
