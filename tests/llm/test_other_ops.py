@@ -114,3 +114,12 @@ def test_toxicity(spark, odd, empty):
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
     assert toxicity.score(odd, labels).count() == odd.count()
     assert toxicity.score(empty, labels).count() == 0 and {r.score for r in toxicity.score(odd, labels.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_counts_of_any_partitioning(spark):
+    rng = random.Random(6)
+    rows = [(" ".join(["idiot"] * (i % 8 == 0) + rng.sample(["tree", "river", "stone", "cloud", "lamp"], 3)), int(i % 8 == 0)) for i in range(160)]
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    want = toxicity._frequent(df.coalesce(1))
+    assert {t for t, _ in want} == {"idiot", "idi~", "idio~"}
+    assert toxicity._frequent(df.repartition(40)) == want

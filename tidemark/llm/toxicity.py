@@ -71,7 +71,7 @@ def _frequent(sample: DataFrame) -> list[tuple[str, float]]:
             for text, y in zip(b.text, b.toxic, strict=True):
                 (pos if y else neg).update(tokens(text))
                 n1, n0 = n1 + bool(y), n0 + (not y)
-        rows = [(k, pos[k], neg[k]) for k in pos] + [("", n1, n0)]
+        rows = [(k, pos[k], neg[k]) for k in pos.keys() | neg.keys()] + [("", n1, n0)]
         yield pd.DataFrame(rows, columns=["token", "p", "n"])
 
     counted = sample.mapInPandas(count, "token string, p long, n long").groupBy("token").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
