@@ -9,7 +9,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm import line_dedup, mixing, pieces, quality, simhash
+import corpus_pipeline
+from tidemark.llm import line_dedup, mixing, pieces, quality, queries, simhash
 from tidemark.llm.common import documents
 
 SMALL = "/root/testdata/sf0.001"
@@ -226,6 +227,16 @@ def test_line_dedup(spark, odd, empty, t):
     assert line_dedup.report(empty).count() == 0 and line_dedup.drop_lines(empty).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    texts = ["short\n\n \nother", "short\nshor\n\n \nthird", "short\nother\n" + "a line of more than twenty", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = documents(spark, str(tmp_path))
+    kept = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, df, str(tmp_path)).collect()}
+    assert kept == {0: texts[0], 1: "shor\n\n \nthird", 2: "a line of more than twenty", 3: None}
+    got = {r.doc_id: (r.n_exact, r.n_near) for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 0), 1: (1, 0), 2: (2, 0), 3: (0, 0)}
+
+
 def test_sentencepiece(docs, rows, odd, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     for giant, chunk in ((pieces.GIANT, pieces.CHUNK), (200, 64)):  # the second cuts nearly every text

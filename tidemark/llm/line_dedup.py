@@ -1,6 +1,7 @@
 """Line deduplication by a segment-partition edit join (DataFrame functions only).
 
-Lines of at least `MIN_CHARS` code points take part. Equal lines are grouped by hash first. Distinct
+Lines of at least `MIN_CHARS` code points take part; with `short`, as in the query and the pipeline's
+stage, shorter ones with a word do as exact copies. Equal lines are grouped by hash first. Distinct
 lines within `THRESHOLD` edits are found by the pigeonhole principle: a line is split into
 threshold + 1 segments, at least one of which survives in any line within the threshold, near its
 place. Segments index a line under (its length, segment number, text); a probe looks up, for each
@@ -9,9 +10,9 @@ are verified with a banded bit-parallel edit distance. Segments that very many l
 by the segments of what the lines hold besides (see `candidates`). The first line (by doc_id, line number) of
 each connected group stays, the others go.
 
-Nulls and odd inputs: a null text has no lines and stays null; short and blank lines always stay; a
-text may become empty, its document stays; lines of rows with one doc_id and equal place are ties and
-both stay; empty tables give empty results.
+Nulls and odd inputs: a null text has no lines and stays null; blank lines of less than `MIN_CHARS`
+always stay, short ones too without `short`; a text may become empty, its document stays; lines of
+rows with one doc_id and equal place are ties and both stay; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -146,8 +147,11 @@ def near(x: Column, y: Column, t: int) -> Column:
     return let(middle, lambda m: edit_within(m["x"], m["y"], t))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    flat = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(F.length("line") >= min_chars)
+def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    part = F.length("line") >= min_chars
+    if short:
+        part = part | F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    flat = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(part)
     return flat.withColumn("n", F.length("line")).withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line"))
 
 
@@ -203,18 +207,18 @@ def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
     return both.where(near(F.col("x"), F.col("y"), t)).select("a", "b")
 
 
-def removals(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(doc_id, exact, near): the 0-based numbers of the lines that go, as copies and as near copies."""
     docs = docs.select("doc_id", "text")
     place = F.struct("doc_id", "ln")
-    firsts = cut(_lines(docs, min_chars).groupBy("h", "g", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
+    firsts = cut(_lines(docs, min_chars, short).groupBy("h", "g", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
     comp = components(near_pairs(docs, t, min_chars))
     grouped = firsts.join(comp, firsts["h"] == comp["node"])
     keeper = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     of = grouped.join(keeper, "component").select("h", "g", "n", "first", "copies", "keeper")
     rest = firsts.join(comp, firsts["h"] == comp["node"], "left_anti").where("copies > 1").select("h", "g", "n", "first", "copies", F.col("first").alias("keeper"))
     marked = cut(of.union(rest).where("copies > 1 or first <> keeper"))
-    gone = _lines(docs, min_chars).select("doc_id", "ln", "h", "g", "n").join(marked, ["h", "g", "n"]).where(F.struct("doc_id", "ln") != F.col("keeper"))
+    gone = _lines(docs, min_chars, short).select("doc_id", "ln", "h", "g", "n").join(marked, ["h", "g", "n"]).where(F.struct("doc_id", "ln") != F.col("keeper"))
     per = gone.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") == F.col("keeper"), F.col("ln"))).alias("exact"), F.collect_list(F.when(F.col("first") != F.col("keeper"), F.col("ln"))).alias("near"))
     return per
 
@@ -224,9 +228,9 @@ def _kept(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull() | (F.size(drop) == 0), text).otherwise(F.array_join(rest, "\n"))
 
 
-def drop_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """The documents without repeated lines; other columns unchanged, n_chars (if there) counted anew."""
-    gone = cut(removals(docs, t, min_chars)).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_drop"))
+    gone = cut(removals(docs, t, min_chars, short)).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_drop"))
     # as many rows as there are documents with repeats: never broadcast, at no size
     joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_id"]), "left").withColumn("text", _kept(F.col("text"), F.col("_drop")))
     if "n_chars" in docs.columns:
@@ -234,9 +238,9 @@ def drop_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
     return joined.select(*[f"`{c}`" for c in docs.columns])
 
 
-def report(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def report(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """Per document: doc_id, n_lines, n_exact, n_near (lines that go), kept_sha256 of what stays."""
-    gone = cut(removals(docs, t, min_chars)).select(F.col("doc_id").alias("_id"), "exact", "near")
+    gone = cut(removals(docs, t, min_chars, short)).select(F.col("doc_id").alias("_id"), "exact", "near")
     joined = docs.select("doc_id", "text").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     text = F.coalesce(_kept(F.col("text"), F.concat("exact", "near")), F.lit(""))
     return joined.select(

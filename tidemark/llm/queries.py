@@ -44,7 +44,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(documents(spark, sf_dir))
+    return line_dedup.report(documents(spark, sf_dir), short=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
