@@ -18,9 +18,9 @@ def bounded(group: str, value: str, bounds: Mapping[str, tuple[float, float]]) -
     return out
 
 
-def velocity_flags(df: DataFrame, keys: Sequence[str], ts: str, value: str, per_minute: float, step: float, valid_minutes: float) -> DataFrame:
-    """`too_fast` and `too_far` against the value before, if that is recent enough."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+def velocity_flags(df: DataFrame, keys: Sequence[str], ts: str, value: str, per_minute: float, step: float, valid_minutes: float, tie: Sequence[str] = ()) -> DataFrame:
+    """`too_fast` and `too_far` against the value before (rows of one instant by `tie`, then value), if that is recent enough."""
+    w = Window.partitionBy(*keys).orderBy(ts, *tie, value)
     minutes = (micros(ts) - F.lag(micros(ts)).over(w)) / 60e6
     delta = F.abs(F.col(value) - F.lag(value).over(w))
     df = df.withColumn("_m", minutes).withColumn("_d", delta)
@@ -66,8 +66,8 @@ def mad_outliers(df: DataFrame, keys: Sequence[str], ts: str, value: str, row: s
     return df.withColumn("outlier", F.coalesce(out, F.lit(False))).drop("_n", "_a", "_med", "_mad")
 
 
-def context(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int = 3) -> DataFrame:
-    """Means of the `rows` values before and after each row, and their difference."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+def context(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int = 3, tie: Sequence[str] = ()) -> DataFrame:
+    """Means of the `rows` values before and after each row (of one instant by `tie`, then value), and their difference."""
+    w = Window.partitionBy(*keys).orderBy(ts, *tie, value)
     df = df.withColumn("mean_before", F.avg(value).over(w.rowsBetween(-rows, -1))).withColumn("mean_after", F.avg(value).over(w.rowsBetween(1, rows)))
     return df.withColumn("asymmetry", F.col("mean_after") - F.col("mean_before"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import quantiles, running
+
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
@@ -67,17 +69,17 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: i
 
 
 def pareto(df: DataFrame, col: str, share: float) -> DataFrame:
-    """The most frequent values up to a running share of all rows."""
+    """The most frequent values up to a running share of all rows, ties by value; null is a value, the last of its ties."""
     n = df.groupBy(col).agg(F.count("*").alias("n"))
-    # one row per distinct value, not per row of df, is ordered here
-    w = Window.orderBy(F.desc("n"), col).rowsBetween(Window.unboundedPreceding, 0)
-    out = n.withColumn("running", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy()))
-    return out.where(F.col("running") <= share)
+    upto = running(n, [F.desc("n"), F.col(col).asc_nulls_last()], "n", "_upto")
+    total = df.agg(F.count("*").alias("_total"))
+    out = upto.crossJoin(F.broadcast(total)).withColumn("running", F.col("_upto") / F.col("_total"))  # one row
+    return out.where(F.col("running") <= share).select(col, "n", "running")
 
 
 def trim_quantiles(df: DataFrame, col: str, q: float) -> DataFrame:
     """Rows between the q and 1 - q quantiles, bounds included."""
-    b = df.agg(F.percentile(col, q).alias("_lo"), F.percentile(col, 1 - q).alias("_hi"))
+    b = quantiles(df, [], col, {"_lo": q, "_hi": 1 - q})
     return df.crossJoin(F.broadcast(b)).where(F.col(col).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")  # one row
 
 
@@ -88,8 +90,19 @@ def cooccurrence(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     return sums.select(F.explode(rows).alias("x")).select("x.a", "x.b", "x.n", F.try_divide("x.n", "x.base").alias("share"))
 
 
-def summary(df: DataFrame, by: Sequence[str], col: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"), *[F.percentile(col, q).alias(f"p{round(100 * q)}") for q in quantiles])
+def join_groups(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Two tables of one row per group, joined on the group; null groups match."""
+    if not by:
+        return a.crossJoin(b)  # one row each
+    other = b.withColumnsRenamed({c: f"_{i}_{c}" for i, c in enumerate(by)})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{i}_{c}")) for i, c in enumerate(by)])
+    return a.join(other, same, how).drop(*[f"_{i}_{c}" for i, c in enumerate(by)])
+
+
+def summary(df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """n, mean, std, min, max and quantiles (p25, ...) of the values of each group."""
+    base = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return join_groups(base, quantiles(df, by, col, {f"p{round(100 * q)}": q for q in qs}), by)
 
 
 def duplicates(df: DataFrame) -> DataFrame:

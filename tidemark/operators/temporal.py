@@ -12,38 +12,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import HOUR, micros
+from tidemark.operators.ranks import quantiles
 
 
 def _us(hours: float) -> int:
     return round(hours * HOUR)
 
 
+def _whole(keys: Sequence[str]) -> Column:
+    """Whether no key of a row is null; a join never matches null keys."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, take: Sequence[str], forward: bool = False, hours: float | None = None) -> DataFrame:
     """Each left row with the nearest right row of its keys at or before (forward: after) its time.
 
     Equal times match. Ties on the right go to the last (forward: first) by (time, taken columns).
-    Beyond `hours` the taken columns and `rt` are null.
+    Beyond `hours`, and for a null key or time, the taken columns and `rt` are null. Either direction
+    is one pass: rows are ordered toward the left row, so the window only looks back.
     """
     keys, n = list(keys), [f"r_{c}" for c in take]
     body = F.struct(F.col(rt).alias("t"), *[F.col(c).alias(f"r_{c}") for c in take])
-    l = left.select(*keys, F.col(lt).alias("_t"), F.lit(not forward).alias("_left"), F.struct(*left.columns).alias("_row"))
-    r = right.where(F.col(rt).isNotNull()).select(*keys, F.col(rt).alias("_t"), F.lit(forward).alias("_left"), body.alias("_hit"))
+    # left rows with a null key have no partner; they are dealt out by time instead of meeting in one group
+    lone = F.when(~_whole(keys), F.xxhash64(lt))
+    l = left.select(*keys, lone.alias("_lone"), F.col(lt).alias("_t"), F.lit(True).alias("_left"), F.struct(*left.columns).alias("_row"))
+    r = right.where(F.col(rt).isNotNull() & _whole(keys)).select(*keys, F.lit(None).cast("long").alias("_lone"), F.col(rt).alias("_t"), F.lit(False).alias("_left"), body.alias("_hit"))
     both = l.unionByName(r, allowMissingColumns=True)
-    order = ["_t", "_left", "_hit"]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near = F.first("_hit", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_hit", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_near", near).where("_row is not null")
+    order = [F.col("_t").desc_nulls_first(), F.col("_left"), F.col("_hit").desc()] if forward else [F.col("_t"), F.col("_left"), F.col("_hit")]
+    w = Window.partitionBy(*keys, "_lone").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_near", F.last("_hit", True).over(w)).where("_left")
     if hours is not None:
         gap = F.abs(F.expr("timestampdiff(MICROSECOND, _near.t, _t)"))
         out = out.withColumn("_near", F.when(gap <= _us(hours), F.col("_near")))
     return out.select("_row.*", F.col("_near.t").alias(f"r_{rt}"), *[F.col(f"_near.{c}") for c in n])
 
 
-def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, before: float, after: float, bucket: bool = False) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, before: float, after: float, bucket: bool = True) -> DataFrame:
     """Pairs with right time in [left - before, left + after] hours, both bounds included.
 
-    `bucket` splits long keys: left rows go to every time bucket they touch, so that a hot key is
-    joined bucket by bucket.
+    Left rows go to the (two at most) time buckets they touch, so that a long key is joined bucket by
+    bucket, not every row with every other; without `bucket` the key alone is joined on.
     """
     l, r = left.alias("l"), right.alias("r")
     span = F.expr(f"timestampdiff(MICROSECOND, l.`{lt}`, r.`{rt}`)").between(-_us(before), _us(after))
@@ -64,39 +75,68 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, r
 def lookback(timeline: DataFrame, events: DataFrame, key: str, ts: str, group: str, value: str, features: Mapping[str, tuple[str, str, float]]) -> DataFrame:
     """The timeline with one column per feature: name -> (group, aggregate, hours), over [t - hours, t].
 
-    Aggregates: max, min, mean, sum, count, last. `last` is the largest value of the latest instant;
-    that instant counts even if its value is null.
+    Aggregates: max, min, mean, sum, count, first, last. `last` is the largest value of the latest
+    instant, `first` the smallest of the earliest; that instant counts even if its value is null. Events
+    of a null key match nothing.
     """
     t = timeline.select(key, ts).distinct().withColumn("_base", F.lit(True))
-    e = events.select(key, ts, group, value).where(F.col(ts).isNotNull())
+    e = events.select(key, ts, group, value).where(F.col(ts).isNotNull() & F.col(key).isNotNull())
     both = t.unionByName(e, allowMissingColumns=True).withColumn("_us", micros(ts))
     w = Window.partitionBy(key).orderBy("_us")
     cols = {}
     for name, (g, how, hours) in features.items():
         over = w.rangeBetween(-_us(hours), 0)
         hit = F.when(F.col(group) == g, F.col(value))
-        if how == "last":
-            cols[name] = F.max(F.when(F.col(group) == g, F.struct("_us", value))).over(over)[value]
+        if how in ("first", "last"):
+            pick = F.min if how == "first" else F.max
+            cols[name] = pick(F.when(F.col(group) == g, F.struct("_us", value))).over(over)[value]
         else:
             cols[name] = {"max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum, "count": F.count}[how](hit).over(over)
     return both.withColumns(cols).where("_base").select(key, ts, *features)
 
 
-def fill_forward(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, hours: float | None = None, backward: bool = False) -> DataFrame:
-    """The last non-null value at or before each row (backward: next at or after), not older than `hours`."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+def _carried(keys: Sequence[str], ts: str, value: str, tie: Sequence[str], backward: bool) -> Column:
+    """(t, v) of the last non-null value up to each row, rows taken by (time, tie, value); backward: from the end."""
     hit = F.when(F.col(value).isNotNull(), F.struct(micros(ts).alias("t"), F.col(value).alias("v")))
-    got = F.first(hit, True).over(w.rowsBetween(0, Window.unboundedFollowing)) if backward else F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_f", got)
-    fresh = F.lit(True) if hours is None else F.abs(micros(ts) - F.col("_f.t")) <= _us(hours)
+    if backward:
+        order = [F.col(c).desc_nulls_first() for c in (ts, *tie)]
+    else:
+        order = [F.col(c) for c in (ts, *tie)]
+    # within one instant values come before nulls, which are filled from them
+    w = Window.partitionBy(*keys).orderBy(*order, F.col(value).desc_nulls_last() if backward else F.col(value).asc_nulls_last())
+    return F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def fill_forward(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, hours: float | Column | None = None, backward: bool = False, tie: Sequence[str] = ()) -> DataFrame:
+    """The last non-null value at or before each row (backward: next at or after), not older than `hours`.
+
+    `hours` may be a column: a limit for each row, beyond which (or where it is null) nothing is carried.
+    Rows of one instant are taken by `tie`, then by value, nulls last.
+    """
+    df = df.withColumn("_f", _carried(keys, ts, value, tie, backward))
+    age = F.abs(micros(ts) - F.col("_f.t"))
+    if hours is None:
+        fresh = F.lit(True)
+    else:
+        fresh = age <= (hours * HOUR if isinstance(hours, Column) else _us(hours))
     return df.withColumn(out, F.when(fresh, F.col("_f.v"))).drop("_f")
 
 
-def fill_nearest(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, hours: float) -> DataFrame:
+def fill_expiring(df: DataFrame, keys: Sequence[str], group: str, ts: str, value: str, out: str, limits: Mapping[str, float], tie: Sequence[str] = ()) -> DataFrame:
+    """Each null value from the last one of its key and group, while that is not older than the group's limit.
+
+    A group without a limit keeps its own values and is not filled.
+    """
+    limit = F.lit(None).cast("double")
+    for g, hours in limits.items():
+        limit = F.when(F.col(group) == g, F.lit(float(hours))).otherwise(limit)
+    filled = fill_forward(df, [*keys, group], ts, value, "_x", limit, tie=tie)
+    return filled.withColumn(out, F.coalesce("_x", value)).drop("_x")
+
+
+def fill_nearest(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, hours: float, tie: Sequence[str] = ()) -> DataFrame:
     """Null values from the nearer of the values before and after within `hours`; the earlier one on a tie."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    hit = F.when(F.col(value).isNotNull(), F.struct(micros(ts).alias("t"), F.col(value).alias("v")))
-    df = df.withColumn("_p", F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(hit, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("_p", _carried(keys, ts, value, tie, False)).withColumn("_n", _carried(keys, ts, value, tie, True))
     back, ahead = micros(ts) - F.col("_p.t"), F.col("_n.t") - micros(ts)
     far = F.lit(2**62)
     best = F.when(F.coalesce(back, far) <= F.coalesce(ahead, far), F.when(back <= _us(hours), F.col("_p.v"))).otherwise(F.when(ahead <= _us(hours), F.col("_n.v")))
@@ -171,12 +211,25 @@ def path_edges(df: DataFrame, keys: Sequence[str], ts: str, state: str, min_coun
     return step.groupBy("step", F.col(state).alias("from_state"), "to_state").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
+def values_at(df: DataFrame, keys: Sequence[str], ts: str, start: str, value: str, offsets: Sequence[float]) -> DataFrame:
+    """keys, offset, value: the last value carried to each offset (hours after start); one aggregate, rows are not multiplied."""
+    h = df.where(micros(ts) >= micros(start)).withColumn("_h", micros(ts) - micros(start))
+    last = h.groupBy(*keys).agg(*[F.max(F.when(F.col("_h") <= _us(o), F.struct("_h", value))).alias(f"_{i}") for i, o in enumerate(offsets)])
+    each = F.array(*[F.struct(F.lit(float(o)).alias("offset"), F.col(f"_{i}").isNotNull().alias("any"), F.col(f"_{i}.{value}").alias(value)) for i, o in enumerate(offsets)])
+    return last.select(*keys, F.explode(each).alias("_x")).where("_x.any").select(*keys, "_x.offset", f"_x.{value}")
+
+
 def trajectory(df: DataFrame, keys: Sequence[str], ts: str, start: str, value: str, offsets: Sequence[float]) -> DataFrame:
     """For each offset (hours after start): n, median, p25, p75 of the last value carried to it."""
-    h = df.where(micros(ts) >= micros(start)).withColumn("_h", micros(ts) - micros(start))
-    at = h.withColumn("offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets]))).where(F.col("_h") <= F.col("offset") * HOUR)
-    last = at.groupBy(*keys, "offset").agg(F.max_by(value, F.struct("_h", value)).alias("_v"))
-    return last.groupBy("offset").agg(F.count("_v").alias("n"), *[F.percentile("_v", q).alias(a) for q, a in ((0.5, "median"), (0.25, "p25"), (0.75, "p75"))])
+    at = values_at(df, keys, ts, start, value, offsets)
+    q = quantiles(at, ["offset"], value, {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return at.groupBy("offset").agg(F.count(value).alias("n")).join(q, "offset", "left")
+
+
+def state_shares(df: DataFrame, keys: Sequence[str], ts: str, start: str, state: str, offsets: Sequence[float]) -> DataFrame:
+    """For each offset and state: n keys in it, and their share of the offset."""
+    n = values_at(df, keys, ts, start, state, offsets).groupBy("offset", state).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("offset")))
 
 
 def interval_lookup(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, take: Sequence[str]) -> DataFrame:
@@ -203,9 +256,9 @@ def segment(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: st
     return out
 
 
-def thin(df: DataFrame, keys: Sequence[str], ts: str, hours: float) -> DataFrame:
-    """Rows at least `hours` after the row before."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+def thin(df: DataFrame, keys: Sequence[str], ts: str, hours: float, tie: Sequence[str] = ()) -> DataFrame:
+    """Rows at least `hours` after the row before; of one instant the first by `tie` may stay."""
+    w = Window.partitionBy(*keys).orderBy(ts, *tie)
     return df.withColumn("_p", F.lag(ts).over(w)).where(F.col("_p").isNull() | (micros(ts) - micros("_p") >= _us(hours))).drop("_p")
 
 

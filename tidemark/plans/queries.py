@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import outliers as O
+from tidemark.operators import ranks as K
 from tidemark.operators import tables as R
 from tidemark.operators import temporal as T
 from tidemark.plans import clinical as C
@@ -224,7 +225,8 @@ WITH {_SPELL}, r AS (SELECT *, lead("start") OVER (PARTITION BY user_id ORDER BY
 SELECT state, count_if(nx IS NULL) AS n_censored, count(*) AS n, round(quantile_cont((epoch_us(coalesce(nx, "end")) - epoch_us("start")) / 3600000000.0, 0.5), 6) AS median_hours FROM r GROUP BY 1""")
 def run_duration_table(spark, d):
     r = T.run_durations(_state(spark, d), ["user_id"], "ts", "state")
-    return r.groupBy("state").agg(F.count_if("censored").alias("n_censored"), F.count("*").alias("n"), F.round(F.percentile("hours", 0.5), 6).alias("median_hours"))
+    n = r.groupBy("state").agg(F.count_if("censored").alias("n_censored"), F.count("*").alias("n"))
+    return R.join_groups(n, K.quantiles(r, ["state"], "hours", {"median_hours": 0.5}), ["state"]).withColumn("median_hours", F.round("median_hours", 6))
 
 
 @_query("""
@@ -360,9 +362,9 @@ def backbone(spark, d):
 
 
 @_query("""
-SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)""")
+SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AND EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)""")
 def anti_and_semi(spark, d):
-    c, o, e = _read(spark, d, "customer"), _read(spark, d, "orders").where("o_orderstatus = 'P'"), _read(spark, d, "events")
+    c, o, e = _read(spark, d, "customer"), _read(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'"), _read(spark, d, "events")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").join(e, c["c_custkey"] == e["user_id"], "left_semi").select("c_custkey", "c_mktsegment")
 
 
@@ -485,7 +487,9 @@ def funnel(spark, d):
     c, o = _read(spark, d, "customer").select("c_custkey", "c_mktsegment"), _read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     l = _read(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_shipdate")
     j = c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.groupBy("c_mktsegment").agg(F.count("o_orderkey").alias("n_orders"), F.count("l_orderkey").alias("n_lines"), F.round(F.percentile(S.hours_between("o_orderdate", "l_shipdate"), 0.5), 6).alias("median_hours"))
+    n = j.groupBy("c_mktsegment").agg(F.count("o_orderkey").alias("n_orders"), F.count("l_orderkey").alias("n_lines"))
+    q = K.quantiles(j.withColumn("_h", S.hours_between("o_orderdate", "l_shipdate")), ["c_mktsegment"], "_h", {"median_hours": 0.5})
+    return R.join_groups(n, q, ["c_mktsegment"]).withColumn("median_hours", F.round("median_hours", 6))
 
 
 #: Stand-ins for the columns of a feature table, in expressions that Spark and DuckDB share.

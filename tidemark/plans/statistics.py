@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running
+
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, exact share, upgrades (b above a), downgrades, Cohen's kappa (null if undefined)."""
@@ -78,12 +80,11 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: n and the sum of tie-averaged ranks; plus the tie term (sum of t^3 - t).
 
-    Ranks come from the counts of distinct values, so the ordered window sees one row per value.
+    Ranks come from the counts of distinct values and their running sums, range by range.
     """
     v = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     counts = v.groupBy(value).agg(F.count("*").alias("t"))
-    before = F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    ranks = counts.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranks = running(counts, [F.col(value)], "t", "_upto").withColumn("rank", F.col("_upto") - F.col("t") + (F.col("t") + 1) / 2)
     per = v.groupBy(group, value).agg(F.count("*").alias("n"))
     sums = per.join(ranks, value).groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
     ties = counts.agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
