@@ -12,7 +12,9 @@ from tidemark.llm import bwt_dedup, iblt, pii, toxicity, url_filter
 KIND = "doc_id long, text string"
 
 
-def test_suffix_dedup(spark, odd, empty):
+@pytest.mark.parametrize("hot", [4_096, 3])
+def test_suffix_dedup(spark, odd, empty, monkeypatch, hot):
+    monkeypatch.setattr(bwt_dedup, "HOT", hot)  # 3: most minimizers are dealt by window
     rng = random.Random(4)
     shared = ["".join(rng.choice("abc é") for _ in range(130)) for _ in range(6)]
     texts = ["".join(rng.choice([*shared, "x" * 150, *[s[: rng.randint(1, 130)] for s in shared]]) for _ in range(rng.randint(0, 5))) for _ in range(60)]
@@ -48,6 +50,17 @@ def test_merge_of_many_shards(monkeypatch):
     assert set(zip(doc.tolist(), at.tolist(), strict=True)) == want
 
 
+def test_merge_decides(monkeypatch):
+    """Windows whose both ends repeat but whose midst differs stay; without the merged order they would go."""
+    head, tail = b"h" * 16 + b"the same first bytes" * 2, b"and the same last bytes, every time alike" + b"t" * 9
+    texts = [head + bytes([97 + i]) * 10 + tail for i in range(8)] + [head + b"a" * 10 + tail]
+    assert all(len(t) >= 100 for t in texts)
+    doc, at = bwt_dedup.partial(texts, np.arange(9), np.zeros(9, np.int64))
+    assert set(doc.tolist()) == {8} and sorted(at.tolist()) == list(range(len(texts[0]) - 99))
+    monkeypatch.setattr(bwt_dedup, "merge", lambda shards: (np.concatenate([s.names for s in shards]), np.zeros(sum(len(s.names) for s in shards), np.int64)))
+    assert len(bwt_dedup.partial(texts, np.arange(9), np.zeros(9, np.int64))[0]) > len(doc)
+
+
 def test_sketches(spark, odd, empty):
     texts = {i: "\n".join(f"line {i} {k} " + "w" * (k % 7) for k in range(5 * i)) for i in range(30)}
     texts[30] = texts[7]

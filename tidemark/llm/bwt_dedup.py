@@ -6,10 +6,15 @@ Every byte that lies in a string of `LENGTH` bytes which also starts earlier in
    the GRAM-byte strings inside, the first of equals) make one stretch; equal windows have equal
    minimizers, so equal windows lie in stretches of one minimizer, never in the same stretch. Stretches are dealt by minimizer,
    packed as arrays; copies within a batch are pre-aggregated, so that a hot one is sent once a batch.
-2. *Whole copies.* Of equal stretches all but the first go entirely.
-3. *Partial copies.* First stretches that share a minimizer but aren't equal are fetched as text.
-   Windows whose 64-bit hash is alone can't repeat and are left out; the other stretches are dealt
-   into shards by their order, each shard gets its transform, and the transforms are merged.
+2. *Whole copies.* Of equal stretches all but the first go entirely; only first ones go on, so that a
+   passage with many copies is transformed once.
+3. *Partial copies.* First stretches that share a minimizer but aren't equal are fetched as text. A
+   window can only repeat if its first and its last GRAM bytes both do; runs of such windows are dealt
+   into shards by their order, each shard gets its transform, and the transforms are merged. The merged
+   order alone tells which windows repeat.
+
+A minimizer of more than `HOT` different stretches isn't brought to one task: its windows are dealt one
+by one, by their first and last GRAM bytes, equal ones of a batch as one.
 
 The transform reads SYMBOL bytes at a time: a stretch is SYMBOL strings, one a phase, over the
 alphabet of its SYMBOL-byte strings. Merging refines one interleave vector: a pass takes the symbols
@@ -27,10 +32,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -41,6 +47,8 @@ LENGTH, GRAM, SYMBOL = 100, 32, 20
 SPAN = LENGTH - GRAM + 1
 #: Stretches in a shard, and bytes of input for each bucket of stretches.
 SHARD, BUCKET_BYTES = 4_096, 4_000_000
+#: Different stretches of one minimizer that are brought together; more are dealt by window.
+HOT = 4_096
 _C = [np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0xBF58476D1CE4E5B9)]
 #: Place of a stretch: minimizer, hash of its bytes, document, first window, windows.
 PLACE = np.dtype([("mini", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i4")])
@@ -130,17 +138,17 @@ def _repeats(p: np.ndarray) -> pa.RecordBatch:
 
 
 def _resolve(packed: DataFrame, parts: int) -> DataFrame:
-    """Whole copies (kind 1) and, as kind 2, first stretches that share a minimizer with others: a = first window, b = windows, packed = minimizer."""
+    """Whole copies (kind 1) and, as kind 2 (3: of a hot minimizer), first stretches that share a minimizer with others: a = first window, b = windows, packed = minimizer."""
 
     def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         p = np.concatenate([np.frombuffer(x, PLACE) for x in blobs])
         first, again = _firsts(p)
         yield _repeats(p[again])
         q = p[first]  # in order of minimizer
-        same = q["mini"][1:] == q["mini"][:-1]
-        q = q[np.r_[False, same] | np.r_[same, False]] if len(q) > 1 else q[:0]
-        n = len(q)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.array(q["doc"]), pa.array(q["at"].astype(np.int64)), pa.array(q["n"].astype(np.int64)), pa.array([x.tobytes() for x in q["mini"]], pa.binary())], names=["kind", "doc", "a", "b", "packed"])
+        _, of, many = np.unique(q["mini"], return_inverse=True, return_counts=True)
+        many = many[of]
+        q, kind = q[many > 1], np.where(many > HOT, 3, 2).astype(np.int32)[many > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(q["doc"]), pa.array(q["at"].astype(np.int64)), pa.array(q["n"].astype(np.int64)), pa.array([x.tobytes() for x in q["mini"]], pa.binary())], names=["kind", "doc", "a", "b", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -205,11 +213,12 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
 
 def partial(texts: list[bytes], docs: np.ndarray, ats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, window) of each window in `texts` that equals one which starts earlier."""
-    # windows alone of their hash can't repeat
-    h = [_hashes(t, LENGTH) for t in texts]
-    flat = np.concatenate(h)
-    _, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-    many = n[inverse] > 1
+    # a window can only repeat if both its ends do
+    grams = [_hashes(t, GRAM) for t in texts]
+    _, inverse, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    again = np.split(n[inverse] > 1, np.cumsum([len(g) for g in grams])[:-1])
+    h = [g[: 1 - SPAN] & g[SPAN - 1 :] for g in again]
+    flat = many = np.concatenate(h)
     lens = np.array([len(x) for x in h])
     of = np.repeat(np.arange(len(texts)), lens)
     local = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
@@ -247,7 +256,7 @@ def partial(texts: list[bytes], docs: np.ndarray, ats: np.ndarray) -> tuple[np.n
 
 
 def _partial(rows: DataFrame, parts: int) -> DataFrame:
-    """Repeating windows among stretches (mini, doc, at, body), a few minimizers at a time."""
+    """Repeating windows among stretches (mini, doc, at, body), a few minimizers at a time; rows without a body are repeats already."""
 
     def solve(held: list) -> Iterator[pa.RecordBatch]:
         doc, at = partial([x[3] for x in held], np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64))
@@ -258,6 +267,12 @@ def _partial(rows: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for b in batches:
+            known = b.filter(pc.is_null(b["body"]))
+            if known.num_rows:
+                p = np.empty(known.num_rows, PLACE)
+                p["doc"], p["at"], p["n"] = known["doc"].to_numpy(), known["at"].to_numpy(), known["n"].to_numpy()
+                yield _repeats(p)
+            b = b.filter(pc.is_valid(b["body"]))
             for row in zip(*(b[c].to_pylist() for c in ("mini", "doc", "at", "body")), strict=True):
                 if len(held) >= 4 * SHARD and row[0] != held[-1][0]:
                     yield from solve(held)
@@ -278,17 +293,34 @@ def repeated(docs: DataFrame) -> DataFrame:
     buckets = max(shuffle, size // BUCKET_BYTES + 1)
     dealt = cut(_cut(docs, buckets))
     solved = cut(_resolve(dealt.where("kind = 0"), buckets))
-    lists = solved.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "packed")).alias("want"))
+    lists = solved.where("kind in (2, 3)").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "packed", (F.col("kind") == 3).alias("hot"))).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, first = [], {}
             for doc, text, want in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["want"].to_pylist(), strict=True):
                 b = text.encode("utf-8", "surrogatepass")
-                out += [(int.from_bytes(w["packed"], "little", signed=True), doc, w["a"], b[w["a"] : w["a"] + w["b"] + LENGTH - 1]) for w in want]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["mini", "doc", "at", "body"])
-
-    bodies = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("doc")).select("doc", "text", "want").mapInArrow(fetch, "mini long, doc long, at long, body binary")
+                for w in want:
+                    if not w["hot"]:
+                        out.append((int.from_bytes(w["packed"], "little", signed=True), doc, w["a"], b[w["a"] : w["a"] + w["b"] + LENGTH - 1], 1))
+                        continue
+                    for at in range(w["a"], w["a"] + w["b"]):  # equal windows of a batch go on as the first of them
+                        body = b[at : at + LENGTH]
+                        low = first.setdefault(body, (doc, at))
+                        if (doc, at) < low:
+                            first[body], low = (doc, at), (doc, at)
+            rows = [(doc, at, body, 1, xxh3_64_intdigest(body[:GRAM] + body[-GRAM:]) - (1 << 63)) for body, (doc, at) in first.items()]
+            for doc, text, want in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["want"].to_pylist(), strict=True):
+                b = text.encode("utf-8", "surrogatepass") if any(w["hot"] for w in want) else b""
+                again = [at for w in want if w["hot"] for at in range(w["a"], w["a"] + w["b"]) if first[b[at : at + LENGTH]] != (doc, at)]
+                for _, run in groupby(enumerate(again), lambda x: x[1] - x[0]):
+                    run = [at for _, at in run]
+                    rows.append((doc, run[0], None, len(run), doc))
+            out += [(key, doc, at, body, n) for doc, at, body, n, key in rows]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["mini", "doc", "at", "body", "n"])
+
+    bodies = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("doc")).select("doc", "text", "want").mapInArrow(fetch, "mini long, doc long, at long, body binary, n int")
     more = _partial(bodies, shuffle)
     runs = dealt.where("kind = 1").select("doc", "a", "b").union(solved.where("kind = 1").select("doc", "a", "b")).union(more.select("doc", "a", "b"))
     return cut(runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs")))
