@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bwt_dedup, iblt, pii, toxicity, url_filter
 
@@ -75,6 +76,13 @@ def test_sketches(spark, odd, empty):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
     assert rows[30].fingerprint == rows[7].fingerprint
+    many = [(5, f"text {i}") for i in range(300)] + [(i, f"other {i}") for i in range(100, 140)] + [(None, "n1"), (None, "n2")]
+    df = spark.createDataFrame(many, KIND).repartition(3)
+    order = [r.text for r in df.selectExpr("*", "xxhash64(text) AS h").orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    got = {(r.doc_id, r.edited_sha256) for r in iblt.fingerprints(df).collect()}
+    cut = lambda t: t[: len(t) - len(t) // 4] + after[t][: len(t) // 4]
+    assert got == {(i, hashlib.sha256(cut(t).encode()).hexdigest()) for i, t in many}
     assert iblt.fingerprints(odd).count() == odd.count() and iblt.fingerprints(empty).count() == 0
 
 

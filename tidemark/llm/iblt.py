@@ -8,7 +8,8 @@ which recovers the differing digests of both sides. If some remain, larger sketc
 Likeness is shared over all paragraphs.
 
 The document after each one comes from one range-partitioned, sorted pass: buckets of doc_id are cut
-at quantiles, and the first document of each bucket is sent to the bucket before it as well.
+at quantiles (an id that fills several is split by text hash), and the first document of each bucket is
+sent to the bucket before it as well.
 
 Nulls and odd inputs: a null text is empty; two empty texts have likeness 1; null doc_ids come first
 in the order; repeated doc_ids are ordered by a hash of the text; the document after the last is the
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 CELLS, GROW = 24, 8
+#: Bytes of text in a bucket of the order, and how many buckets there are at most.
+BUCKET_BYTES, BUCKETS = 8_000_000, 10_000
 _PART = re.compile(rb"[^\n]{1,48}[^\s]*")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _CHECK = np.uint64(0xD6E8FEB86659FD93)
@@ -133,24 +136,33 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray], sa: Sketches, sb: Sketche
 
 
 def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with `_b` (bucket of the order of doc_id), `_o` (order) and `_f` (1: only looked ahead to)."""
+    """Rows with `_b` (bucket of the order of doc_id and text hash), `_o`, `_h` (order) and `_f` (1: only looked ahead to)."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_o"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_o"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1), BUCKETS)
     cuts = rows.agg(F.percentile_approx("_o", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
-    edges = np.unique(np.array(cuts or [0], np.int64))
+    edges, times = np.unique(np.array(cuts or [0], np.int64), return_counts=True)
+    # an id that fills several buckets has as many of its own, by text hash; what else lies up to the next edge has one
+    own = np.r_[0, np.where(times > 1, times, 0)]
+    start = np.r_[0, np.cumsum(own + 1)]
 
     @F.pandas_udf(T.IntegerType())
-    def bucket(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, o.to_numpy(), "right").astype(np.int32))
-
-    # one id for each bucket comes to the driver: as many as there are partitions
-    firsts = sorted((r._b, r.o) for r in rows.select("_o", bucket("_o").alias("_b")).groupBy("_b").agg(F.min("_o").alias("o")).collect())
-    ahead = [(o, firsts[i - 1][0]) for i, (_, o) in enumerate(firsts)]
-    look = F.broadcast(spark.createDataFrame(ahead, "_o long, _b int"))
-    own = rows.select("_o", "doc_id", "text", bucket("_o").alias("_b"), F.lit(0).alias("_f"))
-    more = rows.join(look, "_o").select("_o", "doc_id", "text", "_b", F.lit(1).alias("_f"))
-    return own.union(more), len(edges) + 1
+    def bucket(o: pd.Series, h: pd.Series) -> pd.Series:
+        v = o.to_numpy()
+        i = np.searchsorted(edges, v, "right")
+        hot = (own[i] > 0) & (edges[np.maximum(i, 1) - 1] == v)
+        part = (((h.to_numpy() >> 32) + 2**31) * own[i]) >> 32
+        return pd.Series((start[i] + np.where(hot, part, own[i])).astype(np.int32))
+
+    placed = rows.withColumn("_b", bucket("_o", "_h"))
+    # the place of one row for each bucket comes to the driver
+    firsts = sorted((r._b, r.p.o, r.p.h) for r in placed.groupBy("_b").agg(F.min(F.struct(F.col("_o").alias("o"), F.col("_h").alias("h"))).alias("p")).collect())
+    ahead = [(o, h, firsts[i - 1][0]) for i, (_, o, h) in enumerate(firsts)]
+    look = F.broadcast(spark.createDataFrame(ahead, "_o long, _h long, _b int"))
+    more = rows.join(look, ["_o", "_h"]).groupBy("_o", "_h", "_b").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    names = ("_o", "_h", "doc_id", "text", "_b")
+    return placed.select(*names, F.lit(0).alias("_f")).union(more.select(*names, F.lit(1).alias("_f"))), int(start[-1])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -189,6 +201,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if texts:
             yield judge(ids, texts, nexts)
 
-    dealt = rows.repartition(parts, "_b").sortWithinPartitions("_b", "_f", "_o", F.xxhash64("text"))
+    dealt = rows.repartitionById(parts, "_b").sortWithinPartitions("_b", "_f", "_o", "_h")
     kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.select("_b", "_f", "doc_id", "text").mapInArrow(run, kind)

@@ -110,6 +110,7 @@ def edit_within(a: Column, b: Column, t: int) -> Column:
     vp = (full << (_W - t - 1)) & full
     first = F.struct(F.lit(vp).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(t).cast("int").alias("d"))
     dist = let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
+    # texts shorter than the band don't fill its word
     return F.when(F.abs(na - nb) > t, F.lit(False)).when(F.least(na, nb) <= t, F.levenshtein(a, b) <= t).otherwise(dist <= t)
 
 
@@ -128,9 +129,10 @@ def _prefix(a: Column, b: Column) -> Column:
 
 
 def near(x: Column, y: Column, t: int) -> Column:
-    """`edit_within` of what is left without the equal ends, which cost no edit.
+    """`edit_within` of what is left without the equal ends, which cost no edit, but for t + 1 characters of each.
 
-    All is one expression: a filter that Spark pushes down computes every part once.
+    Those fill the band, so that the bit vectors decide. All is one expression: a filter that Spark
+    pushes down computes every part once.
     """
 
     def ends(s: Column, n: Column) -> Column:
@@ -140,7 +142,7 @@ def near(x: Column, y: Column, t: int) -> Column:
         return F.struct(*[F.reverse(s[c]).alias(c) for c in "xy"])
 
     def trim(s: Column) -> Column:
-        return let(_prefix(s["x"], s["y"]), lambda n: ends(s, n))
+        return let(F.greatest(_prefix(s["x"], s["y"]) - t - 1, F.lit(0)), lambda n: ends(s, n))
 
     pair = F.struct(x.alias("x"), y.alias("y"))
     middle = let(let(let(pair, trim), turned), trim)  # reversed, which leaves the distance as it is
@@ -231,11 +233,14 @@ def _kept(text: Column, drop: Column) -> Column:
 def drop_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """The documents without repeated lines; other columns unchanged, n_chars (if there) counted anew."""
     gone = cut(removals(docs, t, min_chars, short)).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_drop"))
+    # the row travels as one struct, so no name of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     # as many rows as there are documents with repeats: never broadcast, at no size
-    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_id"]), "left").withColumn("text", _kept(F.col("text"), F.col("_drop")))
+    joined = rows.join(gone.hint("merge"), F.col("_doc.doc_id").eqNullSafe(F.col("_id")), "left")
+    out = joined.select(F.col("_doc").withField("text", _kept(F.col("_doc.text"), F.col("_drop"))).alias("_doc"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[f"`{c}`" for c in docs.columns])
+        out = out.select(F.col("_doc").withField("n_chars", F.length("_doc.text").cast(docs.schema["n_chars"].dataType)).alias("_doc"))
+    return out.select("_doc.*")
 
 
 def report(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:

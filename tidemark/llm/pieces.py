@@ -37,8 +37,8 @@ from .common import cut
 GIANT, CHUNK, BLOCK = 32_768, 8_192, 64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNIT = re.compile(r" +[^ ]*")
-#: Remembered runs in a worker; beyond it the memory starts anew.
-_REMEMBER = 400_000
+#: Code points of remembered runs in a worker, beyond which the memory starts anew, and of the longest one.
+_REMEMBER, _LONGEST = 4_000_000, 64
 
 
 class Codec:
@@ -57,16 +57,22 @@ class Codec:
         self.longest = max(map(len, self.ids))
         self.space = {" ": (self.ids[" "],)}  # a lone space at the end has no text to be the prefix of
         self.seen: dict[str, tuple[int, ...]] = dict(self.space)
+        self.held = 0
 
     def units(self, spaced: str) -> list[tuple[int, ...]]:
         """Ids of a text that starts with a space (the dummy prefix), run by run."""
         runs = _UNIT.findall(spaced)
-        if new := [u for u in set(runs) if u not in self.seen]:
-            if len(self.seen) > _REMEMBER:
-                self.seen = dict(self.space)
-                new = [u for u in set(runs) if u not in self.seen]
-            self.seen.update(zip(new, map(tuple, self.sp.encode([u[1:] for u in new], num_threads=1)), strict=True))
-        return [self.seen[u] for u in runs]
+        new = [u for u in set(runs) if u not in self.seen]
+        if not new:
+            return [self.seen[u] for u in runs]
+        found = dict(zip(new, map(tuple, self.sp.encode([u[1:] for u in new], num_threads=1)), strict=True))
+        out = [found[u] if u in found else self.seen[u] for u in runs]
+        if self.held > _REMEMBER:
+            self.seen, self.held = dict(self.space), 0
+        short = {u: ids for u, ids in found.items() if len(u) <= _LONGEST}
+        self.seen |= short
+        self.held += sum(map(len, short))
+        return out
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.units(" " + text))) if text else []
@@ -153,14 +159,21 @@ def _unpack(cells, rows) -> np.ndarray:
     return np.asarray(cells, float).reshape(int(rows), -1)
 
 
-def encode_giants(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """(doc_id, h, ids, n_chunks) of texts, distinct by doc_id and hash h, by the chunked scan."""
-    s = F.concat(F.lit(" "), F.col("text"))
+def encode_giants(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """(a, h, ids, n_chunks) of distinct texts, keyed by two hashes a and h, by the chunked scan."""
     pad = 32  # code points of context; more than the longest piece
-    n = F.ceil(F.length(s) / chunk).cast("int")
-    split = docs.select("doc_id", "h", s.alias("s"), n.alias("n")).select("doc_id", "h", "s", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    lo = F.greatest(F.col("k") * chunk - pad, F.lit(0))
-    parts = split.select("doc_id", "h", "n", "k", F.substring("s", lo + 1, (F.col("k") + 1) * chunk + pad - lo).alias("w")).repartition("doc_id", "h", "k")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each text cut in one pass, a few chunks at a time."""
+        for b in batches:
+            for r in b.itertuples():
+                s = " " + r.text
+                n = -(-len(s) // chunk)
+                for i in range(0, n, block):
+                    ks = range(i, min(i + block, n))
+                    yield pd.DataFrame({"a": r.a, "h": r.h, "n": n, "k": ks, "w": [s[max(0, k * chunk - pad) : (k + 1) * chunk + pad] for k in ks]})
+
+    parts = texts.select("a", "h", "text").mapInPandas(split, "a long, h long, n int, k int, w string").repartition("a", "h", "k")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model)
@@ -170,12 +183,12 @@ def encode_giants(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block
                 p = 0 if r.k == 0 else pad
                 last = r.k == r.n - 1
                 left, right, m = c.matrix(r.w, p, min(p + chunk, len(r.w)), r.k == 0, last)
-                out.append((r.doc_id, r.h, r.n, r.k, r.w, sum(left, ()), sum(right, ()), len(left), m.ravel()))
-            yield pd.DataFrame(out, columns=["doc_id", "h", "n", "k", "w", "l", "r", "rows", "m"])
+                out.append((r.a, r.h, r.n, r.k, r.w, sum(left, ()), sum(right, ()), len(left), m.ravel()))
+            yield pd.DataFrame(out, columns=["a", "h", "n", "k", "w", "l", "r", "rows", "m"])
 
-    measured = cut(parts.mapInPandas(measure, "doc_id long, h long, n int, k int, w string, l array<int>, r array<int>, rows int, m array<double>"))
+    measured = cut(parts.mapInPandas(measure, "a long, h long, n int, k int, w string, l array<int>, r array<int>, rows int, m array<double>"))
     key = F.floor(F.col("k") / block).cast("int").alias("block")
-    mats = measured.select("doc_id", "h", "k", "rows", "m", key)
+    mats = measured.select("a", "h", "k", "rows", "m", key)
 
     def multiply(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("k")
@@ -183,24 +196,24 @@ def encode_giants(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block
         for cells, rows in zip(g.m, g.rows, strict=True):
             m = _unpack(cells, rows)
             out = m if out is None else times(out, m)
-        return pd.DataFrame({"doc_id": g.doc_id[:1], "h": g.h[:1], "block": g.block[:1], "rows": [out.shape[0]], "m": [out.ravel()]})
+        return pd.DataFrame({"a": g.a[:1], "h": g.h[:1], "block": g.block[:1], "rows": [out.shape[0]], "m": [out.ravel()]})
 
-    blocks = mats.groupBy("doc_id", "h", "block").applyInPandas(multiply, "doc_id long, h long, block int, rows int, m array<double>")
+    blocks = mats.groupBy("a", "h", "block").applyInPandas(multiply, "a long, h long, block int, rows int, m array<double>")
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("block")
         at = path([_unpack(c, r) for c, r in zip(g.m, g.rows, strict=True)], 0, 0)
-        return pd.DataFrame({"doc_id": g.doc_id, "h": g.h, "block": g.block, "s": at[:-1], "e": at[1:]})
+        return pd.DataFrame({"a": g.a, "h": g.h, "block": g.block, "s": at[:-1], "e": at[1:]})
 
-    ends = blocks.groupBy("doc_id", "h").applyInPandas(walk, "doc_id long, h long, block int, s int, e int")
+    ends = blocks.groupBy("a", "h").applyInPandas(walk, "a long, h long, block int, s int, e int")
 
     def resolve(key, g: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("k")
         at = path([_unpack(c, r) for c, r in zip(g.m, g.rows, strict=True)], int(e.s.iloc[0]), int(e.e.iloc[0]))
-        return pd.DataFrame({"doc_id": g.doc_id, "h": g.h, "k": g.k, "i": at[:-1], "j": at[1:]})
+        return pd.DataFrame({"a": g.a, "h": g.h, "k": g.k, "i": at[:-1], "j": at[1:]})
 
-    keys = ("doc_id", "h", "block")
-    taken = mats.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(resolve, "doc_id long, h long, k int, i int, j int")
+    keys = ("a", "h", "block")
+    taken = mats.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(resolve, "a long, h long, k int, i int, j int")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model)
@@ -214,19 +227,22 @@ def encode_giants(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block
                     size = z - r.r[2 * r.j]
                     spelled = len(part[-1].encode("utf-8", "surrogatepass")) if size == 1 and c.byte[ids[-1]] else 1
                     ids = ids[:-spelled]
-                out.append((r.doc_id, r.h, r.k, ids))
-            yield pd.DataFrame(out, columns=["doc_id", "h", "k", "ids"])
+                out.append((r.a, r.h, r.k, ids))
+            yield pd.DataFrame(out, columns=["a", "h", "k", "ids"])
 
-    # doc_id may be null, so the join is null-safe
-    t = taken.withColumnsRenamed({"doc_id": "_d", "h": "_h", "k": "_k"})
-    joined = measured.join(t, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")) & (F.col("k") == F.col("_k"))).select("doc_id", "h", "n", "k", "w", "l", "r", "i", "j")
-    traced = joined.mapInPandas(trace, "doc_id long, h long, k int, ids array<int>")
+    joined = measured.join(taken, ["a", "h", "k"]).select("a", "h", "n", "k", "w", "l", "r", "i", "j")
+    traced = joined.mapInPandas(trace, "a long, h long, k int, ids array<int>")
     sorted_ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]))
-    return traced.groupBy("doc_id", "h").agg(sorted_ids.alias("ids"), F.count("*").cast("int").alias("n_chunks"))
+    return traced.groupBy("a", "h").agg(sorted_ids.alias("ids"), F.count("*").cast("int").alias("n_chunks"))
 
 
 def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids, n_chunks, exact) of every whole text; exact: the ids decode to the text."""
+    """(doc_id, ids, n_chunks, exact) of every whole text; exact: the ids decode to the text.
+
+    `model` must be a path that every executor has; the setting spark.tidemark.pieces goes before its default.
+    """
+    if model == MODEL:
+        model = docs.sparkSession.conf.get("spark.tidemark.pieces", MODEL)
     text = F.coalesce("text", F.lit(""))
     flat = docs.select("doc_id", text.alias("text"), F.length(text).alias("_n"))
     kind = "doc_id long, ids array<int>, n_chunks int, exact boolean"
@@ -242,19 +258,19 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int =
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.ones(len(rows), np.int32)), pa.array(exact, pa.bool_())], names=["doc_id", "ids", "n_chunks", "exact"])
 
     small = flat.where(F.col("_n") <= giant).select("doc_id", "text").mapInArrow(plain, kind)
-    big = cut(flat.where(F.col("_n") > giant).select("doc_id", "text", F.xxhash64("text").alias("h")).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").cast("int").alias("rows")))
-    if big.isEmpty():
+    giants = cut(flat.where(F.col("_n") > giant).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("a")))
+    if giants.isEmpty():
         return small
+    big = cut(giants.groupBy("a", "h").agg(F.first("text").alias("text")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "ids": b.ids, "n_chunks": b.n_chunks, "rows": b.rows, "exact": [c.decode(i) == x for i, x in zip(b.ids, b.text, strict=True)]})
+            yield pd.DataFrame({"a": b.a, "h": b.h, "ids": b.ids, "n_chunks": b.n_chunks, "exact": [c.decode(i) == x for i, x in zip(b.ids, b.text, strict=True)]})
 
-    done = encode_giants(big, model, chunk).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
-    both = big.join(done, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("doc_id", "text", "ids", "n_chunks", "rows")
-    checked = both.mapInPandas(verify, "doc_id long, ids array<int>, n_chunks int, rows int, exact boolean")
-    return small.union(checked.select("doc_id", "ids", "n_chunks", "exact", F.explode(F.sequence(F.lit(1), "rows"))).select("doc_id", "ids", "n_chunks", "exact"))
+    both = big.join(encode_giants(big, model, chunk), ["a", "h"]).select("a", "h", "text", "ids", "n_chunks")
+    checked = both.mapInPandas(verify, "a long, h long, ids array<int>, n_chunks int, exact boolean")
+    return small.union(giants.select("doc_id", "a", "h").join(checked, ["a", "h"]).select("doc_id", "ids", "n_chunks", "exact"))
 
 
 def decode(ids: DataFrame, model: str = MODEL) -> DataFrame:

@@ -3,8 +3,9 @@
 Every distinct 64-bit fingerprint goes to the anchors of a covering code: the 64 bits are dealt into
 m blocks and a block is covered by its majority bit, so an anchor is an m-bit word. Two fingerprints
 that differ in at most t bits have a point between them within ceil(t/2) bits of both; the anchor of
-that point is within the covering radius plus the threshold of both, and both are sent to it. So
-fingerprints need only be compared within an anchor. m follows the number of fingerprints. Anchors
+that point is within the covering radius plus the threshold of both, and both are sent to it. So each
+is sent to the anchors of the points within ceil(t/2) bits only, a part of those within radius plus
+threshold, and fingerprints need only be compared within an anchor. m follows the number of fingerprints. Anchors
 with more members than `most` are refined: their members go to the anchors of the 64-block code
 (every point is an anchor, radius 0), where an anchor can hold 65 fingerprints at most for t <= 2.
 
@@ -21,7 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -50,14 +51,14 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of each whole text."""
+    """(doc_id, fp, h): the signed 64-bit fingerprint of each whole text, and a hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [_signed(fingerprint(x.as_py())) for x in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(fp, pa.int64()), b["h"]], names=["doc_id", "fp", "h"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, fp long, h long")
 
 
 def _blocks(m: int) -> list[tuple[int, int]]:
@@ -171,12 +172,16 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, most: int = MOST) -> DataF
     return few.union(_compare(_to_anchors(rest, 64, radius), threshold, parts)).distinct()
 
 
+def _classed(first: DataFrame, prints: DataFrame, threshold: int) -> DataFrame:
+    """`first` (a row per fingerprint) with `c`, the component of its fingerprint."""
+    comp = components(links(prints, threshold))
+    return first.join(comp, first["fp"] == comp["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
+
+
 def groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
     prints = cut(fingerprints(docs))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comp = components(links(prints, threshold))
-    joined = first.join(comp, first["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    joined = _classed(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), prints, threshold)
     lows = joined.groupBy("c").agg(F.min("low").alias("component_id"))
     # one row per distinct fingerprint; the join with the documents is on fp, and hot fingerprints
     # are left to Spark's skew handling of joins
@@ -190,6 +195,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each group, that of the smallest doc_id; columns unchanged."""
-    kept = groups(docs, threshold).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each group, columns unchanged: that of the smallest doc_id (null: the largest of all).
+
+    Of several rows with that doc_id in the group the one with the least hash of its text stays; of rows
+    equal in both the one with the least hash of the whole row.
+    """
+    prints = cut(fingerprints(docs))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
+    best = _classed(prints.groupBy("fp").agg(F.min(place).alias("k")), prints, threshold).groupBy("c").agg(F.min("k").alias("k"))
+    stay = cut(best.select(F.col("k.id").alias("_id"), F.col("k.h").alias("_h")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    kept = rows.join(stay, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_h")))
+    turn = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.xxhash64("_doc")))
+    return kept.withColumn("_turn", turn).where("_turn = 1").select("_doc.*")
