@@ -46,7 +46,7 @@ from .common import cut
 LENGTH, GRAM, SYMBOL = 100, 32, 20
 SPAN = LENGTH - GRAM + 1
 #: Stretches in a shard, and bytes of input for each bucket of stretches.
-SHARD, BUCKET_BYTES = 4_096, 4_000_000
+SHARD, BUCKET_BYTES = 2_048, 4_000_000
 #: Different stretches of one minimizer that are brought together; more are dealt by window.
 HOT = 4_096
 _C = [np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0xBF58476D1CE4E5B9)]
