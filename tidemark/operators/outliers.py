@@ -71,3 +71,18 @@ def context(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int =
     w = Window.partitionBy(*keys).orderBy(ts, *tie, value)
     df = df.withColumn("mean_before", F.avg(value).over(w.rowsBetween(-rows, -1))).withColumn("mean_after", F.avg(value).over(w.rowsBetween(1, rows)))
     return df.withColumn("asymmetry", F.col("mean_after") - F.col("mean_before"))
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int, tie: Sequence[str] = ()) -> DataFrame:
+    """Columns prev_i and next_i (i from 0, the row itself) with the values of the rows around each one."""
+    w = Window.partitionBy(*keys).orderBy(ts, *tie, value)
+    return df.withColumns({f"{n}_{i}": f(value, i).over(w) for i in range(rows) for n, f in (("prev", F.lag), ("next", F.lead))})
+
+
+def against_bounds(df: DataFrame, bounds: DataFrame, group: str, value: str, low: str, high: str) -> DataFrame:
+    """Rows of the groups in `bounds` (one row per group) with `outside`: whether the value is out of its group's bounds.
+
+    A null value is within none and outside of none: null.
+    """
+    out = (F.col(value) < F.col(low)) | (F.col(value) > F.col(high))
+    return df.join(F.broadcast(bounds), group).withColumn("outside", out)  # a row per group

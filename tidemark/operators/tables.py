@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import hours_between
 from tidemark.operators.ranks import quantiles, running
 
 
@@ -117,3 +118,36 @@ def table_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], col: str) -> Dat
     j = x.join(y, keys, "full")
     kind = F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").when(~F.col("a_value").eqNullSafe(F.col("b_value")), "changed")
     return j.withColumn("kind", kind).where("kind is not null").select(*keys, "kind", "a_value", "b_value")
+
+
+def at_maximum(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """All rows that reach their key's highest score, ties too."""
+    top = df.groupBy(*keys).agg(F.max(score).alias("_top"))
+    return df.join(top, list(keys)).where(F.col(score) == F.col("_top")).drop("_top")
+
+
+def ends(df: DataFrame, first: Sequence[Column], last: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of either order, as part head and tail."""
+    part = lambda order, name: df.orderBy(*order).limit(k).withColumn("part", F.lit(name))
+    return part(first, "head").unionByName(part(last, "tail"))
+
+
+def sample_keys(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
+    """All rows of k keys, drawn by a seeded hash, so that reruns draw the same."""
+    drawn = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    return df.join(F.broadcast(drawn), key)  # k rows
+
+
+def funnel(df: DataFrame, by: str, steps: Sequence[tuple[str, str]]) -> DataFrame:
+    """Links between consecutive steps (name, time column) by group: rows that go on, with the median hours, and those that drop off.
+
+    A row reaches a step if it has the times of it and of all steps before it; links without rows are left out.
+    """
+    reached, parts = F.col(steps[0][1]).isNotNull(), []
+    for (a, x), (b, y) in zip(steps, steps[1:], strict=False):
+        on = reached & F.col(y).isNotNull()
+        parts += [F.when(on, F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), hours_between(x, y).alias("h"))), F.when(reached & ~on, F.struct(F.lit(a).alias("source"), F.lit(f"No {b}").alias("target"), F.lit(None).cast("double").alias("h")))]
+        reached = on
+    long = df.select(by, F.explode(F.array_compact(F.array(*parts))).alias("_x")).select(by, "_x.*")
+    keys = [by, "source", "target"]
+    return join_groups(long.groupBy(*keys).agg(F.count("*").alias("n")), quantiles(long, keys, "h", {"median_hours": 0.5}), keys)

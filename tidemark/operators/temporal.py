@@ -203,12 +203,13 @@ def transitions(df: DataFrame, keys: Sequence[str], ts: str, state: str, loops:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("from_state")))
 
 
-def path_edges(df: DataFrame, keys: Sequence[str], ts: str, state: str, min_count: int = 1) -> DataFrame:
-    """Numbered steps of each key's path of changes: step, from_state, to_state, n."""
+def path_edges(df: DataFrame, keys: Sequence[str], ts: str, state: str, min_count: int = 1, normalise: bool = False) -> DataFrame:
+    """Numbered steps of each key's path of changes: step, from_state, to_state, n, and with `normalise` the share of the step."""
     w = Window.partitionBy(*keys).orderBy(ts, state)
     changed = df.withColumn("_p", F.lag(state).over(w)).where(f"_p is null or _p <> `{state}`")
     step = changed.withColumn("to_state", F.lead(state).over(w)).withColumn("step", F.row_number().over(w)).where("to_state is not null")
-    return step.groupBy("step", F.col(state).alias("from_state"), "to_state").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    n = step.groupBy("step", F.col(state).alias("from_state"), "to_state").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("step"))) if normalise else n
 
 
 def values_at(df: DataFrame, keys: Sequence[str], ts: str, start: str, value: str, offsets: Sequence[float]) -> DataFrame:

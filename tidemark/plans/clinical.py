@@ -12,10 +12,11 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import any_of, hours_between
+from tidemark.functions.scalars import any_of, hours_between, mean_arterial, part, systolic
 from tidemark.operators.outliers import bounded
-from tidemark.operators.tables import backbone_join, first_rows
+from tidemark.operators.tables import backbone_join, earliest, first_rows, highest
 from tidemark.operators.temporal import asof_join, band_join, fill_forward, lookback
+from tidemark.plans.statistics import compare_runs
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class Infection:
     lactate: str = "Lactate"
     page: str = "Code Sepsis Page"
     flag: str = "Suspected Infection"
+    flag_text: str = "Yes"
     culture_before: float = 72
     culture_after: float = 24
     lactate_hours: float = 6
@@ -44,7 +46,7 @@ class Infection:
 #: The look-back features (group, aggregate, hours).
 FEATURES: dict[str, tuple[str, str, float]] = {
     "last_temp_8h": ("Temperature", "last", 8), "last_pulse_8h": ("Pulse", "last", 8), "last_resp_8h": ("Respirations", "last", 8),
-    "last_sbp_8h": ("SBP", "last", 8), "last_map_8h": ("MAP", "last", 8), "last_wbc_12h": ("WBC", "last", 12),
+    "last_sbp_8h": ("Systolic Blood Pressure", "last", 8), "last_map_8h": ("Arterial Blood Pressure Mean", "last", 8), "last_wbc_12h": ("WBC", "last", 12),
     "last_creatinine_12h": ("Creatinine", "last", 12), "last_egfr_12h": ("eGFR", "last", 12), "last_bilirubin_12h": ("Bilirubin", "last", 12),
     "last_lactate_6h": ("Lactate", "last", 6), "last_platelets_24h": ("Platelets", "last", 24), "last_inr_12h": ("INR", "last", 12),
     "last_aptt_24h": ("APTT", "last", 24), "last_gcs_12h": ("Glasgow Coma Score", "last", 12),
@@ -53,6 +55,20 @@ FEATURES: dict[str, tuple[str, str, float]] = {
 }
 
 
+#: A variant of the features over the extremes of a day, and of 15 minutes for pressures.
+DAY_FEATURES: dict[str, tuple[str, str, float]] = {
+    "max_temp_24h": ("Temperature", "max", 24), "min_temp_24h": ("Temperature", "min", 24), "max_pulse_24h": ("Pulse", "max", 24),
+    "max_resp_24h": ("Respirations", "max", 24), "max_sbp_15m": ("Systolic Blood Pressure", "max", 0.25), "max_map_15m": ("Arterial Blood Pressure Mean", "max", 0.25),
+    "max_wbc_24h": ("WBC", "max", 24), "min_wbc_24h": ("WBC", "min", 24), "max_creatinine_24h": ("Creatinine", "max", 24), "max_egfr_24h": ("eGFR", "max", 24),
+    "max_bilirubin_24h": ("Bilirubin", "max", 24), "max_lactate_24h": ("Lactate", "max", 24), "max_platelets_24h": ("Platelets", "max", 24), "max_inr_24h": ("INR", "max", 24),
+    "max_aptt_24h": ("APTT", "max", 24), "max_gcs_24h": ("Glasgow Coma Score", "max", 24), "max_vasopressin_24h": ("Vasopressin", "max", 24),
+    "max_phenylephrine_24h": ("Phenylephrine", "max", 24), "max_norepinephrine_24h": ("Norepinephrine", "max", 24), "max_epinephrine_24h": ("Epinephrine", "max", 24),
+}
+
+#: Hours for which a value of the group is carried to later nulls.
+EXPIRY = {"Pulse": 8.0, "Blood Pressure": 8.0, "Respirations": 8.0, "Temperature": 8.0, "WBC": 12.0}
+
+
 @dataclass(frozen=True)
 class Scenario:
     """One named set of thresholds."""
@@ -81,26 +97,70 @@ def nearest_pairs(a: DataFrame, b: DataFrame, key: str, at: str, bt: str, before
     return pairs.groupBy(key).agg(F.min(F.struct("infect_time", "a_time", "b_time")).alias("p")).select(key, "p.a_time", "p.b_time", "p.infect_time")
 
 
+#: How each kind of suspicion is named in the long table, and in the wide one.
+SUSPICIONS = {"IV+Culture": "antibiotic_culture", "LACTATE+CULTURE": "lactate_culture", "CODE_SEPSIS_ORDER": "sepsis_diagnosis_code", "FLOWSHEET_SUSPECTED_INFECTION": "suspected_infection_flowsheet"}
+
+
 def infections(events: DataFrame, s: Scenario) -> DataFrame:
-    """Long table: key, criterion, infect_dt, suspicion_infection_type."""
+    """Long table: key, criterion (which time it is), infect_dt, suspicion_infection_type.
+
+    A pair (antibiotic and culture, lactate and culture) gives a row for either time, as bands around
+    both count later; pages and flags give one each.
+    """
     c, i = s.columns, s.infection
     slice_ = lambda cond, name: events.where(cond).select(c.key, F.col(c.ts).alias(name)).where(F.col(name).isNotNull())
-    culture = slice_(F.col(c.group) == i.culture, "b_t")
-    abx = nearest_pairs(slice_(F.col(c.kind) == i.antibiotic, "a_t"), culture, c.key, "a_t", "b_t", i.culture_before, i.culture_after)
-    lac = band_join(culture, slice_(F.col(c.group) == i.lactate, "l_t"), [c.key], "b_t", "l_t", i.lactate_hours, i.lactate_hours)
-    lac = lac.withColumn("infect_time", F.least("b_t", "l_t")).groupBy(c.key).agg(F.min(F.struct("infect_time", "b_t", "l_t")).alias("p")).select(c.key, F.col("p.infect_time").alias("infect_time"))
-    page = slice_(F.col(c.group) == i.page, "infect_time")
-    flag = slice_((F.col(c.group) == i.flag) & (F.lower(F.trim(c.text)) == "yes"), "infect_time")
+    culture = slice_(F.col(c.group) == i.culture, "culture_dt")
+    abx = nearest_pairs(slice_(F.col(c.kind) == i.antibiotic, "iv_dt"), culture, c.key, "iv_dt", "culture_dt", i.culture_before, i.culture_after)
+    abx = abx.select(c.key, F.col("a_time").alias("iv_dt"), F.col("b_time").alias("culture_dt"))
+    near = band_join(culture, slice_(F.col(c.group) == i.lactate, "lactate_dt"), [c.key], "culture_dt", "lactate_dt", i.lactate_hours, i.lactate_hours)
+    first = F.min(F.struct(F.least("culture_dt", "lactate_dt").alias("t"), "culture_dt", "lactate_dt")).alias("p")
+    lac = near.groupBy(c.key).agg(first).select(c.key, "p.culture_dt", "p.lactate_dt")
+    page = slice_(F.col(c.group) == i.page, "first_ev_time_codesepsis")
+    flag = slice_((F.col(c.group) == i.flag) & (F.col(c.text) == i.flag_text), "first_ev_time_flowsheet")
     out = None
-    for df, crit in ((abx, "antibiotic_culture"), (lac, "lactate_culture"), (page, "code_sepsis"), (flag, "suspected_infection")):
-        x = df.select(c.key, F.lit(crit).alias("criterion"), F.col("infect_time").alias("infect_dt"), F.lit(crit).alias("suspicion_infection_type"))
+    for df, name in zip((abx, lac, page, flag), SUSPICIONS, strict=True):
+        times = [x for x in df.columns if x != c.key]
+        x = df.unpivot([c.key], times, "criterion", "infect_dt").withColumn("suspicion_infection_type", F.lit(name))
         out = x if out is None else out.unionByName(x)
-    return out.distinct()
+    return out
 
 
 def infections_wide(long: DataFrame, key: str) -> DataFrame:
-    """Per key: earliest time, its type, and all met criteria joined with `__`."""
-    return long.groupBy(key).agg(F.min("infect_dt").alias("infect_dt"), F.min_by("criterion", F.struct("infect_dt", "criterion")).alias("infection_type"), F.array_join(F.sort_array(F.collect_set("criterion")), "__").alias("criteria"))
+    """Per key: infection_time (earliest), first_ev_type (what it came from) and infection_ev_type (all that were met, joined by `__`)."""
+    named = F.create_map(*[F.lit(x) for kv in SUSPICIONS.items() for x in kv])
+    met = long.select(key, "infect_dt", F.element_at(named, F.col("suspicion_infection_type")).alias("_e"))
+    return met.groupBy(key).agg(
+        F.min("infect_dt").alias("infection_time"), F.min_by("_e", F.struct("infect_dt", "_e")).alias("first_ev_type"),
+        F.array_join(F.sort_array(F.collect_set("_e")), "__").alias("infection_ev_type"),
+    )
+
+
+def infections_by_band(a: DataFrame, b: DataFrame, key: str, at: str, bt: str, before: float, after: float) -> DataFrame:
+    """Per key the earliest of all times of pairs whose `a` lies in [b - before, b + after]."""
+    pairs = band_join(b.select(key, bt), a.select(key, at), [key], bt, at, before, after)
+    return pairs.groupBy(key).agg(F.min(F.least(at, bt)).alias("infect_time"))
+
+
+def pressures(events: DataFrame, c: Columns, pressure: str = "Blood Pressure", missing: float = 0.1) -> DataFrame:
+    """(key, time, group, number) of all events that count for features, blood pressures as systolic and mean ones.
+
+    Systolic ones come from the text if more than `missing` of the pressure rows lack a number, else from
+    the number. A mean that can't be read stays as a null, which hides earlier ones; other nulls go.
+    """
+    cols = (c.key, c.ts, c.group, c.number)
+    bp = events.where(F.col(c.group) == pressure)
+    share = bp.agg((F.count_if(F.col(c.number).isNull()) / F.count("*") > missing).alias("_text"))  # one row
+    sys = bp.crossJoin(F.broadcast(share)).withColumn(c.number, F.when(F.col("_text"), systolic(F.col(c.text))).otherwise(F.col(c.number)))
+    sys = sys.where(F.col(c.number).isNotNull()).withColumn(c.group, F.lit("Systolic Blood Pressure"))
+    mean = bp.withColumn(c.number, mean_arterial(F.col(c.text))).withColumn(c.group, F.lit("Arterial Blood Pressure Mean"))
+    rest = events.where(F.col(c.number).isNotNull() & ~F.col(c.group).eqNullSafe(pressure))
+    return rest.select(*cols).unionByName(sys.select(*cols)).unionByName(mean.select(*cols))
+
+
+def number_from_pressure(events: DataFrame, c: Columns, kind: str = "Flowsheet", pressure: str = "Blood Pressure") -> DataFrame:
+    """The events with the first number of a pressure's text ("120/80") as its number; text that doesn't parse makes it null."""
+    is_text = (F.col(c.kind) == kind) & (F.col(c.group) == pressure) & F.col(c.text).isNotNull()
+    return events.withColumn(c.number, F.when(is_text, part(F.col(c.text), "/", 1).try_cast("long").cast("double")).otherwise(F.col(c.number)))
 
 
 def _flag(c: Column) -> Column:
@@ -156,43 +216,60 @@ def septic_shock(agg: DataFrame, null_mode: str = "as_zero") -> DataFrame:
 @dataclass(frozen=True)
 class Ventilation:
     onoff: str = "Vent On/Off"
+    on_status: tuple[str, ...] = ("On Going Hospital Vent", "Initial", "$ On Going Hospital Vent")
+    off_status: tuple[str, ...] = ("Standby",)
+    home_status: str = "$ Home Vent Used"
     on_doc: str = "Vent On Documentation"
     off_doc: str = "Vent Off Documentation"
     pao2: str = "PAO2"
     fio2: str = "FIO2"
-    delivery: str = "O2 Delivery"
-    mechanical: tuple[str, ...] = ("Ventilator",)
-    low_support: tuple[str, ...] = ("Room air", "Nasal cannula", "None (Room air)")
+    mechanical: str = "O2 Delivery Mechanical Ventilation"
+    mechanical_status: tuple[str, ...] = ("ventilator", "mechanical ventilator", "CPAP", "NPPV/NIV")
+    low_support: tuple[str, ...] = ("O2 Delivery Nasal Cannula", "O2 Delivery Room Air", "O2 Delivery Simple Face Mask")
     dependent_codes: tuple[str, ...] = ("Z99.11", "Z93.0")
     pf_limit: float = 200
     pf_hours: float = 2
 
 
 def pf_pairs(events: DataFrame, c: Columns, v: Ventilation) -> DataFrame:
-    """Each PaO2 with every FiO2 less than `pf_hours` away: key, time, pf_ratio, PF_Ratio_Flag."""
-    p = events.where(F.col(c.group) == v.pao2).select(c.key, F.col(c.ts).alias("p_t"), F.col(c.number).alias("pao2"))
+    """Each PaO2 with every FiO2 less than `pf_hours` away: key, times, name, pf_ratio (infinite for a FiO2 of 0), PF_Ratio_Flag (1 or null)."""
+    p = events.where(F.col(c.group) == v.pao2).select(c.key, F.col(c.ts).alias("p_t"), F.col(c.name).alias("p_name"), F.col(c.number).alias("pao2"))
     q = events.where(F.col(c.group) == v.fio2).select(c.key, F.col(c.ts).alias("f_t"), F.col(c.number).alias("fio2"))
     near = band_join(p, q, [c.key], "p_t", "f_t", v.pf_hours, v.pf_hours).where(F.abs(hours_between("p_t", "f_t")) < v.pf_hours)
-    return near.where("fio2 > 0").withColumn("pf_ratio", F.col("pao2") / (F.col("fio2") / 100)).withColumn("PF_Ratio_Flag", F.when(F.col("pf_ratio") < v.pf_limit, 1))
+    ratio = F.when((F.col("fio2") == 0) & (F.col("pao2") > 0), float("inf")).otherwise(F.try_divide(F.col("pao2"), F.col("fio2") / 100))
+    return near.withColumn("pf_ratio", ratio).withColumn("PF_Ratio_Flag", F.when(F.col("pf_ratio") < v.pf_limit, 1))
+
+
+def vent_dependent(events: DataFrame, c: Columns, v: Ventilation) -> DataFrame:
+    """Keys with a dependency code, or with a ventilator from home."""
+    home = (F.col(c.group) == v.onoff) & (F.col(c.text) == v.home_status)
+    return events.where(F.col(c.text).isin(*v.dependent_codes) | home).select(c.key).distinct()
 
 
 def pulmonary(events: DataFrame, c: Columns = Columns(), v: Ventilation = Ventilation()) -> DataFrame:
-    """On flags (1 or null), end flag (0 or null) and the pulmonary flag of ventilation events.
+    """All events with on flags (1 or null), end flag (0 or null) and the pulmonary flag, which an end sets to 0.
 
-    Encounters that depend on a ventilator are left out.
+    Keys that depend on a ventilator are left out. A PaO2 with several FiO2 near it has a row for each.
     """
-    home = events.where(F.col(c.text).isin(*v.dependent_codes)).select(c.key).distinct()
-    df = events.join(home, c.key, "left_anti")
-    pf = pf_pairs(df, c, v).select(c.key, F.col("p_t").alias(c.ts), F.lit(v.pao2).alias(c.group), "pf_ratio", "PF_Ratio_Flag")
-    df = df.where(F.col(c.group).isin(v.onoff, v.on_doc, v.off_doc, v.pao2, v.fio2, v.delivery)).join(pf, [c.key, c.ts, c.group], "left")
+    df = events.join(vent_dependent(events, c, v), c.key, "left_anti")
+    pf = pf_pairs(df, c, v).select(c.key, F.col("p_t").alias(c.ts), F.col("p_name").alias(c.name), "pf_ratio", "PF_Ratio_Flag")
+    df = df.join(pf, [c.key, c.ts, c.name], "left")
     g, t = F.col(c.group), F.col(c.text)
     df = df.withColumns({
-        "vent_onoff_flag": F.when((g == v.onoff) & (F.lower(t) == "on"), 1), "vent_doc_flag": F.when((g == v.on_doc) & t.isNotNull() & (t != "Standby"), 1),
-        "o2_vent_flag": F.when((g == v.delivery) & t.isin(*v.mechanical), 1),
+        "vent_onoff_flag": F.when((g == v.onoff) & t.isin(*v.on_status), 1), "vent_doc_flag": F.when(g == v.on_doc, 1),
+        "o2_vent_flag": F.when((g == v.mechanical) & t.isin(*v.mechanical_status), 1),
     })
-    end = ((g == v.onoff) & (F.lower(t) == "off")) | (g == v.off_doc) | ((g == v.delivery) & t.isin(*v.low_support)) | ((g == v.on_doc) & (t.isNull() | (t == "Standby"))) | (F.col("pf_ratio") > v.pf_limit)
+    end = (g == v.off_doc) | g.isin(*v.low_support) | ((g == v.onoff) & (t.isNull() | t.isin(*v.off_status))) | (F.col("pf_ratio") > v.pf_limit)
     df = df.withColumn("vent_end_flag", F.when(end, 0))
-    return df.withColumn("pulmonary_dysfunction_flag", F.coalesce("vent_end_flag", "vent_onoff_flag", "vent_doc_flag", "o2_vent_flag", "PF_Ratio_Flag"))
+    return df.withColumn("pulmonary_dysfunction_flag", F.coalesce("vent_end_flag", "vent_onoff_flag", "vent_doc_flag", "PF_Ratio_Flag", "o2_vent_flag"))
+
+
+def latest_status(timeline: DataFrame, events: DataFrame, c: Columns, on: str, off: str, oxygen: str) -> DataFrame:
+    """key, time, status_time, status: for each instant the ventilator status last documented (`off` before any) and, as a row of its own, the oxygen one if there is one."""
+    t = timeline.select(c.key, c.ts).distinct()
+    last = lambda *groups: asof_join(t, events.where(F.col(c.group).isin(*groups)).select(c.key, F.col(c.ts).alias("status_time"), F.col(c.group).alias("status")), [c.key], c.ts, "status_time", ["status"])
+    vent, o2 = last(on, off).withColumn("r_status", F.coalesce("r_status", F.lit(off))), last(oxygen).where("r_status is not null")
+    return vent.union(o2).distinct().select(c.key, c.ts, F.col("r_status_time").alias("status_time"), F.col("r_status").alias("status"))
 
 
 def sepsis_labels(infect: DataFrame, sirs_df: DataFrame, organ: DataFrame, shock: DataFrame, key: str, ts: str, s: Scenario, pulmonary_df: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -220,8 +297,8 @@ def stacked(labels: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 
 def poa(first: str, arrival: str, hours: float, score: Column | None = None) -> Column:
-    """POA if the first instant is within `hours` after arrival, else NPOA (null without either), with the severity."""
-    label = F.when(hours_between(arrival, first) <= hours, "POA").when(F.col(first).isNotNull() & F.col(arrival).isNotNull(), "NPOA")
+    """POA if the first instant is within `hours` after arrival, else (also without either time) NPOA, with the severity."""
+    label = F.when(hours_between(arrival, first) <= hours, "POA").otherwise("NPOA")
     return label if score is None else F.concat(label, F.lit("-"), score.cast("string"))
 
 
@@ -230,10 +307,10 @@ def run(spark: SparkSession, events: DataFrame, encounters: DataFrame, s: Scenar
     c = s.columns
     ev = events.withColumn(c.number, bounded(c.group, c.number, s.bounds)) if s.bounds else events
     infect = infections(ev, s)
-    agg = lookback(ev, ev, c.key, c.ts, c.group, c.number, s.features)
+    agg = lookback(ev, pressures(ev, c), c.key, c.ts, c.group, c.number, s.features)
     base = encounters.select(c.key, *[n for n in encounters.columns if n.startswith("Baseline_")])
     joined = agg.join(base, c.key, "left")
-    out = {"infect_long": infect, "agg": agg, "sirs": sirs(agg), "organdysfunction": organ_dysfunction(joined), "septicshock": septic_shock(joined, s.null_mode), "o2vent": pulmonary(ev, c)}
+    out = {"events": events, "bounded": ev, "infect_long": infect, "agg": agg, "sirs": sirs(agg), "organdysfunction": organ_dysfunction(joined), "septicshock": septic_shock(joined, s.null_mode), "o2vent": pulmonary(ev, c)}
     return out | sepsis_labels(infect, out["sirs"], out["organdysfunction"], out["septicshock"], c.key, c.ts, s, out["o2vent"])
 
 
@@ -248,6 +325,38 @@ def load_scenario(spark: SparkSession, root: str, name: str, tables: Sequence[st
     return {t: spark.read.parquet(f"{root}/{t}/scenario={name}") for t in tables}
 
 
+Stored = str | tuple[str, str] | Mapping[str, DataFrame]
+
+
+def resolve(spark: SparkSession, ref: Stored, root: str, tables: Sequence[str]) -> Mapping[str, DataFrame]:
+    """The tables of a scenario given as they are, by name under `root`, or as (another root, name)."""
+    if isinstance(ref, Mapping):
+        return ref
+    folder, name = (root, ref) if isinstance(ref, str) else ref
+    return load_scenario(spark, folder, name, tables)
+
+
+def compare_scenarios(spark: SparkSession, a: Stored, b: Stored, root: str, key: str = Columns.key) -> dict[str, DataFrame]:
+    """Two scenarios' labels compared: overlap of keys, and agreement of the first and of the highest score."""
+    names = ("sepsis1", "sepsis2", "sepsis3")
+    both = [severities(stacked(resolve(spark, x, root, names), key), key) for x in (a, b)]
+    return compare_runs(*both, key, ["sepsis_score", "sepsis_score_at_max"])
+
+
+def run_and_compare(spark: SparkSession, events: DataFrame, encounters: DataFrame, a: Scenario, b: Scenario, root: str) -> dict[str, DataFrame]:
+    """Both scenarios run and stored, then compared."""
+    for s in (a, b):
+        run_scenario(spark, events, encounters, s, root)
+    return compare_scenarios(spark, a.name, b.name, root, a.columns.key)
+
+
+def severities(stack: DataFrame, key: str) -> DataFrame:
+    """Per key: first instant and its highest score, and the highest score and its first instant (`_at_max`)."""
+    first = earliest(stack, [key], "score", "instant").withColumnsRenamed({"first_time": "first_sepsis_instant", "first_score": "sepsis_score"})
+    most = highest(stack, [key], "score", "instant").withColumnsRenamed({"max_score": "sepsis_score_at_max", "max_time": "first_sepsis_instant_at_max"})
+    return first.join(most, key)
+
+
 def sofa_worst(band: DataFrame, key: str, organ: str, points: str, least: int = 2) -> DataFrame:
     """Worst points of each organ, summed per key; keys with at least `least`."""
     worst = band.groupBy(key, organ).agg(F.max(points).alias("p"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -14,35 +11,13 @@ from tidemark.operators import tables as R
 from tidemark.operators import temporal as T
 from tidemark.plans import clinical as C
 from tidemark.plans import statistics as X
-
-Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _ALL[f.__name__], _SQL[f.__name__] = f, sql
-        return f
-
-    return put
-
-
-def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _events(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
-    e = _read(spark, d, "events")
-    return e.where(F.col("event_type").isin(*kinds)) if kinds else e
+from tidemark.plans.registry import ALL, SQL, Query
+from tidemark.plans.registry import events as _events
+from tidemark.plans.registry import query as _query
+from tidemark.plans.registry import read as _read
+from tidemark.plans.registry import rounded as _r
 
 
-def _r(*cols: str, n: int = 6):
-    return [F.round(c, n).alias(c) for c in cols]
-
-
-_US = "epoch_us({b}) - epoch_us({a})"
-
 
 @_query("""
 SELECT p.user_id, p.event_id, p.ts, CASE WHEN p.ts - v.ts <= INTERVAL 24 HOUR THEN v.ts END AS r_ts,
@@ -410,10 +385,10 @@ def chi_square_test(spark, d):
 WITH v AS (SELECT event_type AS g, round(value, 0) AS value FROM events), k AS (SELECT *, rank() OVER (ORDER BY value) AS r, count(*) OVER (PARTITION BY value) AS t FROM v),
 s AS (SELECT g, count(*) AS n, sum(r + (t - 1) / 2.0) AS rs FROM k GROUP BY 1), ties AS (SELECT sum(t::DOUBLE ** 3 - t) AS ties FROM (SELECT count(*) AS t FROM v GROUP BY value)),
 a AS (SELECT sum(n)::DOUBLE AS n, sum(rs * rs / n) AS s, count(*) AS k FROM s)
-SELECT round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)), 4) AS h, k - 1 AS dof FROM a, ties""")
+SELECT round(h, 4) AS h, dof, round(exp(-h / 2) * (1 + h / 2), 6) AS p FROM (SELECT (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h, k - 1 AS dof FROM a, ties)""")
 def kruskal_test(spark, d):
     e = _events(spark, d).select("event_type", F.round("value", 0).alias("value"))
-    return X.kruskal_wallis(e, "event_type", "value").withColumn("h", F.round("h", 4))
+    return X.kruskal_wallis(e, "event_type", "value").withColumn("h", F.round("h", 4)).withColumn("p", F.round("p", 6))
 
 
 @_query("""
@@ -539,25 +514,33 @@ def shock_flags_null_propagating(spark, d):
 
 
 _VENT = {
-    "user_id": "user_id", "ts": "ts", "grp": "CASE event_type WHEN 'click' THEN 'Vent On/Off' WHEN 'view' THEN 'PAO2' WHEN 'error' THEN 'FIO2' WHEN 'purchase' THEN 'O2 Delivery' ELSE 'Vent On Documentation' END",
-    "txt": "CASE WHEN event_type = 'click' THEN CASE WHEN value > 40 THEN 'On' ELSE 'Off' END WHEN event_type = 'purchase' THEN CASE WHEN value > 60 THEN 'Ventilator' WHEN value > 20 THEN 'Nasal cannula' ELSE 'Mask' END WHEN event_type = 'signup' AND value > 5 THEN CASE WHEN value > 150 THEN 'Z99.11' WHEN value > 30 THEN 'Standby' ELSE 'PEEP' END END",
+    "user_id": "user_id", "ts": "ts", "nam": "event_type",
+    "grp": "CASE event_type WHEN 'click' THEN 'Vent On/Off' WHEN 'view' THEN 'PAO2' WHEN 'error' THEN 'FIO2' WHEN 'purchase' THEN CASE WHEN value > 40 THEN 'O2 Delivery Mechanical Ventilation' ELSE 'O2 Delivery Room Air' END ELSE CASE WHEN value > 20 THEN 'Vent On Documentation' ELSE 'Vent Off Documentation' END END",
+    "txt": "CASE WHEN event_type = 'click' AND value > 60 THEN 'Initial' WHEN event_type = 'click' AND value > 30 THEN 'Standby' WHEN event_type = 'click' AND value > 20 THEN 'Check' WHEN event_type = 'click' AND value < 0.3 THEN '$ Home Vent Used' WHEN event_type = 'purchase' AND value > 60 THEN 'ventilator' WHEN event_type = 'purchase' THEN 'Mask' WHEN event_type = 'signup' AND value > 250 THEN 'Z99.11' END",
     "num": "value",
 }
 
 
 @_query(f"""
-WITH e AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _VENT.items())} FROM events), x AS (SELECT * FROM e WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM e WHERE txt = 'Z99.11' AND user_id IS NOT NULL)),
-pf AS (SELECT p.user_id, p.ts, p.num / (q.num / 100) AS pf_ratio FROM x p JOIN x q ON p.user_id = q.user_id AND p.grp = 'PAO2' AND q.grp = 'FIO2' AND q.ts > p.ts - INTERVAL 48 HOUR AND q.ts < p.ts + INTERVAL 48 HOUR WHERE q.num > 0),
-j AS (SELECT x.*, pf_ratio FROM x LEFT JOIN pf ON x.user_id = pf.user_id AND x.ts = pf.ts AND x.grp = 'PAO2')
-SELECT user_id, ts, grp, round(pf_ratio, 6) AS pf_ratio, CASE
- WHEN (grp = 'Vent On/Off' AND txt = 'Off') OR (grp = 'O2 Delivery' AND txt = 'Nasal cannula') OR (grp = 'Vent On Documentation' AND (txt IS NULL OR txt = 'Standby')) OR pf_ratio > 200 THEN 0
- WHEN (grp = 'Vent On/Off' AND txt = 'On') OR (grp = 'Vent On Documentation' AND txt <> 'Standby') OR (grp = 'O2 Delivery' AND txt = 'Ventilator') OR pf_ratio < 200 THEN 1 END AS pulmonary_dysfunction_flag FROM j""")
+WITH e AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _VENT.items())} FROM events),
+x AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e h WHERE h.user_id = e.user_id AND (h.txt = 'Z99.11' OR (h.grp = 'Vent On/Off' AND h.txt = '$ Home Vent Used')))),
+pf AS (SELECT p.user_id, p.ts, p.nam, p.num / (q.num / 100) AS pf_ratio FROM x p JOIN x q ON p.user_id = q.user_id AND p.grp = 'PAO2' AND q.grp = 'FIO2' AND q.ts > p.ts - INTERVAL 48 HOUR AND q.ts < p.ts + INTERVAL 48 HOUR)
+SELECT x.user_id, x.ts, grp, round(pf_ratio, 6) AS pf_ratio, CASE
+ WHEN grp IN ('Vent Off Documentation', 'O2 Delivery Room Air') OR (grp = 'Vent On/Off' AND (txt IS NULL OR txt = 'Standby')) OR pf_ratio > 200 THEN 0
+ WHEN (grp = 'Vent On/Off' AND txt = 'Initial') OR grp = 'Vent On Documentation' OR pf_ratio < 200 OR (grp = 'O2 Delivery Mechanical Ventilation' AND txt = 'ventilator') THEN 1 END AS pulmonary_dysfunction_flag
+FROM x LEFT JOIN pf ON x.user_id = pf.user_id AND x.ts = pf.ts AND x.nam = pf.nam""")
 def pulmonary_flags(spark, d):
-    e = _read(spark, d, "events").selectExpr(*[f"{x} AS {n}" for n, x in _VENT.items()])
-    p = C.pulmonary(e, C.Columns(key="user_id", ts="ts", group="grp", text="txt", number="num"), C.Ventilation(pf_hours=48))
+    p = C.pulmonary(_vents(spark, d), _VENT_COLUMNS, C.Ventilation(pf_hours=48))
     return p.select("user_id", "ts", "grp", F.round("pf_ratio", 6).alias("pf_ratio"), "pulmonary_dysfunction_flag")
 
 
+_VENT_COLUMNS = C.Columns(key="user_id", ts="ts", group="grp", name="nam", text="txt", number="num")
+
+
+def _vents(spark, d):
+    return _read(spark, d, "events").selectExpr(*[f"{x} AS {n}" for n, x in _VENT.items()])
+
+
 @_query("""
 WITH i AS (SELECT DISTINCT user_id, ts AS infect_dt FROM events WHERE event_type = 'error'), hit AS (SELECT i.*, e.ts, e.event_type, e.value FROM i JOIN events e ON e.user_id = i.user_id AND e.ts BETWEEN infect_dt - INTERVAL 96 HOUR AND infect_dt + INTERVAL 96 HOUR),
 two AS (SELECT * FROM hit WHERE event_type = 'view' AND floor(value / 10) >= 1), three AS (SELECT hit.* FROM hit JOIN (SELECT DISTINCT user_id, infect_dt FROM two) USING (user_id, infect_dt) WHERE event_type = 'purchase' AND value > 30)
@@ -609,8 +592,12 @@ def group_aggregates(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_ALL)
+    from tidemark.plans import cohort_queries  # noqa: F401  registers its own
+
+    return dict(ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.strip() for k, v in _SQL.items()}
+    from tidemark.plans import cohort_queries  # noqa: F401  registers its own
+
+    return dict(SQL)
