@@ -5,7 +5,7 @@ stems and give the voters' first accuracies, as pseudo-counts; no row's own labe
 and rows without a label take part alike. A generative label model (EM) estimates how often each voter
 fires on either class and how voters depend on each other: a spanning tree joins those that share most
 given the class, and a vote counts by how likely it is on either class, given what the voter above it
-in the tree did. The posteriors of all fitted rows train a logistic classifier on words, stems and
+in the tree did; a row without any vote has the evidence of its silence. The posteriors of all fitted rows train a logistic classifier on words, stems and
 patterns, which scores all documents.
 
 At most `ROWS` labelled and `MORE` other training documents (the lowest by a hash of doc_id) are fitted;
@@ -153,12 +153,13 @@ def evidence(votes: np.ndarray, toxic: np.ndarray, clean: np.ndarray, parent: np
     return (votes * (1 - above)) @ np.log(t0 / c0) + (votes * above) @ np.log(t1 / c1)
 
 
-def _posterior(z: np.ndarray, share: float) -> np.ndarray:
-    """Logistic of z, moved so that its mean is `share`."""
+def _posterior(said: np.ndarray, silent: np.ndarray, quiet: float, share: float) -> np.ndarray:
+    """Logistic of `said`, moved so that all rows' mean is `share`; rows without a vote have `quiet`."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     lo, hi = -60.0, 60.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        p = 1 / (1 + np.exp(-np.clip(z + mid, -30, 30)))
+        p = np.where(silent, sigmoid(quiet), sigmoid(said + mid))
         lo, hi = (mid, hi) if p.mean() < share else (lo, mid)
     return p
 
@@ -166,18 +167,23 @@ def _posterior(z: np.ndarray, share: float) -> np.ndarray:
 def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior P(toxic) of rows x voters (0/1); y: 1, 0, or -1 for rows without a label.
 
-    Labels enter as pseudo-counts of the voters' accuracies and as the share of toxic rows only.
+    Labels enter as pseudo-counts of the voters' accuracies and as the share of toxic rows only. Single
+    voters abstain, but the silence of all of them is evidence of its own.
     """
     known = [pair_counts(votes[y >= 0], (y[y >= 0] == k).astype(float)) for k in (0, 1)]
     share = float(np.clip((y == 1).sum() / max(1, (y >= 0).sum()), 0.001, 0.5))
-    clean, toxic = known
+    silent = ~votes.any(1)
+    mute = [np.array([((y == k) & silent).sum(), (y == k).sum()], float) for k in (0, 1)]
+    (clean, toxic), (still, hush) = known, mute
     post = None
     for _ in range(rounds):
-        new = _posterior(evidence(votes, toxic, clean, dependencies([clean, toxic])), share)
+        quiet = math.log(share / (1 - share)) + math.log((hush[0] + 0.5) / (hush[1] + 1)) - math.log((still[0] + 0.5) / (still[1] + 1))
+        new = _posterior(evidence(votes, toxic, clean, dependencies([clean, toxic])), silent, quiet, share)
         if post is not None and np.abs(new - post).max() < 1e-3:
             return new
         post = new
         clean, toxic = (k + pair_counts(votes, w) for k, w in zip(known, (1 - post, post), strict=True))
+        still, hush = (k + np.array([w[silent].sum(), w.sum()]) for k, w in zip(mute, (1 - post, post), strict=True))
     return post
 
 
