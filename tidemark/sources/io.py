@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import null_tokens
 
-DATETIME, DATE = "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd"
+#: Shapes of the texts of a time and of a day.
+DATETIME, DATE = r"^\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d(\\.\\d{1,6})?$", r"^\\d{4}-\\d\\d-\\d\\d$"
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -22,6 +23,21 @@ def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
     return df.select(*[null_tokens(F.col(c)).alias(c) for c in df.columns])
 
 
+def read_csv(spark: SparkSession, path: str, tokens: Sequence[str] = ("null", "NULL", "Null", "None"), sample: float = 1.0) -> DataFrame:
+    """A CSV with header and inferred types, the null tokens as null; one pass over the (sampled) file infers them.
+
+    Tokens are made null before types are inferred: the reader knows only one null text, so the file is
+    read as text lines, cleaned, and parsed from there.
+    """
+    text = read_text_csv(spark, path).select("*")
+    clean = text.select(*[F.when(~F.col(c).isin(*tokens), F.col(c)).alias(c) for c in text.columns])
+    kinds = ("bigint", "double", "timestamp_ntz")
+    seen = clean.sample(sample, seed=1) if sample < 1 else clean
+    fits = seen.agg(*[F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` as {k})").isNull()).alias(f"{c}|{k}") for c in clean.columns for k in kinds], *[F.count(c).alias(f"{c}|n") for c in clean.columns]).first()
+    pick = lambda c: next((k for k in kinds if fits[f"{c}|n"] and not fits[f"{c}|{k}"]), None)
+    return clean.select(*[F.expr(f"try_cast(`{c}` as {pick(c)})").alias(c) if pick(c) else F.col(c) for c in clean.columns])
+
+
 def cast_known(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Text columns cast by name: long, double, datetime or date; what doesn't parse is null; others stay."""
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
@@ -31,7 +47,8 @@ def cast_known(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
         if kind is None or c not in text:
             return F.col(c)
         if kind in ("datetime", "date"):
-            return F.expr(f"try_cast(`{c}` as timestamp_ntz)").alias(c)
+            shape = DATETIME if kind == "datetime" else DATE
+            return F.expr(f"CASE WHEN `{c}` rlike '{shape}' THEN try_cast(`{c}` as timestamp_ntz) END").alias(c)
         return F.col(c).try_cast(kind).alias(c)
 
     return df.select(*[cast(c) for c in df.columns])
@@ -54,9 +71,18 @@ def mismatches(frames: Mapping[str, DataFrame]) -> dict[str, tuple[list[str], li
 
 
 def combine_events(events: Sequence[DataFrame], encounters: DataFrame, key: str, ts: str) -> DataFrame:
-    """All event tables with encounter attributes, distinct, without rows that lack key or time."""
+    """All event tables with encounter attributes, distinct, without rows that lack key or time.
+
+    Rows are made distinct before the attributes are joined, which gives the same rows as after it, as
+    long as an encounter has one row.
+    """
     all_events = harmonise_types(events)
-    return all_events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).distinct().join(encounters, key, "left")
+    return all_events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).distinct().join(encounters.distinct(), key, "left")
+
+
+def split_extract(wide: DataFrame, key: str, ts: str, attributes: Sequence[str], scores: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """A wide extract as an encounter table (each attribute at the latest time) and a table of scores by key and time."""
+    return last_attributes(wide, key, ts, attributes), wide.select(key, ts, *scores)
 
 
 def harmonise_types(frames: Sequence[DataFrame]) -> DataFrame:
