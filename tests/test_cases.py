@@ -101,7 +101,24 @@ def test_bounds_and_mad(spark):
     spike = [("c", 20 + i, at(i), 300.0 if i == 3 else 70.0 + i) for i in range(7)]
     lone = [("d", 30 + i, at(20 * i), float(i * 100)) for i in range(6)]
     m = spark.createDataFrame(four + same + spike + lone, "k string, i int, t timestamp_ntz, v double")
-    assert rows(O.mad_outliers(m, ["k"], "t", "v", "i").where("outlier"), "i") == [(23,)]
+    assert rows(O.mad_outliers(m, ["k"], "t", "v").where("outlier"), "i") == [(23,)]
+
+
+def test_windows_across_buckets(spark):
+    r = np.random.default_rng(5)
+    t, v = np.sort(r.integers(0, 3_000, 300)), r.normal(50, 9, 300)
+    df = spark.createDataFrame([(1, at(seconds=60 * int(a)), None if i % 17 == 0 else float(b), i) for i, (a, b) in enumerate(zip(t, v, strict=True))] + [(1, None, 1.0, 999)], "k int, t timestamp_ntz, v double, i int")
+    v = np.where(np.arange(300) % 17 == 0, np.nan, v)
+    inside = [np.flatnonzero(np.abs(t - a) <= 150) for a in t]
+    med = np.array([np.nanmedian(v[w]) for w in inside])
+    mad = np.array([1.4826 * np.nanmedian(np.abs(v - med)[w]) for w in inside])
+    got = {x.i: x for x in O.robust_z(df, ["k"], "t", "v", 2.5, 2.5).collect()}
+    assert len(got) == 301 and got[999].robust_z is None
+    for i in range(300):
+        assert got[i].med == pytest.approx(med[i]) and got[i].mad == pytest.approx(mad[i]), i
+        assert got[i].robust_z is None if np.isnan(v[i]) else got[i].robust_z == pytest.approx((v[i] - med[i]) / mad[i])
+    clean, gone = O.split_outliers(df, ["k"], "t", "v", hours=2.5)
+    assert clean.count() + gone.count() == 301 and clean.columns == df.columns
 
 
 def test_pressure_text(spark):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left, insort
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import HOUR, micros
 
@@ -28,42 +33,124 @@ def velocity_flags(df: DataFrame, keys: Sequence[str], ts: str, value: str, per_
     return df.withColumn("too_fast", F.coalesce(recent & (F.col("_d") / F.col("_m") > per_minute), F.lit(False))).withColumn("too_far", F.coalesce(recent & (F.col("_d") > step), F.lit(False))).drop("_m", "_d")
 
 
+def near_in_time(df: DataFrame, keys: Sequence[str], ts: str, value: str, reach: float, run: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], fields: Sequence[T.StructField]) -> DataFrame:
+    """Every row with `fields`, computed by `run` from the times (in microseconds, ascending) and values around it.
+
+    A key's rows are dealt out by buckets of time, with those within `reach` hours of a bucket beside its
+    own, so that a long key is many tasks and a task holds the readings of a few `reach` at most. A null
+    value is nan to `run`; rows without a time get nulls.
+    """
+    width = max(round(4 * reach * HOUR), HOUR)
+    known = df.where(F.col(ts).isNotNull()).withColumn("_us", micros(ts))
+    of = lambda c: F.floor(c / width)
+    far = round(reach * HOUR)
+    dealt = known.withColumn("_b", F.explode(F.sequence(of(F.col("_us") - far), of(F.col("_us") + far)))).withColumn("_own", of(F.col("_us")) == F.col("_b"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_us")
+        out = run(table["_us"].to_numpy(), table[value].cast(pa.float64()).to_numpy())
+        own = pc.equal(table["_own"], True)
+        table = table.drop_columns(["_us", "_b", "_own"])
+        for f in fields:
+            table = table.append_column(f.name, pa.array(out[f.name]))
+        return table.filter(own)
+
+    got = dealt.groupBy(*keys, "_b").applyInArrow(solve, T.StructType([*df.schema.fields, *fields]))
+    return got.unionByName(df.where(F.col(ts).isNull()), allowMissingColumns=True)
+
+
+def _windows(us: np.ndarray, before: float, after: float) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each row's window, and the row after its last; both bounds belong to it."""
+    return np.searchsorted(us, us - round(before * HOUR), "left"), np.searchsorted(us, us + round(after * HOUR), "right")
+
+
+def sliding_median(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Median of x[lo:hi] for ascending bounds, from one sorted list that values enter and leave; nan is left out."""
+    held: list[float] = []
+    out, a, b = np.full(len(x), np.nan), 0, 0
+    for i in range(len(x)):
+        while b < hi[i]:
+            if x[b] == x[b]:
+                insort(held, x[b])
+            b += 1
+        while a < lo[i]:
+            if x[a] == x[a]:
+                held.pop(bisect_left(held, x[a]))
+            a += 1
+        n = len(held)
+        if n:
+            out[i] = (held[(n - 1) // 2] + held[n // 2]) / 2
+    return out
+
+
 def robust_z(df: DataFrame, keys: Sequence[str], ts: str, value: str, before: float, after: float, scale: float = 1.4826) -> DataFrame:
-    """(v - rolling median) / (scale * rolling median deviation); 0 where that deviation is 0."""
-    w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-round(before * HOUR), round(after * HOUR))
-    df = df.withColumn("med", F.percentile(value, 0.5).over(w)).withColumn("_dev", F.abs(F.col(value) - F.col("med")))
-    df = df.withColumn("mad", F.percentile("_dev", 0.5).over(w) * scale)
-    return df.withColumn("robust_z", F.when(F.col("mad") == 0, 0.0).otherwise((F.col(value) - F.col("med")) / F.col("mad"))).drop("_dev")
+    """`med`, `mad` and `robust_z`: (v - rolling median) / (scale * rolling median deviation); 0 where that deviation is 0."""
+
+    def run(us: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        lo, hi = _windows(us, before, after)
+        med = sliding_median(v, lo, hi)
+        return {"med": med, "mad": scale * sliding_median(np.abs(v - med), lo, hi)}
 
+    # the deviations of a window come from medians of windows that reach as far again
+    out = near_in_time(df, keys, ts, value, 2 * max(before, after), run, [T.StructField(c, T.DoubleType()) for c in ("med", "mad")])
+    out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("med", "mad")})
+    return out.withColumn("robust_z", F.when(F.col("mad") == 0, 0.0).otherwise((F.col(value) - F.col("med")) / F.col("mad")))
 
-def rolling_z(df: DataFrame, keys: Sequence[str], ts: str, value: str, before: float, floor: float) -> DataFrame:
-    """z against the mean and deviation (at least `floor`) of [t - before, t)."""
-    w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-round(before * HOUR), -1)
-    sd = F.greatest(F.stddev_samp(value).over(w), F.lit(floor))
-    return df.withColumn("z", (F.col(value) - F.avg(value).over(w)) / sd)
 
+def rolling_z(df: DataFrame, keys: Sequence[str], ts: str, value: str, window: float, floor: float, back: float = 2) -> DataFrame:
+    """z against the median of (t - back, t - back + window] hours and the deviation (at least `floor`) of [t - window, t).
+
+    Without two readings in the latter the deviation is `floor`.
+    """
 
-def _median(a: Column) -> Column:
-    s = F.sort_array(a)
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    def run(us: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        edge = us - round(back * HOUR)
+        return {"_med": sliding_median(v, np.searchsorted(us, edge, "right"), np.searchsorted(us, edge + round(window * HOUR), "right"))}
 
+    w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-round(window * HOUR), -1)
+    sd = df.withColumn("_sd", F.greatest(F.stddev_samp(value).over(w), F.lit(float(floor))))
+    out = near_in_time(sd, keys, ts, value, max(back, window - back), run, [T.StructField("_med", T.DoubleType())])
+    return out.withColumn("z", (F.col(value) - F.nanvl("_med", F.lit(None).cast("double"))) / F.col("_sd")).drop("_med", "_sd")
 
-def mad_outliers(df: DataFrame, keys: Sequence[str], ts: str, value: str, row: str, hours: float = 8, least_rows: int = 5, least_near: int = 2, limit: float = 3.5, floor: float = 0.01) -> DataFrame:
+
+def rolling_z_by_group(df: DataFrame, keys: Sequence[str], ts: str, value: str, group: str, params: Mapping[str, tuple[float, float, float]]) -> DataFrame:
+    """`z` and `outlier` (|z| above the limit) of the groups in `params`: hours of the window, floor of the deviation, limit.
+
+    One plan for each group over its own rows, one below the other; groups without parameters are left out.
+    """
+    out = None
+    for g, (hours, floor, limit) in params.items():
+        one = rolling_z(df.where(F.col(group) == g), [*keys, group], ts, value, hours, floor).withColumn("outlier", F.coalesce(F.abs("z") > limit, F.lit(False)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def mad_outliers(df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: float = 8, least_rows: int = 5, least_near: int = 2, limit: float = 3.5, floor: float = 0.01) -> DataFrame:
     """`outlier`: |v - median| / max(MAD, floor) above the limit, over the rows within ±hours but this one.
 
-    Keys with fewer than `least_rows` readings, and rows with fewer than `least_near` neighbours,
-    have none. `row` identifies a row. Memory is bounded by the readings of 2 * hours.
+    Keys with fewer than `least_rows` readings, and rows with fewer than `least_near` neighbours, have none.
     """
-    w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-round(hours * HOUR), round(hours * HOUR))
-    near = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(row).alias("i"), F.col(value).alias("v")))).over(w)
-    df = df.withColumn("_n", F.count(value).over(Window.partitionBy(*keys))).withColumn("_a", near)
-    df = df.withColumn("_a", F.transform(F.filter("_a", lambda x: x["i"] != F.col(row)), lambda x: x["v"]))
-    df = df.withColumn("_med", _median(F.col("_a")))
-    df = df.withColumn("_mad", _median(F.transform("_a", lambda v: F.abs(v - F.col("_med")))))
-    score = F.abs(F.col(value) - F.col("_med")) / F.greatest("_mad", F.lit(floor))
-    out = (F.col("_n") >= least_rows) & (F.size("_a") >= least_near) & (score > limit)
-    return df.withColumn("outlier", F.coalesce(out, F.lit(False))).drop("_n", "_a", "_med", "_mad")
+
+    def run(us: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        lo, hi = _windows(us, hours, hours)
+        far = np.zeros(len(v), bool)
+        for i, (a, b) in enumerate(zip(lo, hi, strict=True)):
+            near = np.concatenate([v[a:i], v[i + 1 : b]])
+            near = near[near == near]
+            if len(near) >= least_near and v[i] == v[i]:
+                med = np.median(near)
+                far[i] = abs(v[i] - med) / max(np.median(np.abs(near - med)), floor) > limit
+        return {"outlier": far}
+
+    many = df.withColumn("_n", F.count(value).over(Window.partitionBy(*keys)))
+    out = near_in_time(many, keys, ts, value, hours, run, [T.StructField("outlier", T.BooleanType())])
+    return out.withColumn("outlier", F.coalesce("outlier", F.lit(False)) & (F.col("_n") >= least_rows)).drop("_n")
+
+
+def split_outliers(df: DataFrame, keys: Sequence[str], ts: str, value: str, **options: float) -> tuple[DataFrame, DataFrame]:
+    """The rows that `mad_outliers` leaves, and those that it flags."""
+    flagged = mad_outliers(df, keys, ts, value, **options)
+    return flagged.where("not outlier").drop("outlier"), flagged.where("outlier").drop("outlier")
 
 
 def context(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int = 3, tie: Sequence[str] = ()) -> DataFrame:

@@ -151,3 +151,17 @@ def funnel(df: DataFrame, by: str, steps: Sequence[tuple[str, str]]) -> DataFram
     long = df.select(by, F.explode(F.array_compact(F.array(*parts))).alias("_x")).select(by, "_x.*")
     keys = [by, "source", "target"]
     return join_groups(long.groupBy(*keys).agg(F.count("*").alias("n")), quantiles(long, keys, "h", {"median_hours": 0.5}), keys)
+
+
+def group_diff(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    """Groups that only one of two extracts has, with their rows: group, kind (only_a, only_b), n."""
+    n = lambda d, name: d.groupBy(group).agg(F.count("*").alias(name))
+    x, y = n(a, "_a"), n(b, "_b").withColumnRenamed(group, "_g")
+    j = x.join(y, F.col(group).eqNullSafe(F.col("_g")), "full").where("_a is null or _b is null")
+    return j.select(F.coalesce(group, "_g").alias(group), F.when(F.col("_b").isNull(), "only_a").otherwise("only_b").alias("kind"), F.coalesce("_a", "_b").alias("n"))
+
+
+def column_diff(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
+    """Columns that only one of two extracts has, and those whose types differ."""
+    x, y = dict(a.dtypes), dict(b.dtypes)
+    return {"only_a": [c for c in x if c not in y], "only_b": [c for c in y if c not in x], "retyped": [c for c in x if c in y and x[c] != y[c]]}

@@ -272,6 +272,11 @@ def latest_status(timeline: DataFrame, events: DataFrame, c: Columns, on: str, o
     return vent.union(o2).distinct().select(c.key, c.ts, F.col("r_status_time").alias("status_time"), F.col("r_status").alias("status"))
 
 
+def dysfunction_by_status(status: Column, on: Sequence[str]) -> Column:
+    """1 if the latest status is one of those that mean support, else 0 (null: 0)."""
+    return F.when(status.isin(*on), 1).otherwise(0)
+
+
 def sepsis_labels(infect: DataFrame, sirs_df: DataFrame, organ: DataFrame, shock: DataFrame, key: str, ts: str, s: Scenario, pulmonary_df: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables sepsis1, sepsis2, sepsis3: infection time, matching event and the earlier of both."""
     inf = infect.select(key, "infect_dt").distinct()

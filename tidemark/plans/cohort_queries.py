@@ -592,9 +592,13 @@ def fill_from_nearest(spark, d):
     return T.fill_nearest(e, ["user_id"], "ts", "v", "filled", 8).select("event_id", "filled")
 
 
-@query("""
-WITH x AS (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING))
-SELECT event_id, round((value - m) / greatest(s, 0.9), 4) AS z FROM x""")
+def _z_sql(window: int, floor: float, kind: str = "") -> str:
+    """event_id, value, m, s: the rolling median and floored deviation behind `rolling_z`."""
+    return f"""SELECT event_id, value, quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND {(window - 2) * 3600000000} FOLLOWING) AS m,
+ greatest(stddev_samp(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {window * 3600000000} PRECEDING AND 1 PRECEDING), {floor}) AS s FROM events {kind and f"WHERE event_type = '{kind}'"}"""
+
+
+@query(f"SELECT event_id, round((value - m) / s, 4) AS z FROM ({_z_sql(24, 0.9)})")
 def rolling_z_scores(spark, d):
     return O.rolling_z(events(spark, d), ["user_id"], "ts", "value", 24, 0.9).select("event_id", F.round("z", 4).alias("z"))
 
@@ -795,3 +799,26 @@ def path_step_shares(spark, d):
 def top_values_per_user(spark, d):
     e = R.first_rows(events(spark, d), ["user_id"], [F.desc("value"), F.col("event_id")], 3)
     return e.select("event_id", F.lit(True).alias("among_top"))
+
+
+_ZP = {"click": (24, 0.9, 2.0), "view": (72, 5.0, 1.5)}
+
+
+@query(" UNION ALL ".join(f"SELECT event_id, coalesce(abs((value - m) / s) > {limit}, false) AS outlier FROM ({_z_sql(h, floor, g)})" for g, (h, floor, limit) in _ZP.items()))
+def rolling_z_by_group(spark, d):
+    return O.rolling_z_by_group(events(spark, d), ["user_id"], "ts", "value", "event_type", _ZP).select("event_id", "outlier")
+
+
+@query("SELECT event_type, 'only_a' AS kind, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 UNION ALL SELECT event_type, 'only_b', count(*) FROM events WHERE event_type = 'signup' GROUP BY 1")
+def new_and_missing_groups(spark, d):
+    return R.group_diff(events(spark, d, "click", "view", "error"), events(spark, d, "error", "signup"), "event_type")
+
+
+@query("""
+WITH f AS (SELECT user_id, ts, max(CASE WHEN event_type = 'click' THEN value END) AS top_click FROM events GROUP BY 1, 2), g AS (SELECT user_id, ts, CASE WHEN max(value) > 60 THEN 1 ELSE 0 END AS high FROM events GROUP BY 1, 2)
+SELECT event_id, f.top_click, g.high, CASE WHEN event_type IN ('click', 'signup') THEN 1 ELSE 0 END AS supported FROM events JOIN f USING (user_id, ts) JOIN g USING (user_id, ts)""")
+def joined_back(spark, d):
+    e = events(spark, d)
+    per = lambda *c: e.groupBy("user_id", "ts").agg(*c)
+    parts = [per(F.max(F.when(F.col("event_type") == "click", F.col("value"))).alias("top_click")), per((F.max("value") > 60).cast("int").alias("high"))]
+    return R.join_all(e, parts, ["user_id", "ts"]).select("event_id", "top_click", "high", C.dysfunction_by_status(F.col("event_type"), ["click", "signup"]).alias("supported"))

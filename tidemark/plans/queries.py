@@ -166,7 +166,7 @@ m AS (SELECT a.event_id, a.user_id, a.value, count(b.value) AS k, quantile_cont(
 x AS (SELECT m.event_id, m.user_id, m.value, m.k, m.med, quantile_cont(abs(b.value - m.med), 0.5) AS mad FROM m JOIN events a USING (event_id) LEFT JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 28800000000 GROUP BY ALL)
 SELECT x.event_id, coalesce(c.n >= 5 AND k >= 2 AND abs(value - med) / greatest(mad, 0.01) > 3.5, false) AS outlier FROM x JOIN c USING (user_id)""")
 def mad_removal(spark, d):
-    return O.mad_outliers(_events(spark, d), ["user_id"], "ts", "value", "event_id").select("event_id", "outlier")
+    return O.mad_outliers(_events(spark, d), ["user_id"], "ts", "value").select("event_id", "outlier")
 
 
 _SPELL = """
