@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, iblt, line_dedup, mixing, pieces, pii, quality, simhash, toxicity, url_filter
+from . import bwt_dedup, iblt, line_dedup, merkle, mixing, periodic_runs, pieces, pii, quality, simhash, toxicity, url_filter
 from .common import documents
 
 
@@ -51,7 +51,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-_ALL = (op1_toxicity, op2_sentencepiece, op3_quality_rules, op4_suffix_array_dedup, op5_url_filter, op6_fingerprints, op7_pii, op8_mixing, op9_line_dedup, op10_simhash)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir))
+
+
+_ALL = (op1_toxicity, op2_sentencepiece, op3_quality_rules, op4_suffix_array_dedup, op5_url_filter, op6_fingerprints, op7_pii, op8_mixing, op9_line_dedup, op10_simhash, op11_periodic_runs, op12_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
