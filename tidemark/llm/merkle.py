@@ -234,3 +234,44 @@ def verify(docs: DataFrame) -> DataFrame:
         F.sha2(text_of(F.concat(before, after, "proof")), 256).alias("proof_sha256"), text_of(F.col("x.folded")).alias("folded_root"),
     )
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def oracle_sql() -> str:
+    """SQL with the rows of `verify`."""
+    def hashed(text: str) -> str:
+        values = [text if c == "text" else c for c in FIELDS]
+        return "sha256(concat(" + ", ".join(f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in values) + "))"
+
+    # CRC-32, bit by bit over the digits
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)"
+    digits = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, b: {bits}), 4294967295)"
+    sides = f"""coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, place // {FAN} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, place // {FAN} ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after"""
+
+    def tree(name: str, first: str) -> str:
+        return f"""{name} AS ({first}
+  UNION ALL SELECT tree, level + 1, place // {FAN}, sha256(string_agg(node, '' ORDER BY place)), (n + {FAN - 1}) // {FAN} FROM {name} WHERE n > 1 GROUP BY tree, level, place // {FAN}, n)"""
+
+    def climb(name: str, first: str, family: str) -> str:
+        return f"""{name} AS ({first}
+  UNION ALL SELECT rid, c.tree, c.level + 1, c.place // {FAN}, sha256(concat(before, fold, after)), concat(proof, before, after)
+  FROM {name} c JOIN {family} f ON f.tree = c.tree AND f.level = c.level AND f.place = c.place)"""
+
+    return f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {hashed("text")} AS leaf,
+    CASE WHEN {crc} % 3 = 0 THEN {hashed(f"translate(text, '{_AZ}', '{_AZ.lower()}')")} END AS other FROM documents),
+trees AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves GROUP BY lang),
+placed AS MATERIALIZED (
+  SELECT rid, doc_id, leaf, coalesce(other, leaf) AS fold, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM leaves JOIN trees ON leaves.lang IS NOT DISTINCT FROM trees.lang),
+{tree("inside", "SELECT tree, 0 AS level, place, leaf AS node, n FROM placed")},
+sub AS MATERIALIZED (SELECT tree, level, node FROM inside WHERE n = 1),
+{tree("top", "SELECT 0 AS tree, 0 AS level, tree AS place, node, (SELECT count(*) FROM sub) AS n FROM sub")},
+under AS MATERIALIZED (SELECT tree, level, place, {sides} FROM inside WHERE n > 1),
+over AS MATERIALIZED (SELECT tree, level, place, {sides} FROM top WHERE n > 1),
+{climb("low", "SELECT rid, tree, 0 AS level, place, fold, '' AS proof FROM placed", "under")},
+{climb("high", "SELECT rid, 0 AS tree, 0 AS level, low.tree AS place, fold, proof FROM low JOIN sub USING (tree, level)", "over")}
+SELECT doc_id, leaf, sub.node AS subroot, top.node AS root, sha256(proof) AS proof_sha256, high.fold AS folded_root, high.fold = top.node AS verified
+FROM placed JOIN high USING (rid) JOIN top ON top.n = 1 AND top.level = high.level JOIN sub ON sub.tree = placed.tree"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, iblt, line_dedup, merkle, mixing, periodic_runs, pieces, pii, quality, simhash, toxicity, url_filter
+from . import bwt_dedup, iblt, line_dedup, merkle, mixing, periodic_runs, pieces, pii, quality, secrets, simhash, toxicity, url_filter
 from .common import documents
 
 
@@ -59,7 +59,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(documents(spark, sf_dir))
 
 
-_ALL = (op1_toxicity, op2_sentencepiece, op3_quality_rules, op4_suffix_array_dedup, op5_url_filter, op6_fingerprints, op7_pii, op8_mixing, op9_line_dedup, op10_simhash, op11_periodic_runs, op12_merkle_manifest)
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(documents(spark, sf_dir))
+
+
+_ALL = (op1_toxicity, op2_sentencepiece, op3_quality_rules, op4_suffix_array_dedup, op5_url_filter, op6_fingerprints, op7_pii, op8_mixing, op9_line_dedup, op10_simhash, op11_periodic_runs, op12_merkle_manifest, op13_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -67,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle_sql()}
+    return {"op3_quality_rules": quality.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
