@@ -86,6 +86,22 @@ def test_mixing(docs, rows, odd, empty):
     assert mixing.taken(empty).count() == 0 and mixing.repeat_documents(empty).count() == 0
 
 
+def test_mixing_is_repeatable(spark):
+    """Rows equal in id and text but not in other columns, over three partitionings, with many equal rows."""
+    rows = [(1, "same words here", "en", "s", 3, f"x{i}") for i in range(50)] + [(i, f"w{i} " * (1 + i % 7), "en", "st"[i % 2], 4, "y") for i in range(2, 200)]
+    rows += [(None, "z z", "en", None, 2, f"n{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    got = [Counter(map(str, mixing.repeat_documents(df.repartition(k, "extra")).collect())) for k in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len([r for r in got[0] if "same words here" in r]) == 1
+    per = [sorted(map(str, mixing.taken(df.repartition(k, "extra")).collect())) for k in (1, 3)]
+    assert per[0] == per[1] and len(per[0]) == len(rows)
+    equal = mixing.taken(df).where("doc_id = 1").collect()
+    assert len(equal) == 50 and {r.copies for r in equal} <= {0, 1, 2} and max(r.copies for r in equal) - min(r.copies for r in equal) <= 1
+    assert sum(got[0].values()) == sum(r.copies for r in mixing.taken(df).collect())
+    many = mixing.mix(mixing.sizes(spark.range(100_000).selectExpr("7L doc_id", "'a b c' text", "'s' source"))).collect()
+    assert [(r.rows, r.copies) for r in many] == [(100_000, 150_000)]
+
+
 def test_mixing_multipliers(docs):
     sized = mixing.sizes(docs)
     out = mixing.multipliers(sized, mixing.targets(sized)).collect()
@@ -227,6 +243,21 @@ def test_line_dedup(spark, odd, empty, t):
     assert line_dedup.report(empty).count() == 0 and line_dedup.drop_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows of one doc_id or of none are documents of their own: nothing that is told once goes."""
+    a, b, c = (f"{x} is a line of more than twenty characters" for x in ("first", "second thing", "a third of them"))
+    rows = [(1, a), (5, a), (5, b), (None, f"{c}\n{b}"), (None, f"x\n{a}\n{a} 2"), (None, "only here and nowhere else at all"), (9, f"{c}\n{c}"), (9, f"{c}\n{c}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [(r.doc_id, r.text) for r in line_dedup.drop_lines(df, short=True).collect()]
+    kept = Counter(x for _, t in out for x in t.split("\n") if x)
+    # one of each line, though `a 2` may go as a near copy; rows without an id come first
+    assert all(kept[x] == 1 for x in (a, b, c, "only here and nowhere else at all", "x")) and len(out) == len(rows)
+    assert Counter(d for d, _ in out) == Counter(d for d, _ in rows) and (5, "") in out and out.count((9, "")) == 2
+    many = "\n".join(["the same line of more than twenty"] * 30_000 + [f"line {i} of its own kind, told once" for i in range(0, 3_000_000, 100_003)])
+    got = line_dedup.report(spark.createDataFrame([(1, many)], "doc_id long, text string"), short=True).collect()
+    assert got[0].n_exact == 29_999
+
+
 def test_short_lines(spark, tmp_path):
     texts = ["short\n\n \nother", "short\nshor\n\n \nthird", "short\nother\n" + "a line of more than twenty", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

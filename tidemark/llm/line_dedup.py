@@ -11,8 +11,9 @@ by the segments of what the lines hold besides (see `candidates`). The first lin
 each connected group stays, the others go.
 
 Nulls and odd inputs: a null text has no lines and stays null; blank lines of less than `MIN_CHARS`
-always stay, short ones too without `short`; a text may become empty, its document stays; lines of
-rows with one doc_id and equal place are ties and both stay; empty tables give empty results.
+always stay, short ones too without `short`; a text may become empty, its document stays; rows of one
+doc_id (or without one) are told apart by a 64-bit hash of their texts, which orders them too; rows equal
+in both are one document, of which every copy keeps the same lines; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -149,11 +150,16 @@ def near(x: Column, y: Column, t: int) -> Column:
     return let(middle, lambda m: edit_within(m["x"], m["y"], t))
 
 
+def row_key() -> Column:
+    """What tells a row from others: its doc_id, and the hash of its text in case ids repeat."""
+    return F.struct("doc_id", F.xxhash64("text").alias("tie"))
+
+
 def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     part = F.length("line") >= min_chars
     if short:
         part = part | F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    flat = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(part)
+    flat = docs.select(row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(part)
     return flat.withColumn("n", F.length("line")).withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line"))
 
 
@@ -210,9 +216,9 @@ def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
 
 
 def removals(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """(doc_id, exact, near): the 0-based numbers of the lines that go, as copies and as near copies."""
+    """(row, exact, near): the 0-based numbers of the lines that go, as copies and as near copies, by `row_key`."""
     docs = docs.select("doc_id", "text")
-    place = F.struct("doc_id", "ln")
+    place = F.struct("row", "ln")
     firsts = cut(_lines(docs, min_chars, short).groupBy("h", "g", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
     comp = components(near_pairs(docs, t, min_chars))
     grouped = firsts.join(comp, firsts["h"] == comp["node"])
@@ -220,23 +226,31 @@ def removals(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, sh
     of = grouped.join(keeper, "component").select("h", "g", "n", "first", "copies", "keeper")
     rest = firsts.join(comp, firsts["h"] == comp["node"], "left_anti").where("copies > 1").select("h", "g", "n", "first", "copies", F.col("first").alias("keeper"))
     marked = cut(of.union(rest).where("copies > 1 or first <> keeper"))
-    gone = _lines(docs, min_chars, short).select("doc_id", "ln", "h", "g", "n").join(marked, ["h", "g", "n"]).where(F.struct("doc_id", "ln") != F.col("keeper"))
-    per = gone.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") == F.col("keeper"), F.col("ln"))).alias("exact"), F.collect_list(F.when(F.col("first") != F.col("keeper"), F.col("ln"))).alias("near"))
+    gone = _lines(docs, min_chars, short).select("row", "ln", "h", "g", "n").join(marked, ["h", "g", "n"]).where(place != F.col("keeper"))
+    # rows equal in id and text bring each of their lines as often as there are rows
+    per = gone.groupBy("row").agg(F.collect_set(F.when(F.col("first") == F.col("keeper"), F.col("ln"))).alias("exact"), F.collect_set(F.when(F.col("first") != F.col("keeper"), F.col("ln"))).alias("near"))
     return per
 
 
 def _kept(text: Column, drop: Column) -> Column:
-    rest = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(drop, i))
-    return F.when(drop.isNull() | (F.size(drop) == 0), text).otherwise(F.array_join(rest, "\n"))
+    def rest(lines: Column) -> Column:
+        # a set difference of the numbers: linear in the lines, however many go
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i)), "\n")
+
+    return F.when(drop.isNull() | (F.size(drop) == 0), text).otherwise(let(F.split(text, "\n"), rest))
+
+
+def _same_row() -> Column:
+    return (F.col("_key.tie") == F.col("_row.tie")) & F.col("_key.doc_id").eqNullSafe(F.col("_row.doc_id"))
 
 
 def drop_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """The documents without repeated lines; other columns unchanged, n_chars (if there) counted anew."""
-    gone = cut(removals(docs, t, min_chars, short)).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_drop"))
+    gone = cut(removals(docs, t, min_chars, short)).select(F.col("row").alias("_row"), F.concat("exact", "near").alias("_drop"))
     # the row travels as one struct, so no name of it can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = docs.select(row_key().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     # as many rows as there are documents with repeats: never broadcast, at no size
-    joined = rows.join(gone.hint("merge"), F.col("_doc.doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = rows.join(gone.hint("merge"), _same_row(), "left")
     out = joined.select(F.col("_doc").withField("text", _kept(F.col("_doc.text"), F.col("_drop"))).alias("_doc"))
     if "n_chars" in docs.columns:
         out = out.select(F.col("_doc").withField("n_chars", F.length("_doc.text").cast(docs.schema["n_chars"].dataType)).alias("_doc"))
@@ -245,8 +259,8 @@ def drop_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
 
 def report(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """Per document: doc_id, n_lines, n_exact, n_near (lines that go), kept_sha256 of what stays."""
-    gone = cut(removals(docs, t, min_chars, short)).select(F.col("doc_id").alias("_id"), "exact", "near")
-    joined = docs.select("doc_id", "text").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    gone = cut(removals(docs, t, min_chars, short)).select(F.col("row").alias("_row"), "exact", "near")
+    joined = docs.select("doc_id", "text", row_key().alias("_key")).join(gone.hint("merge"), _same_row(), "left")
     text = F.coalesce(_kept(F.col("text"), F.concat("exact", "near")), F.lit(""))
     return joined.select(
         "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),

@@ -5,10 +5,13 @@ sum(size * r) = target, and the bound r <= 2. The convex dual has one multiplier
 rates are exponentially tilted: r = min(2, exp(lambda * size / mean size)). Newton steps, kept within
 a bracket, run for all sources at once over a (source, size) histogram. Rates are then rounded into
 whole copies in buckets of about 256 documents that carry the remainder from large to small
-documents.
+documents. Rows equal in source, id and text are counted first and are one entry of a bucket, however
+many they are; its copies are dealt evenly to them.
 
 Nulls and odd inputs: a null text has size 0 and takes nothing; a null source is a source of its
-own, last in order; repeated rows are documents of their own; empty tables give empty results.
+own, last in order; repeated rows are documents of their own (in `repeat_documents`, where they are
+equal in source, id and text, the one with the least hash of all columns takes the copies of all);
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -86,38 +89,44 @@ def multipliers(sized: DataFrame, per: DataFrame, tolerance: float = 1e-6, round
 
 
 def mix(sized: DataFrame) -> DataFrame:
-    """The rows of `sizes` with source_size, target and `copies` (0, 1 or 2)."""
+    """A row for each (source, doc_id, tie): size, source_size, target, `rows` of `sizes`, and their `copies` together (up to 2 each)."""
     sized = cut(sized)
     per = cut(multipliers(sized, cut(targets(sized))))
     p = per.withColumnRenamed("source", "_s")
     rate = F.when(F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12), F.lit(float(MOST))).otherwise(F.least(F.lit(float(MOST)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    rated = sized.join(p, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "tie", "source_size", "target", rate.alias("rate"), F.pmod("tie", F.ceil(F.col("n") / 256)).alias("bucket"))
-    item = F.struct((-F.col("size")).alias("k"), "tie", "doc_id", "size", "rate")
+    same = sized.groupBy("source", "doc_id", "tie", "size").agg(F.count("*").alias("rows"))
+    rated = same.join(p, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "tie", "rows", "source_size", "target", rate.alias("rate"), F.pmod("tie", F.ceil(F.col("n") / 256)).alias("bucket"))
+    item = F.struct((-F.col("size")).alias("k"), "tie", "doc_id", "size", "rows", "rate")
     groups = rated.groupBy("source", "bucket", "source_size", "target").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def place(a, x):
-        want = F.when(x["size"] > 0, (x["rate"] * x["size"] + a["rest"]) / F.greatest(x["size"], F.lit(1))).otherwise(F.lit(1.0))
-        n = F.greatest(F.lit(0), F.least(F.lit(MOST), F.floor(want + 0.5).cast("int")))
-        return F.struct((a["rest"] + (x["rate"] - n) * x["size"]).alias("rest"), F.concat(a["out"], F.array(n)).alias("out"))
+        want = F.when(x["size"] > 0, x["rate"] * x["rows"] + a["rest"] / F.greatest(x["size"], F.lit(1))).otherwise(x["rows"].cast("double"))
+        n = F.greatest(F.lit(0), F.least(MOST * x["rows"], F.floor(want + 0.5)))
+        return F.struct((a["rest"] + (x["rate"] * x["rows"] - n) * x["size"]).alias("rest"), F.concat(a["out"], F.array(n)).alias("out"))
 
-    first = F.struct(F.lit(0.0).alias("rest"), F.array().cast("array<int>").alias("out"))
+    first = F.struct(F.lit(0.0).alias("rest"), F.array().cast("array<bigint>").alias("out"))
     placed = groups.withColumn("copies", F.aggregate("items", first, place, lambda a: a["out"]))
     flat = placed.select("source", "source_size", "target", F.explode(F.arrays_zip("items", "copies")).alias("_z"))
-    return flat.select("_z.items.doc_id", "source", "_z.items.size", "_z.items.tie", "source_size", "target", "_z.copies")
+    return flat.select("_z.items.doc_id", "source", "_z.items.size", "_z.items.tie", "_z.items.rows", "source_size", "target", "_z.copies")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    out = mix(sizes(docs))
+    """A row for each document: doc_id, size, source_size, target, taken (words) and copies."""
+    out = mix(sizes(docs)).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    copies = (F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("_i") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).cast("int")
+    out = out.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as its copies say, columns unchanged."""
-    # rows equal in id and text share their copies: the first of them takes all
-    n = mix(sizes(docs)).groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("_n")).withColumnRenamed("doc_id", "_id").withColumnRenamed("tie", "_t")
+    n = mix(sizes(docs)).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("tie").alias("_t"), F.col("rows").alias("_rows"), F.col("copies").alias("_n"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    keyed = docs.select(F.col("doc_id").alias("_k"), F.xxhash64("doc_id", "text").alias("_h"), whole)
-    joined = keyed.join(n, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
-    turn = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_n"))
-    once = joined.withColumn("_turn", turn).where("_turn = 1 and _n > 0")
-    return once.select(F.explode(F.array_repeat("_doc", F.col("_n"))).alias("_doc")).select("_doc.*")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("_h"), whole)
+    same = (F.col("_h") == F.col("_t")) & F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & F.col("_doc.source").eqNullSafe(F.col("_s"))
+    joined = keyed.join(n, same)
+    single = joined.where("_rows = 1").select("_doc", "_n")
+    # of rows equal in source, id and text one stays: the least, found by a partial aggregate in each task
+    several = joined.where("_rows > 1").groupBy("_id", "_s", "_t", "_n").agg(F.min_by("_doc", F.struct(F.xxhash64("_doc"), F.to_json("_doc"))).alias("_doc"))
+    once = single.unionByName(several.select("_doc", "_n"))
+    return once.select(F.explode(F.array_repeat("_doc", F.col("_n").cast("int"))).alias("_doc")).select("_doc.*")
