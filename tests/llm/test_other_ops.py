@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tidemark.llm import bwt_dedup, iblt, pii, toxicity, url_filter
 
@@ -35,6 +36,29 @@ def test_suffix_dedup(spark, odd, empty, monkeypatch, hot):
     assert bwt_dedup.dedup(odd).count() == odd.count() and bwt_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    """Rows of one doc_id or of none, in the order of their texts' hashes: one of equal passages stays, rows equal in both are one."""
+    rng = random.Random(7)
+    x, y, z = ("".join(rng.choice("abcdef é") for _ in range(250)) for _ in range(3))
+    rows = [(1, x), (5, x), (5, y), (5, z + x[:120]), (5, y), (None, z), (None, "n" + y[:130]), (7, y + z), (8, None), (None, None)]
+
+    def key(r):
+        tie = xxh64_intdigest(r[1].encode(), 42)
+        return (r[0] is not None, r[0] or 0, tie - (1 << 64) * (tie >> 63))
+
+    seen, want = set(), []
+    for r in sorted({r for r in rows if r[1]}, key=key):
+        b = r[1].encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        want += [(r[0], bytes(c for c, g in zip(b, gone, strict=True) if not g))] * rows.count(r)
+    got = bwt_dedup.dedup(spark.createDataFrame(rows, KIND).repartition(4)).collect()
+    assert sorted(map(str, ((r.doc_id, bytes(r.kept)) for r in got))) == sorted(map(str, [*want, (8, b""), (None, b"")]))
+
+
 def test_merge_of_many_shards(monkeypatch):
     monkeypatch.setattr(bwt_dedup, "SHARD", 2)
     rng = random.Random(9)

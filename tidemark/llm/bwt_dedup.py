@@ -23,9 +23,10 @@ symbol more. The passes also split blocks of suffixes that agree so far, so afte
 them blocks are the repeated intervals with a common prefix of LENGTH bytes; no suffix of a shard is
 sorted again.
 
-Nulls and odd inputs: a null text is empty; texts below LENGTH bytes keep all; doc_id tells documents
-apart and rows that repeat a doc_id count as one place, so neither repeats the other; rows of a null
-doc_id are kept whole; empty tables give empty results.
+Nulls and odd inputs: a null text is empty; texts below LENGTH bytes keep all. Rows of one doc_id, or
+of none (first of all), are documents of their own in the order of a hash of their texts, so the first
+of equal passages stays among them too; rows equal in id and text are one place, of which every copy
+keeps the same bytes. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut
+from .common import cut, numbered
 
 LENGTH, GRAM, SYMBOL = 100, 32, 20
 SPAN = LENGTH - GRAM + 1
@@ -54,6 +55,20 @@ _C = [np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19
 PLACE = np.dtype([("mini", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i4")])
 
 
+def places(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): the number that orders documents, the doc_id itself unless ids repeat or lack.
+
+    Only then rows are numbered in the order of (doc_id, hash of the text), which needs the texts' hashes.
+    """
+    docs = docs.select("doc_id", "text")
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("place", F.col("doc_id").cast("long"))
+    keyed = docs.withColumn("tie", F.xxhash64("text"))
+    number = cut(numbered(keyed.select("doc_id", "tie").distinct(), [], ["doc_id", "tie"], "place"))
+    renamed = number.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "place")
+    return keyed.join(renamed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("doc_id", "text", "place")
+
+
 def _hashes(b: bytes, size: int) -> np.ndarray:
     """64-bit hashes of all strings of `size` (a multiple of 4, at least 8) bytes in b."""
     n = len(b) - size + 1
@@ -90,9 +105,9 @@ def _cut(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, text in zip(batch["place"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 b = (text or "").encode("utf-8", "surrogatepass")
-                if doc is None or len(b) < LENGTH:
+                if len(b) < LENGTH:
                     continue
                 mini, at, n = stretches(b)
                 p = np.empty(len(mini), PLACE)
@@ -113,7 +128,7 @@ def _cut(docs: DataFrame, buckets: int) -> DataFrame:
             n = len(packed)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(to[ends[:-1]]), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64()), pa.array(packed, pa.binary())], names=["kind", "doc", "a", "b", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc long, a long, b long, packed binary")
+    return docs.select("place", "text").mapInArrow(run, "kind int, doc long, a long, b long, packed binary")
 
 
 def _firsts(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +301,7 @@ def _partial(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc, runs): for each document the windows [a, b) that repeat, as an array of (a, b)."""
+    """(doc, runs): for each place of `docs` (as `places` gives them) the windows [a, b) that repeat, as an array of (a, b)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -320,7 +335,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["mini", "doc", "at", "body", "n"])
 
-    bodies = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("doc")).select("doc", "text", "want").mapInArrow(fetch, "mini long, doc long, at long, body binary, n int")
+    bodies = docs.select("place", "text").join(lists, F.col("place") == F.col("doc")).select("doc", "text", "want").mapInArrow(fetch, "mini long, doc long, at long, body binary, n int")
     more = _partial(bodies, shuffle)
     runs = dealt.where("kind = 1").select("doc", "a", "b").union(solved.where("kind = 1").select("doc", "a", "b")).union(more.select("doc", "a", "b"))
     return cut(runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs")))
@@ -328,8 +343,9 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text (as bytes) of each document."""
-    found = repeated(docs)
-    both = docs.select("doc_id", "text").join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "runs")
+    placed = places(docs)
+    found = repeated(placed)
+    both = placed.join(found, F.col("place") == F.col("doc"), "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

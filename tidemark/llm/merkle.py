@@ -20,12 +20,11 @@ tampered; other columns are ignored; empty tables give empty results. A language
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut
+from .common import bounded_broadcast, cut, numbered
 
 FAN, BASE = 8, 3
 #: Bytes of a digest.
@@ -59,22 +58,6 @@ def leaves(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "lang", "leaf", F.coalesce("other", "leaf").alias("start"))
 
 
-def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """`rows` with their number (from 0) within their group, in an order that starts with the group's columns."""
-    # the number of a row in its partition, and the partition above it, from one sorted write
-    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    parts = dealt.groupBy(*group, part.alias("_p")).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut(parts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n"))
-    renamed = before.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_p").alias("_q"), "_from", "_before")
-    same = part == F.col("_q")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = dealt.join(bounded_broadcast(renamed, before.count()), same)
-    return joined.withColumn(out, F.col("_before") + F.col("_at") - F.col("_from")).select(*rows.columns, out)
-
-
 def depth(n: Column) -> Column:
     """Levels above n leaves."""
     return F.coalesce(*[F.when(n <= FAN**d, F.lit(d)) for d in range(21)])
