@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import outliers as O
 from tidemark.operators import ranks as K
+from tidemark.operators import sliding as L
 from tidemark.operators import tables as R
 from tidemark.operators import temporal as T
 from tidemark.plans import clinical as C
 from tidemark.plans import cohorts as H
 from tidemark.plans import statistics as X
 from tidemark.sources import io
+from tidemark.sources.shared import cut
 
 ZERO = dt.datetime(2024, 5, 1)
 
@@ -100,8 +102,78 @@ def test_bounds_and_mad(spark):
     same = [("b", 10 + i, at(i), 7.0) for i in range(6)]
     spike = [("c", 20 + i, at(i), 300.0 if i == 3 else 70.0 + i) for i in range(7)]
     lone = [("d", 30 + i, at(20 * i), float(i * 100)) for i in range(6)]
+    # the others of row 45 are 1 to 5, median 3, deviation 1: 3 * 1.4826 = 4.4478 is the limit
+    between = [("e", 41 + i, at(i), float(i + 1)) for i in range(5)]
     m = spark.createDataFrame(four + same + spike + lone, "k string, i int, t timestamp_ntz, v double")
     assert rows(O.mad_outliers(m, ["k"], "t", "v").where("outlier"), "i") == [(23,)]
+    for v, out in ((7.4477, []), (7.4479, [(46,)]), (6.0, [])):
+        m = spark.createDataFrame([*between, ("e", 46, at(2), v)], "k string, i int, t timestamp_ntz, v double")
+        assert rows(O.mad_outliers(m, ["k"], "t", "v").where("outlier"), "i") == out
+
+
+def test_velocity_within_an_instant(spark):
+    data = [(1, at(0), 5.0), (2, at(0), 5.4), (3, at(0), 30.0), (4, at(1), 31.0), (5, at(60), 90.0), (6, at(60, 2), 95.0)]
+    df = spark.createDataFrame([("k", *r) for r in data], "k string, i int, t timestamp_ntz, v double")
+    out = O.velocity_flags(df, ["k"], "t", "v", 2, 20, 1440)
+    # 0.4 over 10^-6 minutes is fast, 24.6 is no velocity but far; 59 hours before aren't recent
+    assert rows(out, "i", "too_fast", "too_far") == [(1, False, False), (2, True, False), (3, False, True), (4, False, False), (5, False, False), (6, True, False)]
+
+
+def test_window_ends(spark):
+    df = spark.createDataFrame([("k", i, at(i), float(10**i)) for i in range(6)], "k string, i int, t timestamp_ntz, v double")
+    # two hours before a reading is outside, two hours after inside
+    med = {r.i: r.med for r in O.robust_z(df, ["k"], "t", "v", 2, 2).collect()}
+    assert med == {0: 10.0, 1: 55.0, 2: 550.0, 3: 5500.0, 4: 10_000.0, 5: 55_000.0}
+
+
+def test_order_statistics():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 3, 17, 300):
+        x = np.where(r.random(n) < 0.1, np.nan, r.integers(0, 9, n).astype(float))
+        lo = np.maximum.accumulate(np.clip(np.arange(n) - r.integers(0, 9, n), 0, None))
+        hi = np.clip(np.maximum.accumulate(np.arange(n) + r.integers(1, 9, n)), None, n)
+        plain = lambda f, y: f(y) if len(y) else np.nan
+        parts = [x[a:b][~np.isnan(x[a:b])] for a, b in zip(lo, hi, strict=True)]
+        assert L.sliding_median(x, lo, hi) == pytest.approx([plain(np.median, y) for y in parts], nan_ok=True)
+        assert L.sliding_deviation(x, lo, hi) == pytest.approx([np.std(y, ddof=1) if len(y) > 1 else np.nan for y in parts], nan_ok=True, abs=1e-9)
+        others = [np.r_[x[a:i], x[i + 1 : b]] for i, (a, b) in enumerate(zip(lo, hi, strict=True))]
+        others = [y[~np.isnan(y)] if x[i] == x[i] else y[:0] for i, y in enumerate(others)]
+        others = [y if len(y) >= 2 else y[:0] for y in others]
+        med, mad = L.median_of_others(x, lo, hi, 2)
+        assert med == pytest.approx([plain(np.median, y) for y in others], nan_ok=True)
+        assert mad == pytest.approx([plain(lambda y: np.median(np.abs(y - np.median(y))), y) for y in others], nan_ok=True)
+
+
+def test_dense_windows_are_linear(spark):
+    """100,000 readings within one window of eight hours; quadratic work would take hours."""
+    def took(n):
+        df = spark.range(n).selectExpr("'k' AS k", "timestampadd(MICROSECOND, id * 100000, timestamp_ntz'2024-01-01 00:00:00') AS t", "double(if(id % 1000 = 7, 500, id % 13)) AS v")
+        began = time.time()
+        flagged = O.mad_outliers(df, ["k"], "t", "v").where("outlier").count()
+        z = O.robust_z(df, ["k"], "t", "v", 2.5, 2.5).where("abs(robust_z) > 9").count()
+        assert flagged == z == n // 1000
+        return time.time() - began
+
+    took(1_000)
+    assert took(100_000) < 60
+
+
+def test_settings_by_group(spark):
+    """One scan and one shuffle for any number of groups, and the rows of each group alone."""
+    kinds = {f"g{i}": (6.0 + i, 0.5, 1.2) for i in range(9)}
+    data = [(f"k{i % 3}", f"g{i % 10}", at(seconds=977 * i), float((i * 7919) % 101)) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, g string, t timestamp_ntz, v double")
+    df = cut(df)
+    table = spark.createDataFrame([(g, *x) for g, x in kinds.items()], "g string, hours double, floor double, limit double")
+    out = O.rolling_z_by_group(df, ["k"], "t", "v", "g", table)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the readings with a time and those without
+    assert plan.count("parquet") == 2 and plan.count("RepartitionByExpression") == 1
+    got = sorted(map(repr, out.collect()))
+    alone = [O.rolling_z(df.where(F.col("g") == g), ["k"], "t", "v", h, f).withColumn("outlier", F.abs("z") > x) for g, (h, f, x) in kinds.items()]
+    want = sorted(repr(r) for d in alone for r in d.withColumn("outlier", F.coalesce("outlier", F.lit(False))).collect())
+    assert got == want and len(got) == 540
+    assert sorted(map(repr, O.rolling_z_by_group(df, ["k"], "t", "v", "g", kinds).collect())) == got
 
 
 def test_windows_across_buckets(spark):
@@ -109,7 +181,7 @@ def test_windows_across_buckets(spark):
     t, v = np.sort(r.integers(0, 3_000, 300)), r.normal(50, 9, 300)
     df = spark.createDataFrame([(1, at(seconds=60 * int(a)), None if i % 17 == 0 else float(b), i) for i, (a, b) in enumerate(zip(t, v, strict=True))] + [(1, None, 1.0, 999)], "k int, t timestamp_ntz, v double, i int")
     v = np.where(np.arange(300) % 17 == 0, np.nan, v)
-    inside = [np.flatnonzero(np.abs(t - a) <= 150) for a in t]
+    inside = [np.flatnonzero((t - a > -150) & (t - a <= 150)) for a in t]
     med = np.array([np.nanmedian(v[w]) for w in inside])
     mad = np.array([1.4826 * np.nanmedian(np.abs(v - med)[w]) for w in inside])
     got = {x.i: x for x in O.robust_z(df, ["k"], "t", "v", 2.5, 2.5).collect()}

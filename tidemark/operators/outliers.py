@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import HOUR, micros
+from tidemark.operators.sliding import median_of_others, near_in_time, sliding_deviation, sliding_median, windows
+from tidemark.operators.tables import counted
 
 
 def bounded(group: str, value: str, bounds: Mapping[str, tuple[float, float]]) -> Column:
@@ -23,128 +22,103 @@ def bounded(group: str, value: str, bounds: Mapping[str, tuple[float, float]]) -
     return out
 
 
+#: Fixed value: minutes added to every step, so that one within an instant has a velocity too.
+EPSILON = 1e-6
+
+
 def velocity_flags(df: DataFrame, keys: Sequence[str], ts: str, value: str, per_minute: float, step: float, valid_minutes: float, tie: Sequence[str] = ()) -> DataFrame:
-    """`too_fast` and `too_far` against the value before (rows of one instant by `tie`, then value), if that is recent enough."""
+    """`too_fast` and `too_far` against the value before (rows of one instant by `tie`, then value), if that is recent enough.
+
+    A step within an instant is recent. Its velocity is over `EPSILON` minutes; a velocity of 1 / `EPSILON`
+    or more is none, so such a step is too fast only if it is below 1.
+    """
     w = Window.partitionBy(*keys).orderBy(ts, *tie, value)
     minutes = (micros(ts) - F.lag(micros(ts)).over(w)) / 60e6
     delta = F.abs(F.col(value) - F.lag(value).over(w))
     df = df.withColumn("_m", minutes).withColumn("_d", delta)
-    recent = (F.col("_m") > 0) & (F.col("_m") <= valid_minutes)
-    return df.withColumn("too_fast", F.coalesce(recent & (F.col("_d") / F.col("_m") > per_minute), F.lit(False))).withColumn("too_far", F.coalesce(recent & (F.col("_d") > step), F.lit(False))).drop("_m", "_d")
+    recent = F.col("_m") <= valid_minutes
+    speed = F.col("_d") / (F.col("_m") + EPSILON)
+    fast = recent & (speed > per_minute) & (speed < 1 / EPSILON)
+    return df.withColumn("too_fast", F.coalesce(fast, F.lit(False))).withColumn("too_far", F.coalesce(recent & (F.col("_d") > step), F.lit(False))).drop("_m", "_d")
 
 
-def near_in_time(df: DataFrame, keys: Sequence[str], ts: str, value: str, reach: float, run: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], fields: Sequence[T.StructField]) -> DataFrame:
-    """Every row with `fields`, computed by `run` from the times (in microseconds, ascending) and values around it.
+def robust_z(df: DataFrame, keys: Sequence[str], ts: str, value: str, before: float, after: float, scale: float = 1.4826) -> DataFrame:
+    """`med`, `mad` and `robust_z`: (v - rolling median) / (scale * rolling median deviation); 0 where that deviation is 0.
 
-    A key's rows are dealt out by buckets of time, with those within `reach` hours of a bucket beside its
-    own, so that a long key is many tasks and a task holds the readings of a few `reach` at most. A null
-    value is nan to `run`; rows without a time get nulls.
+    Windows are (t - before, t + after] hours: the start doesn't belong to them.
     """
-    width = max(round(4 * reach * HOUR), HOUR)
-    known = df.where(F.col(ts).isNotNull()).withColumn("_us", micros(ts))
-    of = lambda c: F.floor(c / width)
-    far = round(reach * HOUR)
-    dealt = known.withColumn("_b", F.explode(F.sequence(of(F.col("_us") - far), of(F.col("_us") + far)))).withColumn("_own", of(F.col("_us")) == F.col("_b"))
-
-    def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_us")
-        out = run(table["_us"].to_numpy(), table[value].cast(pa.float64()).to_numpy())
-        own = pc.equal(table["_own"], True)
-        table = table.drop_columns(["_us", "_b", "_own"])
-        for f in fields:
-            table = table.append_column(f.name, pa.array(out[f.name]))
-        return table.filter(own)
-
-    got = dealt.groupBy(*keys, "_b").applyInArrow(solve, T.StructType([*df.schema.fields, *fields]))
-    return got.unionByName(df.where(F.col(ts).isNull()), allowMissingColumns=True)
-
-
-def _windows(us: np.ndarray, before: float, after: float) -> tuple[np.ndarray, np.ndarray]:
-    """First row of each row's window, and the row after its last; both bounds belong to it."""
-    return np.searchsorted(us, us - round(before * HOUR), "left"), np.searchsorted(us, us + round(after * HOUR), "right")
-
-
-def sliding_median(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Median of x[lo:hi] for ascending bounds, from one sorted list that values enter and leave; nan is left out."""
-    held: list[float] = []
-    out, a, b = np.full(len(x), np.nan), 0, 0
-    for i in range(len(x)):
-        while b < hi[i]:
-            if x[b] == x[b]:
-                insort(held, x[b])
-            b += 1
-        while a < lo[i]:
-            if x[a] == x[a]:
-                held.pop(bisect_left(held, x[a]))
-            a += 1
-        n = len(held)
-        if n:
-            out[i] = (held[(n - 1) // 2] + held[n // 2]) / 2
-    return out
-
-
-def robust_z(df: DataFrame, keys: Sequence[str], ts: str, value: str, before: float, after: float, scale: float = 1.4826) -> DataFrame:
-    """`med`, `mad` and `robust_z`: (v - rolling median) / (scale * rolling median deviation); 0 where that deviation is 0."""
+    reach = round(before * HOUR), round(after * HOUR)
 
     def run(us: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        lo, hi = _windows(us, before, after)
+        lo, hi = windows(us, *reach, open_start=True)
         med = sliding_median(v, lo, hi)
         return {"med": med, "mad": scale * sliding_median(np.abs(v - med), lo, hi)}
 
     # the deviations of a window come from medians of windows that reach as far again
     out = near_in_time(df, keys, ts, value, 2 * max(before, after), run, [T.StructField(c, T.DoubleType()) for c in ("med", "mad")])
-    out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("med", "mad")})
     return out.withColumn("robust_z", F.when(F.col("mad") == 0, 0.0).otherwise((F.col(value) - F.col("med")) / F.col("mad")))
 
 
+def _z(df: DataFrame, keys: Sequence[str], ts: str, value: str, back: float) -> DataFrame:
+    """`z` by the columns `_hours` (of the window, constant for a key) and `_floor` of each row."""
+    shift = round(back * HOUR)
+
+    def run(us: np.ndarray, v: np.ndarray, hours: np.ndarray, floor: np.ndarray) -> dict[str, np.ndarray]:
+        width = np.rint(hours * HOUR).astype(np.int64)
+        med = sliding_median(v, *windows(us, shift, width - shift, open_start=True))
+        sd = sliding_deviation(v, *windows(us, width, 0, open_end=True))
+        return {"z": (v - med) / np.fmax(sd, floor)}
+
+    reach = F.greatest(F.lit(float(back)), F.col("_hours"))
+    return near_in_time(df, keys, ts, value, reach, run, [T.StructField("z", T.DoubleType())], ["_hours", "_floor"]).drop("_hours", "_floor")
+
+
 def rolling_z(df: DataFrame, keys: Sequence[str], ts: str, value: str, window: float, floor: float, back: float = 2) -> DataFrame:
     """z against the median of (t - back, t - back + window] hours and the deviation (at least `floor`) of [t - window, t).
 
     Without two readings in the latter the deviation is `floor`.
     """
+    return _z(df.withColumns({"_hours": F.lit(float(window)), "_floor": F.lit(float(floor))}), keys, ts, value, back)
 
-    def run(us: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        edge = us - round(back * HOUR)
-        return {"_med": sliding_median(v, np.searchsorted(us, edge, "right"), np.searchsorted(us, edge + round(window * HOUR), "right"))}
-
-    w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-round(window * HOUR), -1)
-    sd = df.withColumn("_sd", F.greatest(F.stddev_samp(value).over(w), F.lit(float(floor))))
-    out = near_in_time(sd, keys, ts, value, max(back, window - back), run, [T.StructField("_med", T.DoubleType())])
-    return out.withColumn("z", (F.col(value) - F.nanvl("_med", F.lit(None).cast("double"))) / F.col("_sd")).drop("_med", "_sd")
 
+def rolling_z_by_group(df: DataFrame, keys: Sequence[str], ts: str, value: str, group: str, settings: DataFrame | Mapping[str, tuple[float, float, float]], back: float = 2) -> DataFrame:
+    """`z` and `outlier` (|z| above the limit) by the settings of each row's group: hours of the window, floor of the deviation, limit.
 
-def rolling_z_by_group(df: DataFrame, keys: Sequence[str], ts: str, value: str, group: str, params: Mapping[str, tuple[float, float, float]]) -> DataFrame:
-    """`z` and `outlier` (|z| above the limit) of the groups in `params`: hours of the window, floor of the deviation, limit.
-
-    One plan for each group over its own rows, one below the other; groups without parameters are left out.
+    `settings` is a mapping, or a table with one row for each group: the group's column, hours, floor,
+    limit. One pass serves all groups, however many; groups without settings are left out.
     """
-    out = None
-    for g, (hours, floor, limit) in params.items():
-        one = rolling_z(df.where(F.col(group) == g), [*keys, group], ts, value, hours, floor).withColumn("outlier", F.coalesce(F.abs("z") > limit, F.lit(False)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    if not isinstance(settings, DataFrame):
+        rows = [(g, float(h), float(f), float(x)) for g, (h, f, x) in settings.items()]
+        settings = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_g", df.schema[group].dataType), *[T.StructField(c, T.DoubleType()) for c in ("hours", "floor", "limit")]]))
+    else:
+        settings = settings.withColumnRenamed(group, "_g")
+    own = settings.select("_g", F.col("hours").cast("double").alias("_hours"), F.col("floor").cast("double").alias("_floor"), F.col("limit").cast("double").alias("_limit"))
+    joined = df.join(counted(own), F.col(group) == F.col("_g")).drop("_g")
+    z = _z(joined, [*keys, group], ts, value, back)
+    return z.withColumn("outlier", F.coalesce(F.abs("z") > F.col("_limit"), F.lit(False))).drop("_limit")
 
 
-def mad_outliers(df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: float = 8, least_rows: int = 5, least_near: int = 2, limit: float = 3.5, floor: float = 0.01) -> DataFrame:
-    """`outlier`: |v - median| / max(MAD, floor) above the limit, over the rows within ±hours but this one.
+def mad_outliers(df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: float = 8, least_rows: int = 5, least_near: int = 2, limit: float = 3.0, floor: float = 0.01, scale: float = 1.4826) -> DataFrame:
+    """`outlier`: |v - median| / max(scale * MAD, floor) above the limit, over the rows within ±hours but this one.
 
     Keys with fewer than `least_rows` readings, and rows with fewer than `least_near` neighbours, have none.
     """
+    reach = round(hours * HOUR)
 
     def run(us: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        lo, hi = _windows(us, hours, hours)
-        far = np.zeros(len(v), bool)
-        for i, (a, b) in enumerate(zip(lo, hi, strict=True)):
-            near = np.concatenate([v[a:i], v[i + 1 : b]])
-            near = near[near == near]
-            if len(near) >= least_near and v[i] == v[i]:
-                med = np.median(near)
-                far[i] = abs(v[i] - med) / max(np.median(np.abs(near - med)), floor) > limit
-        return {"outlier": far}
+        med, mad = median_of_others(v, *windows(us, reach, reach), least_near)
+        with np.errstate(invalid="ignore"):
+            return {"outlier": np.abs(v - med) / np.fmax(scale * mad, floor) > limit}
 
-    many = df.withColumn("_n", F.count(value).over(Window.partitionBy(*keys)))
-    out = near_in_time(many, keys, ts, value, hours, run, [T.StructField("outlier", T.BooleanType())])
-    return out.withColumn("outlier", F.coalesce("outlier", F.lit(False)) & (F.col("_n") >= least_rows)).drop("_n")
+    # a row for each key with enough readings; what a key has too few of doesn't pass through the windows
+    names = [f"_k{i}" for i in range(len(keys))]
+    many = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).count().where(F.col("count") >= least_rows).select(*names, F.lit(True).alias("_many"))
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    both = df.join(many, same, "left").drop(*names)
+    out = near_in_time(both.where("_many").drop("_many"), keys, ts, value, hours, run, [T.StructField("outlier", T.BooleanType())])
+    return out.unionByName(both.where("_many is null").drop("_many"), allowMissingColumns=True).withColumn("outlier", F.coalesce("outlier", F.lit(False)))
 
 
 def split_outliers(df: DataFrame, keys: Sequence[str], ts: str, value: str, **options: float) -> tuple[DataFrame, DataFrame]:
@@ -172,4 +146,4 @@ def against_bounds(df: DataFrame, bounds: DataFrame, group: str, value: str, low
     A null value is within none and outside of none: null.
     """
     out = (F.col(value) < F.col(low)) | (F.col(value) > F.col(high))
-    return df.join(F.broadcast(bounds), group).withColumn("outside", out)  # a row per group
+    return df.join(counted(bounds), group).withColumn("outside", out)

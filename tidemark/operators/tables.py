@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import hours_between
 from tidemark.operators.ranks import quantiles, running
+from tidemark.sources.shared import cut
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -19,6 +20,11 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def counted(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """`df`, marked for broadcast if it has at most `limit` rows when counted; beyond, Spark chooses the join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def join_all(base: DataFrame, others: Sequence[DataFrame], on: Sequence[str], how: str = "left") -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(on), how), others, base)
 
@@ -41,10 +47,15 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFr
 
 
 def shares(df: DataFrame, row: str, col: str) -> DataFrame:
-    """n and its share of the row, of the column, of all."""
-    n = df.groupBy(row, col).agg(F.count("*").alias("n"))
-    part = lambda *by: F.col("n") / F.sum("n").over(Window.partitionBy(*by))
-    return n.withColumns({"row_share": part(row), "col_share": part(col), "all_share": part()})
+    """n and its share of the row, of the column, of all. The cells are counted and written once; each total is an aggregate of them."""
+    n = cut(df.groupBy(row, col).agg(F.count("*").alias("n")))
+    out = n
+    for name, by in (("row_share", [row]), ("col_share", [col]), ("all_share", [])):
+        total = n.groupBy(*[F.col(c).alias("_k") for c in by]).agg(F.sum("n").alias("_t"))
+        same = [out[c].eqNullSafe(F.col("_k")) for c in by]
+        joined = out.join(total, same[0]) if same else out.crossJoin(F.broadcast(total))  # one row
+        out = joined.withColumn(name, F.col("n") / F.col("_t")).drop("_k", "_t")
+    return out
 
 
 def top_n_other(df: DataFrame, col: str, n: int, out: str, other: str = "Other") -> DataFrame:

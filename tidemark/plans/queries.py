@@ -147,14 +147,14 @@ def bounds_nulled(spark, d):
 
 @_query("""
 WITH x AS (SELECT event_id, value, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 60e6 AS m, abs(value - lag(value) OVER w) AS dv FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts))
-SELECT event_id, coalesce(m > 0 AND m <= 1440 AND dv / nullif(m, 0) > 0.05, false) AS too_fast, coalesce(m > 0 AND m <= 1440 AND dv > 20, false) AS too_far FROM x""")
+SELECT event_id, coalesce(m <= 1440 AND dv / (m + 1e-6::DOUBLE) > 0.05 AND dv / (m + 1e-6::DOUBLE) < 1e6, false) AS too_fast, coalesce(m <= 1440 AND dv > 20, false) AS too_far FROM x""")
 def velocity_outliers(spark, d):
     return O.velocity_flags(_events(spark, d), ["user_id", "event_type"], "ts", "value", 0.05, 20, 1440).select("event_id", "too_fast", "too_far")
 
 
 @_query("""
-WITH m AS (SELECT a.event_id, a.user_id, a.ts, a.value, quantile_cont(b.value, 0.5) AS med FROM events a JOIN events b ON a.user_id = b.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 86400000000 AND epoch_us(a.ts) + 86400000000 GROUP BY ALL),
-x AS (SELECT a.event_id, a.value, a.med, 1.4826 * quantile_cont(abs(b.value - b.med), 0.5) AS mad FROM m a JOIN m b ON a.user_id = b.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 86400000000 AND epoch_us(a.ts) + 86400000000 GROUP BY ALL)
+WITH m AS (SELECT a.event_id, a.user_id, a.ts, a.value, quantile_cont(b.value, 0.5) AS med FROM events a JOIN events b ON a.user_id = b.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 86399999999 AND epoch_us(a.ts) + 86400000000 GROUP BY ALL),
+x AS (SELECT a.event_id, a.value, a.med, 1.4826 * quantile_cont(abs(b.value - b.med), 0.5) AS mad FROM m a JOIN m b ON a.user_id = b.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 86399999999 AND epoch_us(a.ts) + 86400000000 GROUP BY ALL)
 SELECT event_id, round(CASE WHEN mad = 0 THEN 0.0 ELSE (value - med) / mad END, 4) AS robust_z FROM x""")
 def robust_z_scores(spark, d):
     return O.robust_z(_events(spark, d), ["user_id"], "ts", "value", 24, 24).select("event_id", *_r("robust_z", n=4))
@@ -164,7 +164,7 @@ def robust_z_scores(spark, d):
 WITH c AS (SELECT user_id, count(value) AS n FROM events GROUP BY 1),
 m AS (SELECT a.event_id, a.user_id, a.value, count(b.value) AS k, quantile_cont(b.value, 0.5) AS med FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 28800000000 GROUP BY ALL),
 x AS (SELECT m.event_id, m.user_id, m.value, m.k, m.med, quantile_cont(abs(b.value - m.med), 0.5) AS mad FROM m JOIN events a USING (event_id) LEFT JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 28800000000 GROUP BY ALL)
-SELECT x.event_id, coalesce(c.n >= 5 AND k >= 2 AND abs(value - med) / greatest(mad, 0.01) > 3.5, false) AS outlier FROM x JOIN c USING (user_id)""")
+SELECT x.event_id, coalesce(c.n >= 5 AND k >= 2 AND abs(value - med) / greatest(1.4826 * mad, 0.01) > 3.0, false) AS outlier FROM x JOIN c USING (user_id)""")
 def mad_removal(spark, d):
     return O.mad_outliers(_events(spark, d), ["user_id"], "ts", "value").select("event_id", "outlier")
 
