@@ -161,10 +161,14 @@ def _unpack(cells, rows) -> np.ndarray:
 
 def encode_giants(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(a, h, ids, n_chunks) of distinct texts, keyed by two hashes a and h, by the chunked scan."""
-    pad = 32  # code points of context; more than the longest piece
+
+    def context() -> int:
+        """Code points of context around a chunk: more than the longest piece."""
+        return max(32, codec(model).longest + 1)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each text cut in one pass, a few chunks at a time."""
+        pad = context()
         for b in batches:
             for r in b.itertuples():
                 s = " " + r.text
@@ -176,7 +180,7 @@ def encode_giants(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK, bloc
     parts = texts.select("a", "h", "text").mapInPandas(split, "a long, h long, n int, k int, w string").repartition("a", "h", "k")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model)
+        c, pad = codec(model), context()
         for b in batches:
             out = []
             for r in b.itertuples():

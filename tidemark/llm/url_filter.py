@@ -98,12 +98,12 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity.
 
     `labels` (doc_id, quality, toxic) tells good documents; a url stands for the document whose
-    number ends its path. Rules set the verdict of the urls that they fit.
+    number (of 18 digits at most, as ids have) ends its path. Rules set the verdict of the urls that they fit.
     """
     # the text of a url decides all but page_id: hot urls are counted, then joined back
     p = cut(parts(pages, "page_id", "url"))
     urls = p.select("url", "host", "path").distinct()
-    number = F.regexp_extract("path", r"([0-9]{1,18})[^0-9/]*/?$", 1).try_cast("long")
+    number = F.regexp_extract("path", r"(?<![0-9])([0-9]{1,18})[^0-9/]*/?$", 1).try_cast("long")
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("double")
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(good).alias("good"))
     shaped = cut(templates(urls.withColumn("_d", number)).join(label, F.col("_d") == F.col("doc_id"), "left").select("url", "host", "path", "template", "good"))
