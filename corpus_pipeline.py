@@ -6,12 +6,10 @@ and very long texts, repeated rows, empty tables and extra columns are handled a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import line_dedup, mixing, pieces, quality, simhash
-from tidemark.llm.common import documents, shared_dir
+from tidemark.llm.common import cut, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/tidemark-stage-{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = cut(docs)
     return docs
