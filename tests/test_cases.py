@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import outliers as O
 from tidemark.operators import ranks as K
+from tidemark.operators import scan as N
 from tidemark.operators import sliding as L
 from tidemark.operators import tables as R
 from tidemark.operators import temporal as T
@@ -81,6 +82,38 @@ def test_fills_within_an_instant(spark):
     assert rows(T.fill_nearest(df, ["k"], "t", "v", "f", 2), "i", "f")[2] == (3, 4.0)
 
 
+def test_long_keys(spark):
+    """Dealt by time buckets, joins, fills and spells give the rows of one window over each key: nulls and ties too."""
+    r = np.random.default_rng(8)
+    data = [(int(i), [None, 1, 2][k], [None, at(seconds=600 * int(t))][min(1, int(u * 30))], None if n < 0.3 else float(v)) for i, (k, t, u, n, v) in enumerate(zip(r.integers(0, 3, 400), r.integers(0, 60, 400), r.random(400), r.random(400), r.integers(0, 4, 400), strict=True))]
+    df = cut(spark.createDataFrame(data, "i int, k int, t timestamp_ntz, v double"))
+    other = df.where("i % 3 = 0").select("k", F.col("t").alias("s"), "v", F.col("i").alias("j"))
+    same = lambda f: [sorted(map(repr, f(b).collect())) for b in (None, 1.0, 0.1, 500.0)]
+    for forward in (False, True):
+        a = same(lambda b, f=forward: T.asof_join(df, other, ["k"], "t", "s", ["v", "j"], f, 4, b))
+        assert len(a[0]) == 400 and all(x == a[0] for x in a)
+        for tie in ([], ["i"]):
+            a = same(lambda b, f=forward, x=tie: T.fill_forward(df, ["k"], "t", "v", "f", 2, f, x, b).select("k", "t", "v", "f", *x))
+            assert len(a[0]) == 400 and all(x == a[0] for x in a)
+    a = same(lambda b: T.fill_nearest(df, ["k"], "t", "v", "f", 3, ["i"], b))
+    assert all(x == a[0] for x in a)
+    for f in (T.spells, T.run_durations):
+        a = same(lambda b, f=f: f(df, ["k"], "t", "v", bucket=b).select("k", "spell", "v", "start", "end", "n", "hours"))
+        assert len(a[0]) > 100 and all(x == a[0] for x in a)
+
+
+def test_a_long_key_is_many_tasks(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"), F.when(F.col("id") % 1000 == 0, F.col("id")).alias("v"), (F.col("id") % 5000 < 2500).alias("s"))
+    hours = N.bucket_hours(df, ["k"], "t", 10_000)
+    assert 2 < hours < 4 and N.bucket_hours(df, ["k"], "t") is None
+    out = T.fill_forward(df, ["k"], "t", "v", "f", bucket=hours)
+    per = out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("f").alias("f")).collect()
+    assert len(per) >= 4 and max(x.n for x in per) < 500_000
+    assert sum(x.f for x in per) == sum(1000 * x for x in range(0, 1_000_000, 1000))
+    runs = T.run_durations(df, ["k"], "t", "s", hours)
+    assert rows(runs.agg(F.count("*").alias("n"), F.sum("n").alias("m"), F.max("spell").alias("s"), F.count_if("censored").alias("c")), "n", "m", "s", "c") == [(400, 1_000_000, 400, 1)]
+
+
 def test_backward_fill_is_linear(spark):
     def took(n):
         df = spark.range(n).select(F.lit(1).alias("k"), (F.timestamp_seconds("id").cast("timestamp_ntz")).alias("t"), F.when(F.col("id") % 1000 == 999, F.col("id")).alias("v"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import HOUR, micros
 from tidemark.operators.ranks import quantiles
+from tidemark.operators.scan import bucket_of, last_known, numbered_runs
 
 
 def _us(hours: float) -> int:
@@ -27,12 +28,13 @@ def _whole(keys: Sequence[str]) -> Column:
     return out
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, take: Sequence[str], forward: bool = False, hours: float | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, take: Sequence[str], forward: bool = False, hours: float | None = None, bucket: float | None = None) -> DataFrame:
     """Each left row with the nearest right row of its keys at or before (forward: after) its time.
 
     Equal times match. Ties on the right go to the last (forward: first) by (time, taken columns).
     Beyond `hours`, and for a null key or time, the taken columns and `rt` are null. Either direction
-    is one pass: rows are ordered toward the left row, so the window only looks back.
+    is one pass: rows are ordered toward the left row, so the window only looks back. With `bucket`
+    (hours, see `scan.bucket_hours`) a long key is dealt out by time and no window spans it.
     """
     keys, n = list(keys), [f"r_{c}" for c in take]
     body = F.struct(F.col(rt).alias("t"), *[F.col(c).alias(f"r_{c}") for c in take])
@@ -42,8 +44,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, r
     r = right.where(F.col(rt).isNotNull() & _whole(keys)).select(*keys, F.lit(None).cast("long").alias("_lone"), F.col(rt).alias("_t"), F.lit(False).alias("_left"), body.alias("_hit"))
     both = l.unionByName(r, allowMissingColumns=True)
     order = [F.col("_t").desc_nulls_first(), F.col("_left"), F.col("_hit").desc()] if forward else [F.col("_t"), F.col("_left"), F.col("_hit")]
-    w = Window.partitionBy(*keys, "_lone").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_near", F.last("_hit", True).over(w)).where("_left")
+    if bucket is None:
+        w = Window.partitionBy(*keys, "_lone").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("_near", F.last("_hit", True).over(w)).where("_left")
+    else:
+        last = F.min("_hit") if forward else F.max("_hit")
+        out = last_known(both.withColumn("_b", bucket_of("_t", bucket)), [*keys, "_lone"], "_hit", order, last, "_near", forward).where("_left")
     if hours is not None:
         gap = F.abs(F.expr("timestampdiff(MICROSECOND, _near.t, _t)"))
         out = out.withColumn("_near", F.when(gap <= _us(hours), F.col("_near")))
@@ -77,12 +83,19 @@ def lookback(timeline: DataFrame, events: DataFrame, key: str, ts: str, group: s
 
     Aggregates: max, min, mean, sum, count, first, last. `last` is the largest value of the latest
     instant, `first` the smallest of the earliest; that instant counts even if its value is null. Events
-    of a null key match nothing.
+    of a null key match nothing. Rows are dealt by key and buckets of four times the longest look-back,
+    an event to each bucket (two at most) that looks back to it, so no window spans a long key.
     """
-    t = timeline.select(key, ts).distinct().withColumn("_base", F.lit(True))
-    e = events.select(key, ts, group, value).where(F.col(ts).isNotNull() & F.col(key).isNotNull())
-    both = t.unionByName(e, allowMissingColumns=True).withColumn("_us", micros(ts))
-    w = Window.partitionBy(key).orderBy("_us")
+    if not features:
+        return timeline.select(key, ts).distinct()
+    far = max(_us(hours) for _, _, hours in features.values())
+    of = lambda c: F.floor(c / max(4 * far, HOUR))
+    t = timeline.select(key, ts).distinct().withColumn("_base", F.lit(True)).withColumn("_us", micros(ts)).withColumn("_b", of(F.col("_us")))
+    groups = sorted({g for g, _, _ in features.values()})
+    e = events.select(key, ts, group, value).where(F.col(ts).isNotNull() & F.col(key).isNotNull() & F.col(group).isin(*groups)).withColumn("_us", micros(ts))
+    e = e.withColumn("_b", F.explode(F.sequence(of(F.col("_us")), of(F.col("_us") + far))))
+    both = t.unionByName(e, allowMissingColumns=True)
+    w = Window.partitionBy(key, "_b").orderBy("_us")
     cols = {}
     for name, (g, how, hours) in features.items():
         over = w.rangeBetween(-_us(hours), 0)
@@ -95,34 +108,48 @@ def lookback(timeline: DataFrame, events: DataFrame, key: str, ts: str, group: s
     return both.withColumns(cols).where("_base").select(key, ts, *features)
 
 
+def _with_carried(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, tie: Sequence[str], backward: bool, bucket: float | None) -> DataFrame:
+    """`df` with `out`: `_carried`, in one window over the key or, with `bucket`, one over each time bucket."""
+    if bucket is None:
+        return df.withColumn(out, _carried(keys, ts, value, tie, backward))
+    hit = F.when(F.col(value).isNotNull(), F.struct(micros(ts).alias("t"), F.col(value).alias("v")))
+    rows = df.withColumns({"_hit": hit, "_b": bucket_of(ts, bucket)})
+    # of a bucket's values the last one: the largest (backward: smallest) by time, tie and value; nulls go first either way
+    place = F.when(F.col(value).isNotNull(), F.struct(*[x for c in (ts, *tie) for x in (F.col(c).isNull().alias(f"n_{c}") if backward else F.col(c).isNotNull().alias(f"n_{c}"), F.col(c))], F.col(value)))
+    last = (F.min_by if backward else F.max_by)("_hit", place)
+    return last_known(rows, keys, "_hit", _fill_order(ts, value, tie, backward), last, out, backward).drop("_hit", "_b")
+
+
+def _fill_order(ts: str, value: str, tie: Sequence[str], backward: bool) -> list[Column]:
+    # within one instant values come before nulls, which are filled from them
+    if backward:
+        return [*[F.col(c).desc_nulls_first() for c in (ts, *tie)], F.col(value).desc_nulls_last()]
+    return [*[F.col(c) for c in (ts, *tie)], F.col(value).asc_nulls_last()]
+
+
 def _carried(keys: Sequence[str], ts: str, value: str, tie: Sequence[str], backward: bool) -> Column:
     """(t, v) of the last non-null value up to each row, rows taken by (time, tie, value); backward: from the end."""
     hit = F.when(F.col(value).isNotNull(), F.struct(micros(ts).alias("t"), F.col(value).alias("v")))
-    if backward:
-        order = [F.col(c).desc_nulls_first() for c in (ts, *tie)]
-    else:
-        order = [F.col(c) for c in (ts, *tie)]
-    # within one instant values come before nulls, which are filled from them
-    w = Window.partitionBy(*keys).orderBy(*order, F.col(value).desc_nulls_last() if backward else F.col(value).asc_nulls_last())
+    w = Window.partitionBy(*keys).orderBy(*_fill_order(ts, value, tie, backward))
     return F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def fill_forward(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, hours: float | Column | None = None, backward: bool = False, tie: Sequence[str] = ()) -> DataFrame:
+def fill_forward(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, hours: float | Column | None = None, backward: bool = False, tie: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """The last non-null value at or before each row (backward: next at or after), not older than `hours`.
 
     `hours` may be a column: a limit for each row, beyond which (or where it is null) nothing is carried.
-    Rows of one instant are taken by `tie`, then by value, nulls last.
+    Rows of one instant are taken by `tie`, then by value, nulls last. `bucket` as in `asof_join`.
     """
-    df = df.withColumn("_f", _carried(keys, ts, value, tie, backward))
-    age = F.abs(micros(ts) - F.col("_f.t"))
+    df = _with_carried(df, keys, ts, value, "_near", tie, backward, bucket)
+    age = F.abs(micros(ts) - F.col("_near.t"))
     if hours is None:
         fresh = F.lit(True)
     else:
         fresh = age <= (hours * HOUR if isinstance(hours, Column) else _us(hours))
-    return df.withColumn(out, F.when(fresh, F.col("_f.v"))).drop("_f")
+    return df.withColumn(out, F.when(fresh, F.col("_near.v"))).drop("_near")
 
 
-def fill_expiring(df: DataFrame, keys: Sequence[str], group: str, ts: str, value: str, out: str, limits: Mapping[str, float], tie: Sequence[str] = ()) -> DataFrame:
+def fill_expiring(df: DataFrame, keys: Sequence[str], group: str, ts: str, value: str, out: str, limits: Mapping[str, float], tie: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """Each null value from the last one of its key and group, while that is not older than the group's limit.
 
     A group without a limit keeps its own values and is not filled.
@@ -130,13 +157,13 @@ def fill_expiring(df: DataFrame, keys: Sequence[str], group: str, ts: str, value
     limit = F.lit(None).cast("double")
     for g, hours in limits.items():
         limit = F.when(F.col(group) == g, F.lit(float(hours))).otherwise(limit)
-    filled = fill_forward(df, [*keys, group], ts, value, "_x", limit, tie=tie)
+    filled = fill_forward(df, [*keys, group], ts, value, "_x", limit, tie=tie, bucket=bucket)
     return filled.withColumn(out, F.coalesce("_x", value)).drop("_x")
 
 
-def fill_nearest(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, hours: float, tie: Sequence[str] = ()) -> DataFrame:
+def fill_nearest(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str, hours: float, tie: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """Null values from the nearer of the values before and after within `hours`; the earlier one on a tie."""
-    df = df.withColumn("_p", _carried(keys, ts, value, tie, False)).withColumn("_n", _carried(keys, ts, value, tie, True))
+    df = _with_carried(_with_carried(df, keys, ts, value, "_p", tie, False, bucket), keys, ts, value, "_n", tie, True, bucket)
     back, ahead = micros(ts) - F.col("_p.t"), F.col("_n.t") - micros(ts)
     far = F.lit(2**62)
     best = F.when(F.coalesce(back, far) <= F.coalesce(ahead, far), F.when(back <= _us(hours), F.col("_p.v"))).otherwise(F.when(ahead <= _us(hours), F.col("_n.v")))
@@ -150,8 +177,12 @@ def rolling(df: DataFrame, keys: Sequence[str], ts: str, exprs: Mapping[str, Col
     return df.withColumns({n: e.over(w) for n, e in exprs.items()})
 
 
-def spells(df: DataFrame, keys: Sequence[str], ts: str, state: str) -> DataFrame:
-    """Runs of equal state: keys, spell (from 1), state, start, end, n, hours. Rows of one instant are ordered by state."""
+def spells(df: DataFrame, keys: Sequence[str], ts: str, state: str, bucket: float | None = None) -> DataFrame:
+    """Runs of equal state: keys, spell (from 1), state, start, end, n, hours. Rows of one instant are ordered by state; `bucket` as in `asof_join`."""
+    if bucket is not None:
+        parts = numbered_runs(df, keys, ts, state, bucket)
+        out = parts.groupBy(*keys, "spell").agg(F.first(state).alias(state), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+        return out.withColumn("hours", (micros("end") - micros("start")) / HOUR)
     w = Window.partitionBy(*keys).orderBy(ts, state)
     change = (~F.col(state).eqNullSafe(F.lag(state).over(w)) | F.lag(ts).over(w).isNull()).cast("int")
     run = df.withColumn("_c", change).withColumn("spell", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -171,11 +202,16 @@ def bridged_spells(df: DataFrame, keys: Sequence[str], ts: str, state: str, hour
     return out.withColumn("hours", (micros("end") - micros("start")) / HOUR)
 
 
-def run_durations(df: DataFrame, keys: Sequence[str], ts: str, state: str) -> DataFrame:
-    """Spells whose end is the first row of the next one; the last one is censored at its last row."""
-    s = spells(df, keys, ts, state)
-    w = Window.partitionBy(*keys).orderBy("spell")
-    s = s.withColumn("_next", F.lead("start").over(w)).withColumn("censored", F.col("_next").isNull()).withColumn("end", F.coalesce("_next", "end"))
+def run_durations(df: DataFrame, keys: Sequence[str], ts: str, state: str, bucket: float | None = None) -> DataFrame:
+    """Spells whose end is the first row of the next one; the last one is censored at its last row. `bucket` as in `asof_join`."""
+    s = spells(df, keys, ts, state, bucket)
+    if bucket is None:
+        s = s.withColumn("_next", F.lead("start").over(Window.partitionBy(*keys).orderBy("spell")))
+    else:  # each spell and the start of the one after it meet under its number
+        after = s.select(*keys, (F.col("spell") - 1).alias("spell"), F.col("start").alias("_next"))
+        each = [F.max(c).alias(c) for c in (state, "start", "end", "n", "hours", "_next")]
+        s = s.unionByName(after, allowMissingColumns=True).groupBy(*keys, "spell").agg(*each).where("spell > 0")
+    s = s.withColumn("censored", F.col("_next").isNull()).withColumn("end", F.coalesce("_next", "end"))
     return s.withColumn("hours", (micros("end") - micros("start")) / HOUR).drop("_next")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import outliers as O
 from tidemark.operators import ranks as K
+from tidemark.operators import scan as N
 from tidemark.operators import tables as R
 from tidemark.operators import temporal as T
 from tidemark.plans import clinical as C
@@ -822,3 +823,42 @@ def joined_back(spark, d):
     per = lambda *c: e.groupBy("user_id", "ts").agg(*c)
     parts = [per(F.max(F.when(F.col("event_type") == "click", F.col("value"))).alias("top_click")), per((F.max("value") > 60).cast("int").alias("high"))]
     return R.join_all(e, parts, ["user_id", "ts"]).select("event_id", "top_click", "high", C.dysfunction_by_status(F.col("event_type"), ["click", "signup"]).alias("supported"))
+
+
+def _halves(spark, d):
+    """Events under two keys, so each key is long, and the hours of a bucket."""
+    e = events(spark, d).withColumn("half", F.col("user_id") % 2)
+    return e, N.bucket_hours(e, ["half"], "ts", 500)
+
+
+@query("""
+SELECT a.event_id, max(b.ts) AS r_t, max_by(b.event_id, (b.ts, b.event_id)) AS r_id FROM events a LEFT JOIN LATERAL (
+ SELECT ts, event_id FROM events x WHERE x.event_type = 'error' AND x.user_id % 2 = a.user_id % 2 AND x.ts <= a.ts AND x.ts >= a.ts - INTERVAL 6 HOUR ORDER BY ts DESC, event_id DESC LIMIT 1) b ON true
+WHERE a.event_type = 'click' GROUP BY a.event_id""")
+def asof_of_long_keys(spark, d):
+    e, hours = _halves(spark, d)
+    errors = e.where("event_type = 'error'").select("half", F.col("ts").alias("t"), F.col("event_id").alias("id"))
+    return T.asof_join(e.where("event_type = 'click'"), errors, ["half"], "ts", "t", ["id"], hours=6, bucket=hours).select("event_id", "r_t", "r_id")
+
+
+@query("""
+WITH x AS (SELECT event_id, user_id % 2 AS half, ts, CASE WHEN value > 100 THEN value END AS v FROM events),
+y AS (SELECT event_id, last_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER w AS t, last_value(v IGNORE NULLS) OVER w AS v FROM x
+ WINDOW w AS (PARTITION BY half ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), z AS (SELECT y.*, ts FROM y JOIN x USING (event_id))
+SELECT event_id, CASE WHEN ts - t <= INTERVAL 3 HOUR THEN v END AS filled FROM z""")
+def fills_of_long_keys(spark, d):
+    e, hours = _halves(spark, d)
+    e = e.withColumn("v", F.when(F.col("value") > 100, F.col("value")))
+    return T.fill_forward(e, ["half"], "ts", "v", "filled", 3, tie=["event_id"], bucket=hours).select("event_id", "filled")
+
+
+@query("""
+WITH x AS (SELECT user_id % 2 AS half, ts, value > 60 AS high FROM events), c AS (SELECT *, CASE WHEN high IS DISTINCT FROM lag(high) OVER w OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS c FROM x WINDOW w AS (PARTITION BY half ORDER BY ts, high)),
+s AS (SELECT *, sum(c) OVER (PARTITION BY half ORDER BY ts, high ROWS UNBOUNDED PRECEDING) AS spell FROM c),
+r AS (SELECT half, spell::BIGINT AS spell, any_value(high) AS high, min(ts) AS s, max(ts) AS e, count(*) AS n FROM s GROUP BY half, spell),
+q AS (SELECT *, lead(s) OVER (PARTITION BY half ORDER BY spell) AS next FROM r)
+SELECT half, spell, high, n, next IS NULL AS censored, round((epoch_us(coalesce(next, e)) - epoch_us(s)) / 3600000000.0, 6) AS hours FROM q""")
+def runs_of_long_keys(spark, d):
+    e, hours = _halves(spark, d)
+    runs = T.run_durations(e.withColumn("high", F.col("value") > 60), ["half"], "ts", "high", hours)
+    return runs.select("half", "spell", "high", "n", "censored", F.round("hours", 6).alias("hours"))
