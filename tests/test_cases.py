@@ -19,6 +19,7 @@ from tidemark.plans import cohorts as H
 from tidemark.plans import statistics as X
 from tidemark.sources import io
 from tidemark.sources.shared import cut
+from tidemark.sources.stages import manifest
 
 ZERO = dt.datetime(2024, 5, 1)
 
@@ -410,11 +411,42 @@ def test_scenarios(spark, tmp_path):
     out = C.run_and_compare(spark, ev, enc, usual, strict, root)
     want = C.compare_scenarios(spark, {k: v for k, v in C.run(spark, ev, enc, usual).items()}, "strict", root, "k")
     assert out["overlap"].collect() == want["overlap"].collect() and out["matrix_sepsis_score_at_max"].count() == 3
-    assert "organ_hours" in spark.read.json(f"{root}/thresholds/strict").first().thresholds
+    known = {r.run: r for r in manifest(spark, root).collect()}
+    assert set(known) == {"usual", "strict"} and known["strict"].path == root and '"organ_hours": 1' in known["strict"].settings
+    with pytest.raises(FileNotFoundError, match="strict, usual"):
+        C.compare_scenarios(spark, "usual", "none", root, "k")
     stages = C.run(spark, ev, enc, usual)
     assert set(stages) == {"events", "bounded", "infect_long", "agg", "sirs", "organdysfunction", "septicshock", "o2vent", "sepsis1", "sepsis2", "sepsis3"} and all(t.columns for t in stages.values())
 
 
+def test_a_broken_run_goes_on(spark, tmp_path):
+    from tidemark.plans import cohort_queries as Q
+
+    d, root = "/root/testdata/sf0.001", f"file://{tmp_path}/runs"
+    raw, seen = cut(Q._clinical(spark, d)), spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ev = raw.mapInArrow(read, raw.schema)
+    enc = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS k", *[f"{x} AS {n}" for n, x in Q._BASE.items()])
+    s = C.Scenario(name="s", columns=Q._CC, bounds={"Pulse": (0, 300)})
+    assert C.run_scenario(spark, ev, enc, s, root) == list(C.STAGES) and seen.value == raw.count()  # the events are read once
+    labels = lambda: {t: sorted(map(repr, spark.read.parquet(f"{root}/{t}/scenario=s").collect())) for t in C.STAGES}
+    want = labels()
+    lazy = C.run(spark, raw, enc, s)
+    assert all(sorted(map(repr, lazy[t].collect())) == want[t] for t in ("sepsis1", "sepsis2", "sepsis3"))
+    # a driver that is lost while a stage is written leaves a folder without _SUCCESS
+    for t in ("septicshock", "sepsis3"):
+        (tmp_path / "runs" / t / "scenario=s" / "_SUCCESS").unlink()
+    assert C.run_scenario(spark, ev, enc, s, root, resume=True) == ["septicshock", "sepsis3"]
+    assert labels() == want and seen.value == raw.count()
+    other = C.Scenario(name="s", columns=Q._CC, organ_hours=1)
+    assert C.run_scenario(spark, ev, enc, other, root, resume=True) == list(C.STAGES)  # other thresholds: nothing is kept
+
+
 @pytest.mark.parametrize("name", ["asof", "fill", "spells", "thin", "episodes", "trajectory", "pareto", "summary"])
 def test_empty_tables(spark, name):
     e = spark.createDataFrame([], "k int, t timestamp_ntz, v double, s string, u timestamp_ntz")

@@ -6,7 +6,7 @@ Thresholds and column names come as frozen dataclasses; every function is a lazy
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from tidemark.operators.outliers import bounded
 from tidemark.operators.tables import backbone_join, earliest, first_rows, highest
 from tidemark.operators.temporal import asof_join, band_join, fill_forward, lookback
 from tidemark.plans.statistics import compare_runs
+from tidemark.sources.stages import Stages, load_run
 
 
 @dataclass(frozen=True)
@@ -199,6 +200,9 @@ def organ_dysfunction(agg: DataFrame) -> DataFrame:
     return out.withColumn("organ_dysfunction_total", sum((F.coalesce(n, F.lit(0)) for n in f), F.lit(0)))
 
 
+SHOCK_FLAGS = ("sbp90_flag", "sbpdelta40_flag", "map65_flag", "lactate4_flag", "vasopressor_flag", "septic_shock_flag")
+
+
 def septic_shock(agg: DataFrame, null_mode: str = "as_zero") -> DataFrame:
     """Shock flags (null where their input is null) and their OR, by the null mode of `any_of`."""
     c = F.col
@@ -288,8 +292,14 @@ def sepsis_labels(infect: DataFrame, sirs_df: DataFrame, organ: DataFrame, shock
         two = backbone_join(two, lung, [key, "infect_dt"], "", "_pulmonarydys").withColumn("earliest_sepsis2_instance", F.least("infect_dt", ts, f"{ts}_pulmonarydys"))
     else:
         two = two.withColumn("earliest_sepsis2_instance", F.least("infect_dt", ts))
-    three = hit(two.select(key, "infect_dt").distinct(), shock.select(key, ts, "septic_shock_flag"), "septic_shock_flag >= 1", s.shock_hours).withColumn("earliest_sepsis3_instance", F.least("infect_dt", ts))
-    return {"sepsis1": one, "sepsis2": two, "sepsis3": three}
+    return {"sepsis1": one, "sepsis2": two, "sepsis3": sepsis3(two, shock, key, ts, s)}
+
+
+def sepsis3(two: DataFrame, shock: DataFrame, key: str, ts: str, s: Scenario) -> DataFrame:
+    """The infections of table sepsis2 with shock near them."""
+    near = shock.select(key, ts, "septic_shock_flag").where("septic_shock_flag >= 1")
+    pairs = band_join(two.select(key, "infect_dt").distinct(), near, [key], "infect_dt", ts, s.shock_hours, s.shock_hours)
+    return pairs.withColumn("earliest_sepsis3_instance", F.least("infect_dt", ts))
 
 
 def stacked(labels: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -307,38 +317,54 @@ def poa(first: str, arrival: str, hours: float, score: Column | None = None) ->
     return label if score is None else F.concat(label, F.lit("-"), score.cast("string"))
 
 
-def run(spark: SparkSession, events: DataFrame, encounters: DataFrame, s: Scenario = Scenario()) -> dict[str, DataFrame]:
-    """All stage tables of a scenario, lazy until written."""
-    c = s.columns
-    ev = events.withColumn(c.number, bounded(c.group, c.number, s.bounds)) if s.bounds else events
-    infect = infections(ev, s)
-    agg = lookback(ev, pressures(ev, c), c.key, c.ts, c.group, c.number, s.features)
-    base = encounters.select(c.key, *[n for n in encounters.columns if n.startswith("Baseline_")])
-    joined = agg.join(base, c.key, "left")
-    out = {"events": events, "bounded": ev, "infect_long": infect, "agg": agg, "sirs": sirs(agg), "organdysfunction": organ_dysfunction(joined), "septicshock": septic_shock(joined, s.null_mode), "o2vent": pulmonary(ev, c)}
-    return out | sepsis_labels(infect, out["sirs"], out["organdysfunction"], out["septicshock"], c.key, c.ts, s, out["o2vent"])
+#: The stage tables of a run, in order.
+STAGES = ("events", "bounded", "infect_long", "agg", "sirs", "organdysfunction", "septicshock", "o2vent", "sepsis1", "sepsis2", "sepsis3")
+Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
 
-def run_scenario(spark: SparkSession, events: DataFrame, encounters: DataFrame, s: Scenario, root: str) -> None:
-    """Every stage table under root/table/scenario=name, and the thresholds as text."""
-    for name, df in run(spark, events, encounters, s).items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/scenario={s.name}")
-    spark.createDataFrame([(s.name, s.as_json())], "scenario string, thresholds string").write.mode("overwrite").json(f"{root}/thresholds/{s.name}")
+def run(spark: SparkSession, events: DataFrame, encounters: DataFrame, s: Scenario = Scenario(), keep: Keep = lambda _, make: make()) -> dict[str, DataFrame]:
+    """All stage tables of a scenario, each from those before it: lazy until written, unless `keep` (a `Stages`) writes them."""
+    c, out = s.columns, {}
 
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        out[name] = keep(name, make)
+        return out[name]
 
-def load_scenario(spark: SparkSession, root: str, name: str, tables: Sequence[str]) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{root}/{t}/scenario={name}") for t in tables}
+    base = encounters.select(c.key, *[n for n in encounters.columns if n.startswith("Baseline_")])
+    raw = stage("events", lambda: events)
+    ev = stage("bounded", lambda: raw.withColumn(c.number, bounded(c.group, c.number, s.bounds)) if s.bounds else raw)
+    infect = stage("infect_long", lambda: infections(ev, s))
+    agg = stage("agg", lambda: lookback(ev, pressures(ev, c), c.key, c.ts, c.group, c.number, s.features))
+    flags = stage("sirs", lambda: sirs(agg))
+    organ = stage("organdysfunction", lambda: organ_dysfunction(agg.join(base, c.key, "left")))
+    shock = stage("septicshock", lambda: septic_shock(organ, s.null_mode).select(*agg.columns, *[n for n in organ.columns if n.startswith("Baseline_")], *SHOCK_FLAGS))
+    lung = stage("o2vent", lambda: pulmonary(ev, c))
+    labels = sepsis_labels(infect, flags, organ, shock, c.key, c.ts, s, lung)
+    stage("sepsis1", lambda: labels["sepsis1"])
+    two = stage("sepsis2", lambda: labels["sepsis2"])
+    stage("sepsis3", lambda: sepsis3(two, shock, c.key, c.ts, s))
+    return out
+
+
+def run_scenario(spark: SparkSession, events: DataFrame, encounters: DataFrame, s: Scenario, root: str, resume: bool = False) -> list[str]:
+    """Every stage table under root/table/scenario=name, written once and read back by the next; the stages that ran.
+
+    `events` is read once. `resume` goes on with a run of the same thresholds that broke off.
+    """
+    stages = Stages(spark, root, s.name, s.as_json(), STAGES, resume)
+    run(spark, events, encounters, s, stages)
+    return stages.made
 
 
 Stored = str | tuple[str, str] | Mapping[str, DataFrame]
 
 
 def resolve(spark: SparkSession, ref: Stored, root: str, tables: Sequence[str]) -> Mapping[str, DataFrame]:
-    """The tables of a scenario given as they are, by name under `root`, or as (another root, name)."""
+    """The tables of a scenario given as they are, by name in the manifest of `root`, or as (another root, name)."""
     if isinstance(ref, Mapping):
         return ref
     folder, name = (root, ref) if isinstance(ref, str) else ref
-    return load_scenario(spark, folder, name, tables)
+    return load_run(spark, folder, name, tables)
 
 
 def compare_scenarios(spark: SparkSession, a: Stored, b: Stored, root: str, key: str = Columns.key) -> dict[str, DataFrame]:

@@ -19,6 +19,7 @@ from tidemark.plans import clinical as C
 from tidemark.plans import cohorts as H
 from tidemark.plans import statistics as X
 from tidemark.plans.registry import events, query, read, rounded
+from tidemark.sources.shared import cut, scratch
 
 #: An order as an encounter.
 _ENC = {
@@ -647,7 +648,31 @@ WITH {_FLAGS} SELECT k, 1 AS score, min(least(infect_dt, ts)) AS instant FROM hi
 UNION ALL SELECT k, 2, min(least(infect_dt, ts)) FROM tw GROUP BY 1 UNION ALL SELECT k, 3, min(least(infect_dt, ts)) FROM hi JOIN (SELECT DISTINCT k, infect_dt FROM tw) USING (k, infect_dt) WHERE shock = 1 GROUP BY 1""")
 def labelling_run(spark, d):
     e = read(spark, d, "customer").selectExpr("c_custkey AS k", *[f"{x} AS {n}" for n, x in _BASE.items()])
-    return C.stacked(C.run(spark, _clinical(spark, d), e, C.Scenario(columns=_CC)), "k")
+    # a stage that several others read is written once
+    shared = ("bounded", "infect_long", "agg", "organdysfunction", "sepsis2")
+    keep = lambda name, make: cut(make()) if name in shared else make()
+    return C.stacked(C.run(spark, _clinical(spark, d), e, C.Scenario(columns=_CC), keep), "k")
+
+
+def _labels_sql(sirs: float, organ: float, shock: float) -> str:
+    """k, score of each label of a scenario, over the tables of `_FLAGS`."""
+    near = lambda h: f"ts BETWEEN infect_dt - INTERVAL {h} HOUR AND infect_dt + INTERVAL {h} HOUR"
+    two = f"SELECT DISTINCT k, infect_dt FROM hi WHERE organ >= 1 AND {near(organ)}"
+    return f"""SELECT k, 1 AS score FROM hi WHERE sirs >= 2 AND {near(sirs)} UNION SELECT k, 2 FROM ({two})
+ UNION SELECT k, 3 FROM hi JOIN ({two}) USING (k, infect_dt) WHERE shock = 1 AND {near(shock)}"""
+
+
+@query(f"""
+WITH {_FLAGS}, a AS (SELECT k, max(score) AS a FROM ({_labels_sql(24, 48, 48)}) GROUP BY k), b AS (SELECT k, max(score) AS b FROM ({_labels_sql(1, 3, 3)}) GROUP BY k),
+j AS (SELECT a, b FROM a FULL JOIN b USING (k)), c AS (SELECT count_if(b IS NULL) AS only_a, count_if(a IS NULL) AS only_b, count_if(a = b OR a <> b) AS "both", count(*) AS either, count_if(a = b) AS same, count_if(b > a) AS up, count_if(b < a) AS down FROM j),
+e AS (SELECT sum((SELECT count(*) FROM j WHERE a = s AND b IS NOT NULL) * (SELECT count(*) FROM j WHERE b = s AND a IS NOT NULL))::DOUBLE AS e FROM range(1, 4) t(s))
+SELECT only_a, only_b, "both", either, round("both" / either, 6) AS jaccard, "both" AS n, round(same / "both", 6) AS exact, round(up / "both", 6) AS upgraded, round(down / "both", 6) AS downgraded, round((same / "both" - e / ("both" * "both")) / (1 - e / ("both" * "both")), 6) AS kappa FROM c, e""")
+def scenarios_compared(spark, d):
+    e = read(spark, d, "customer").selectExpr("c_custkey AS k", *[f"{x} AS {n}" for n, x in _BASE.items()])
+    usual, strict = C.Scenario(name="usual", columns=_CC), C.Scenario(name="strict", columns=_CC, sirs_hours=1, organ_hours=3, shock_hours=3)
+    out = C.run_and_compare(spark, _clinical(spark, d), e, usual, strict, scratch(spark))
+    agreed = out["agreement_sepsis_score_at_max"].select("n", *rounded("exact", "upgraded", "downgraded", "kappa"))
+    return out["overlap"].withColumn("jaccard", F.round("jaccard", 6)).crossJoin(agreed)  # one row each
 
 
 @query(f"""

@@ -29,9 +29,14 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the application's folder, which `clear` deletes."""
+    return f"{_own(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return it read back, without its lineage."""
-    path = f"{_own(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
