@@ -391,6 +391,22 @@ def test_csv_source(spark, tmp_path):
     assert io.missing_paths(spark, [f"file://{tmp_path}/a.csv", f"file://{tmp_path}/none"]) == [f"file://{tmp_path}/none"]
 
 
+def test_ingest(spark, tmp_path):
+    lines = ["k,t,v,s", "1,2024-05-01 03:00:00.25,1.5,a", "2,05/02/2024 13:01,Null,NULL", "null,2024-05-01 00:00:00,2,b", "x7,2024-02-30 00:00:00,abc,c", "3,2024-05-01 00:00:00", '4,2024-03-10 02:30:00,3,"d,e"', "5,2024-05-01 00:00:00,4,f,g", " 6 ,null,5,", "7,1969-12-31 23:59:59.5,1e3,h"]
+    (tmp_path / "x.csv").write_text("\n".join(lines))
+    kinds = {"k": "long", "t": ["yyyy-MM-dd HH:mm:ss[.SSSSSS][.SS][.S]", "MM/dd/yyyy HH:mm"], "v": "double", "s": "string"}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # skips 02:30 on that day
+    try:
+        good, rejected = io.ingest_csv(spark, f"file://{tmp_path}/x.csv", kinds, ["k"])
+        assert rows(good, *kinds) == sorted([(1, at(3) + dt.timedelta(microseconds=250_000), 1.5, "a"), (2, dt.datetime(2024, 5, 2, 13, 1), None, None), (4, dt.datetime(2024, 3, 10, 2, 30), 3.0, "d,e"), (6, None, 5.0, None), (7, dt.datetime(1969, 12, 31, 23, 59, 59, 500_000), 1000.0, "h")], key=repr)
+        assert good.schema["t"].dataType.simpleString() == "timestamp_ntz"
+        got = {tuple(r._reasons): r for r in rejected.collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert set(got) == {("k: missing",), ("k: x7", "t: 2024-02-30 00:00:00", "v: abc"), ("fields",)} and rejected.count() == 4
+    assert got["fields",]._line in (lines[5], lines[7]) and got["fields",]._file == "x.csv"
+
+
 def test_combined_events(spark):
     e = spark.createDataFrame([(1, at(0), "x"), (1, at(0), "x"), (None, at(1), "y"), (2, None, "z")], "k int, t timestamp_ntz, v string")
     enc = spark.createDataFrame([(1, 40), (3, 50)], "k int, age int")
@@ -447,6 +463,29 @@ def test_a_broken_run_goes_on(spark, tmp_path):
     assert C.run_scenario(spark, ev, enc, other, root, resume=True) == list(C.STAGES)  # other thresholds: nothing is kept
 
 
+def test_quantiles_of_large_groups(spark):
+    """Selection by counting gives the values of the sorted groups: ties, extremes, infinities, nan, null groups."""
+    r = np.random.default_rng(4)
+    groups = {
+        "normal": r.normal(0, 1, 3_000), "ties": r.integers(0, 4, 2_500).astype(float), "one": np.full(2_100, 7.5), "wide": 10.0 ** r.integers(-300, 300, 2_400) * r.choice([-1, 1], 2_400),
+        "inf": np.r_[r.normal(0, 1, 2_100), [np.inf] * 200, [-np.inf] * 300], "nan": np.r_[r.normal(0, 1, 1_500), [np.nan] * 900], "ends": np.r_[[1.7e308, -1.7e308] * 1_050, [0.0]], "small": r.normal(0, 1, 40), None: r.random(2_050),
+    }
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("small", None)], "g string, v double").repartition(5)
+    qs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.987, "e": 1.0}
+    got = {x.g: x for x in K.quantiles(df, ["g"], "v", qs, most=2_000).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        v = np.sort(v)
+        for c, q in qs.items():
+            at = (len(v) - 1) * q
+            lo, hi = v[int(np.floor(at))], v[int(np.ceil(at))]
+            want = lo if lo == hi or np.isnan(lo) else lo + (hi - lo) * (at - np.floor(at))
+            assert got[g][c] == pytest.approx(want, rel=1e-12, nan_ok=True), (g, c)
+    one = K.quantiles(df.where("g = 'normal'"), [], "v", {"m": 0.5}, most=100).collect()
+    assert one[0].m == pytest.approx(np.median(groups["normal"]), rel=1e-12)
+    assert rows(K.quantiles(df.where("g = 'none'"), [], "v", {"m": 0.5}), "m") == [(None,)]
+
+
 @pytest.mark.parametrize("name", ["asof", "fill", "spells", "thin", "episodes", "trajectory", "pareto", "summary"])
 def test_empty_tables(spark, name):
     e = spark.createDataFrame([], "k int, t timestamp_ntz, v double, s string, u timestamp_ntz")

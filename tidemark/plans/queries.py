@@ -592,12 +592,12 @@ def group_aggregates(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from tidemark.plans import cohort_queries  # noqa: F401  registers its own
+    from tidemark.plans import cohort_queries, source_queries  # noqa: F401  register their own
 
     return dict(ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.plans import cohort_queries  # noqa: F401  registers its own
+    from tidemark.plans import cohort_queries, source_queries  # noqa: F401  register their own
 
     return dict(SQL)

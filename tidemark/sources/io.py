@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,46 @@ def cast_known(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.select(*[cast(c) for c in df.columns])
 
 
+#: Column of a row of `ingest_csv` that says why it was rejected.
+REASONS = "_reasons"
+
+
+def parsed_time(c: Column, formats: Sequence[str]) -> Column:
+    """A time without zone by the first of several formats that fits, else null.
+
+    Texts are read as UTC, so that hours that the session's zone skips stay as they are.
+    """
+    at = F.coalesce(*[F.try_to_timestamp(F.concat(c, F.lit(" +0000")), F.lit(f"{f} Z")) for f in formats])
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.unix_micros(at).cast("decimal(20,0)") / 1_000_000)
+
+
+def ingest_csv(spark: SparkSession, path: str, columns: Mapping[str, str | Sequence[str]], required: Sequence[str] = (), header: bool = True, tokens: Sequence[str] = ("Null", "NULL", "null")) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of a CSV: typed columns, and what doesn't fit its types with the reasons, instead of an error or a silent null.
+
+    `columns`: name -> `string`, `long`, `double`, or the formats of a time, the first that fits counts.
+    A row is rejected if a text that is no null token doesn't parse (`column: text`), a required column is
+    null (`column: missing`), or the line has too few or too many fields (`fields`). `rejected` has the
+    file, the texts of all columns and the line (where its fields don't fit), and the array of reasons.
+    Both are lazy and read the file on their own; together they hold every line once.
+    """
+    bad = "_line"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, bad]])
+    # every column is parsed whatever a query reads of the rows, else a line of other fields isn't noticed
+    text = spark.read.schema(schema).option("columnPruning", False).csv(path, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
+    text = text.select(*[F.when(~F.trim(c).isin(*tokens), F.col(c)).alias(c) for c in columns], bad, F.col("_metadata.file_name").alias("_file"))
+    typed, reasons = {}, [F.when(F.col(bad).isNotNull(), "fields")]
+    for c, kind in columns.items():
+        if kind == "string":
+            continue
+        typed[f"_t_{c}"] = F.trim(c).try_cast(kind) if isinstance(kind, str) else parsed_time(F.trim(c), kind)
+        reasons.append(F.when(F.col(c).isNotNull() & F.col(f"_t_{c}").isNull(), F.concat(F.lit(f"{c}: "), F.col(c))))
+    # what a line of other fields lacks isn't told again
+    reasons += [F.when(F.col(bad).isNull() & F.col(c).isNull(), f"{c}: missing") for c in required]
+    every = text.withColumns(typed).withColumn(REASONS, F.array_compact(F.array(*reasons)))
+    rows = every.where(F.size(REASONS) == 0).select(*[F.col(f"_t_{c}" if f"_t_{c}" in typed else c).alias(c) for c in columns])
+    return rows, every.where(F.size(REASONS) > 0).select("_file", *columns, bad, REASONS)
+
+
 def harmonise(frames: Sequence[DataFrame], rename: Mapping[str, str] = {}, drop: Sequence[str] = ()) -> DataFrame:
     """Files of differing columns as one table of text; missing columns are null."""
     out = None
