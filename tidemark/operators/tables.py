@@ -144,9 +144,9 @@ def ends(df: DataFrame, first: Sequence[Column], last: Sequence[Column], k: int)
 
 
 def sample_keys(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
-    """All rows of k keys, drawn by a seeded hash, so that reruns draw the same."""
-    drawn = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
-    return df.join(F.broadcast(drawn), key)  # k rows
+    """All rows of k keys: those with the least digest of seed and key, so that reruns draw the same."""
+    drawn = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k)
+    return df.join(counted(drawn), key)
 
 
 def funnel(df: DataFrame, by: str, steps: Sequence[tuple[str, str]]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.operators.ranks import quantiles, running
-from tidemark.operators.tables import summary
+from tidemark.operators.tables import counted, summary
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -113,12 +113,15 @@ def factor_cells(df: DataFrame, factors: Sequence[str], group: str, by: Sequence
     text = [F.col(f).cast("string").alias(f) for f in factors]
     long = df.where(F.col(group).isNotNull()).select(*by, F.col(group).alias("group"), *text).unpivot([*by, "group"], list(factors), "factor", "value")
     n = long.groupBy(*by, "factor", "value", "group").agg(F.count("*").alias("n"))
-    # a row per value, not per row of df
-    size = n.groupBy(*by, "factor", "value").agg(F.sum("n").alias("_size")).withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "factor").orderBy(F.desc("_size"), F.col("value").asc_nulls_last())))
+    # a row per value, not per row of df; the most frequent of each share of the values are found first, so that none is ranked whole
+    rank = lambda *part: F.row_number().over(Window.partitionBy(*by, "factor", *part).orderBy(F.desc("_size"), F.col("value").asc_nulls_last()))
+    size = n.groupBy(*by, "factor", "value").agg(F.sum("n").alias("_size")).withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(64)))
+    some = size.withColumn("_rank", rank("_part")).where(F.col("_rank") <= top_n)
+    size = some.withColumn("_rank", rank())
     keys = [*by, "factor"]
     top = size.where(F.col("_rank") <= top_n).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("value").alias("_v"))
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(keys)]) & (F.col("value") == F.col("_v"))
-    kept = n.join(F.broadcast(top), same, "left").select(*keys, F.coalesce("_v", F.lit("Other")).alias("value"), "group", "n")  # top_n rows a factor
+    kept = n.join(counted(top), same, "left").select(*keys, F.coalesce("_v", F.lit("Other")).alias("value"), "group", "n")
     return kept.groupBy(*by, "factor", "value", "group").agg(F.sum("n").alias("n"))
 
 
