@@ -103,6 +103,19 @@ def test_long_keys(spark):
         assert len(a[0]) > 100 and all(x == a[0] for x in a)
 
 
+def test_rolling_over_buckets(spark):
+    r = np.random.default_rng(3)
+    t = r.integers(0, 4_000, 250)
+    data = [("k", i, at(seconds=60 * int(x)), float(i)) for i, x in enumerate(t)] + [("k", 900, None, 5.0), ("k", 901, None, 6.0), (None, 902, at(0), 1.0)]
+    df = spark.createDataFrame(data, "k string, i int, t timestamp_ntz, v double")
+    for before, after, closed in ((2, 0, False), (1.5, 3, False), (2, 0, True), (0, 0, False)):
+        out = {x.i: x.s for x in T.rolling(df, ["k"], "t", {"s": F.sum("v")}, before, after, closed).collect()}
+        assert len(out) == 253 and out[900] == out[901] == 11.0 and out[902] == (None if closed else 1.0)
+        for i, x in enumerate(t):
+            inside = (t >= x - 60 * before) & ((t < x) if closed else (t <= x + 60 * after))
+            assert out[i] == (float(np.flatnonzero(inside).sum()) if inside.any() else None)
+
+
 def test_a_long_key_is_many_tasks(spark):
     df = spark.range(1_000_000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"), F.when(F.col("id") % 1000 == 0, F.col("id")).alias("v"), (F.col("id") % 5000 < 2500).alias("s"))
     hours = N.bucket_hours(df, ["k"], "t", 10_000)

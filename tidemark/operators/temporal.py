@@ -171,10 +171,18 @@ def fill_nearest(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: s
 
 
 def rolling(df: DataFrame, keys: Sequence[str], ts: str, exprs: Mapping[str, Column], before: float, after: float = 0, left_closed: bool = False) -> DataFrame:
-    """Aggregates over [t - before, t + after] hours; left_closed leaves the current instant out."""
+    """Aggregates over [t - before, t + after] hours; left_closed leaves the current instant out.
+
+    Rows are dealt by key and buckets of four times the window, each to the buckets (two at most) whose
+    rows may look at it, so no window spans a long key. Rows without a time see each other.
+    """
     end = _us(after) - (1 if left_closed else 0)
-    w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-_us(before), end)
-    return df.withColumns({n: e.over(w) for n, e in exprs.items()})
+    of = lambda c: F.floor(c / max(4 * _us(before + after), HOUR))
+    us = df.withColumn("_us", micros(ts))
+    buckets = F.sequence(of(F.col("_us") - _us(after)), of(F.col("_us") + _us(before)))
+    dealt = us.withColumn("_b", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(None).cast("long"))).otherwise(buckets)))
+    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-_us(before), end)
+    return dealt.withColumns({n: e.over(w) for n, e in exprs.items()}).where(of(F.col("_us")).eqNullSafe(F.col("_b"))).drop("_us", "_b")
 
 
 def spells(df: DataFrame, keys: Sequence[str], ts: str, state: str, bucket: float | None = None) -> DataFrame:
