@@ -103,6 +103,55 @@ def test_long_keys(spark):
         assert len(a[0]) > 100 and all(x == a[0] for x in a)
 
 
+def test_neighbours_of_long_keys(spark):
+    """Dealt by time buckets that borrow rows at their ends, the operators on neighbouring rows give those of one window over each key."""
+    r = np.random.default_rng(12)
+    data = [(int(i), [None, 1, 2][k], [None, at(seconds=600 * int(t))][min(1, int(u * 30))], None if n < 0.2 else float(v), "ab"[int(v) % 2]) for i, (k, t, u, n, v) in enumerate(zip(r.integers(0, 3, 300), r.integers(0, 90, 300), r.random(300), r.random(300), r.integers(0, 6, 300), strict=True))]
+    df = cut(spark.createDataFrame(data, "i int, k int, t timestamp_ntz, v double, s string"))
+    iv = df.where("k is not null and t is not null").groupBy("k", "t").agg(F.max("v").alias("v"), F.max("s").alias("s")).withColumn("e", S.plus_hours("t", 3))
+    a, b = iv.where("s = 'a'"), iv.where("s = 'b'")
+    on, off = F.col("v") >= 4, F.col("v") < 2
+    cases = {
+        "velocity": lambda x: O.velocity_flags(df, ["k"], "t", "v", 0.01, 2, 60, ["i"], x),
+        "context": lambda x: O.context(df, ["k"], "t", "v", 3, ["i"], x),
+        "neighbours": lambda x: O.neighbours(df, ["k"], "t", "v", 10, ["i"], x),
+        "shifted": lambda x: T.shifted(df, ["k"], "t", {"p": ("i", -2), "n": ("v", 7)}, ["i"], x),
+        "sojourns": lambda x: T.sojourns(df, ["k"], "t", "s", x),
+        "transitions": lambda x: T.transitions(df, ["k"], "t", "s", True, x),
+        "path": lambda x: T.path_edges(df, ["k"], "t", "s", bucket=x),
+        "episodes": lambda x: T.episodes(df, ["k"], "t", on, off, x),
+        "thin": lambda x: T.thin(df, ["k"], "t", 0.3, ["i"], x),
+        "bridged": lambda x: T.bridged_spells(df, ["k"], "t", "s", 0.5, x).select("k", "spell", "s", "start", "end", "n", "hours"),
+        "segment": lambda x: T.segment(a, b, ["k"], "t", "e", "v", x),
+        "lookup": lambda x: T.interval_lookup(df, iv.select("k", F.col("t").alias("st"), "e", F.col("v").alias("w")), ["k"], "t", "st", "e", ["w"], x),
+        "running": lambda x: N.running_sum(df, ["k"], "t", ["t", "i"], F.col("v"), "sum", x),
+        "courses": lambda x: H.courses(df, ["k"], "t", on, off, x),
+        "gaps": lambda x: H.state_gaps(df.withColumn("e", S.plus_hours("t", 1.0)).withColumn("e", F.when(on, F.col("e")).otherwise(F.col("t"))), ["k"], "t", "e", "s", 0.5, x),
+        "combined": lambda x: H.combined_states(T.segment(a, b, ["k"], "t", "e", "v"), ["k"], "seg_start", "seg_end", "a_state", "b_state", x).withColumn("hours", F.round("hours", 6)),
+        "changes": lambda x: H.state_transitions(H.combined_states(T.segment(a, b, ["k"], "t", "e", "v"), ["k"], "seg_start", "seg_end", "a_state", "b_state"), ["k"], x).withColumn("mean_hours", F.round("mean_hours", 6)).withColumn("total_hours", F.round("total_hours", 6)),
+    }
+    for name, f in cases.items():
+        plain = f(None)
+        want = sorted(map(repr, plain.collect()))
+        assert want, name
+        for hours in (0.4, 500.0) if name in ("shifted", "running", "gaps") else (0.4,):
+            got = f(hours)
+            assert got.columns == plain.columns and dict(got.dtypes) == dict(plain.dtypes), (name, got.dtypes, plain.dtypes)
+            assert sorted(map(repr, got.collect())) == want, (name, hours)
+
+
+def test_neighbours_by_hand(spark):
+    """Buckets of an hour with one, no and many rows: the rows on either side come from whichever bucket has them."""
+    hours = [0, 0.2, 5, 6.5, 6.6, 6.7, 30]
+    df = spark.createDataFrame([(1, at(seconds=round(3600 * h)), float(i)) for i, h in enumerate(hours)] + [(2, at(1), 9.0)], "k int, t timestamp_ntz, v double")
+    out = T.shifted(df, ["k"], "t", {"back": ("v", -3), "on": ("v", 2)}, bucket=1.0)
+    assert rows(out, "k", "v", "back", "on") == sorted([(1, float(i), i - 3.0 if i >= 3 else None, i + 2.0 if i < 5 else None) for i in range(7)] + [(2, 9.0, None, None)], key=repr)
+    total = N.running_sum(df, ["k"], "t", ["t"], F.col("v"), "s", 1.0)
+    assert rows(total, "k", "v", "s") == sorted([(1, float(i), float(sum(range(i + 1)))) for i in range(7)] + [(2, 9.0, 9.0)], key=repr)
+    one = R.with_group(df.unionByName(spark.createDataFrame([(None, None, 4.0)], df.schema)), ["k"], {"top": F.max("v")})
+    assert rows(one.select("k", "top").distinct(), "k", "top") == sorted([(1, 6.0), (2, 9.0), (None, 4.0)], key=repr)
+
+
 def test_rolling_over_buckets(spark):
     r = np.random.default_rng(3)
     t = r.integers(0, 4_000, 250)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import HOUR, micros
+from tidemark.operators.scan import dealt, own
 from tidemark.operators.sliding import median_of_others, near_in_time, sliding_deviation, sliding_median, windows
 from tidemark.operators.tables import counted
 
@@ -26,16 +27,17 @@ def bounded(group: str, value: str, bounds: Mapping[str, tuple[float, float]]) -
 EPSILON = 1e-6
 
 
-def velocity_flags(df: DataFrame, keys: Sequence[str], ts: str, value: str, per_minute: float, step: float, valid_minutes: float, tie: Sequence[str] = ()) -> DataFrame:
+def velocity_flags(df: DataFrame, keys: Sequence[str], ts: str, value: str, per_minute: float, step: float, valid_minutes: float, tie: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """`too_fast` and `too_far` against the value before (rows of one instant by `tie`, then value), if that is recent enough.
 
     A step within an instant is recent. Its velocity is over `EPSILON` minutes; a velocity of 1 / `EPSILON`
-    or more is none, so such a step is too fast only if it is below 1.
+    or more is none, so such a step is too fast only if it is below 1. With `bucket` (hours, see
+    `scan.bucket_hours`) a long key is dealt out by time, as in `context` and `neighbours`.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, *tie, value)
+    df, w = dealt(df, keys, ts, [ts, *tie, value], bucket, 1)
     minutes = (micros(ts) - F.lag(micros(ts)).over(w)) / 60e6
     delta = F.abs(F.col(value) - F.lag(value).over(w))
-    df = df.withColumn("_m", minutes).withColumn("_d", delta)
+    df = own(df.withColumn("_m", minutes).withColumn("_d", delta))
     recent = F.col("_m") <= valid_minutes
     speed = F.col("_d") / (F.col("_m") + EPSILON)
     fast = recent & (speed > per_minute) & (speed < 1 / EPSILON)
@@ -127,17 +129,17 @@ def split_outliers(df: DataFrame, keys: Sequence[str], ts: str, value: str, **op
     return flagged.where("not outlier").drop("outlier"), flagged.where("outlier").drop("outlier")
 
 
-def context(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int = 3, tie: Sequence[str] = ()) -> DataFrame:
+def context(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int = 3, tie: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """Means of the `rows` values before and after each row (of one instant by `tie`, then value), and their difference."""
-    w = Window.partitionBy(*keys).orderBy(ts, *tie, value)
+    df, w = dealt(df, keys, ts, [ts, *tie, value], bucket, rows, rows)
     df = df.withColumn("mean_before", F.avg(value).over(w.rowsBetween(-rows, -1))).withColumn("mean_after", F.avg(value).over(w.rowsBetween(1, rows)))
-    return df.withColumn("asymmetry", F.col("mean_after") - F.col("mean_before"))
+    return own(df).withColumn("asymmetry", F.col("mean_after") - F.col("mean_before"))
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int, tie: Sequence[str] = ()) -> DataFrame:
+def neighbours(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int, tie: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """Columns prev_i and next_i (i from 0, the row itself) with the values of the rows around each one."""
-    w = Window.partitionBy(*keys).orderBy(ts, *tie, value)
-    return df.withColumns({f"{n}_{i}": f(value, i).over(w) for i in range(rows) for n, f in (("prev", F.lag), ("next", F.lead))})
+    df, w = dealt(df, keys, ts, [ts, *tie, value], bucket, rows - 1, rows - 1)
+    return own(df.withColumns({f"{n}_{i}": f(value, i).over(w) for i in range(rows) for n, f in (("prev", F.lag), ("next", F.lead))}))
 
 
 def against_bounds(df: DataFrame, bounds: DataFrame, group: str, value: str, low: str, high: str) -> DataFrame:

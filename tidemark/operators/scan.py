@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import HOUR, micros
@@ -51,6 +51,56 @@ def last_known(rows: DataFrame, keys: Sequence[str], hit: str, order: Sequence[C
     return with_first(rows, first).withColumn(out, F.last(hit, True).over(w)).where("_f = 1").drop("_f")
 
 
+def _borrowed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, ahead: bool) -> DataFrame:
+    """For each bucket the last `k` rows of each of the `k` buckets before it (ahead: the first of those after it), in any order; k * k rows at most."""
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*[F.col(c).asc() if ahead else F.col(c).desc() for c in order]))
+    ends = rows.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
+    each = ends.groupBy(*keys, "_b").agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in (*keys, "_b")])).alias("_x"))
+    # a row for each bucket
+    w = Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_first()).rowsBetween(*((1, k) if ahead else (-k, -1)))
+    near = each.select(*keys, "_b", F.flatten(F.collect_list("_x").over(w)).alias("_x"))
+    return near.select(*keys, "_b", F.explode("_x").alias("_y")).select(*keys, "_b", "_y.*")
+
+
+def dealt(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], bucket: float | None, before: int = 0, after: int = 0) -> tuple[DataFrame, WindowSpec]:
+    """`df` with `_own`, and a window in which each own row has its key's `before` rows before and `after` rows behind it, in `order`.
+
+    With a bucket (hours) rows are dealt by key and time bucket, and each bucket borrows the rows that
+    it needs of its neighbours: `own` takes those away again. `order` (ascending, nulls first) must follow
+    `ts`; of rows equal in all of it any may be borrowed. Without a bucket the window is the key's.
+    """
+    if bucket is None:
+        return df.withColumn("_own", F.lit(True)), Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn("_b", bucket_of(ts, bucket))
+    out = rows.withColumn("_own", F.lit(True))
+    for k, ahead in ((before, False), (after, True)):
+        if k:
+            out = out.unionByName(_borrowed(rows, keys, order, k, ahead).withColumn("_own", F.lit(False)))
+    return out, Window.partitionBy(*keys, "_b").orderBy(*order)
+
+
+def own(rows: DataFrame) -> DataFrame:
+    """The rows of `dealt` that aren't borrowed."""
+    return rows.where("_own").drop("_own", "_b")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], value: Column, out: str, bucket: float | None = None) -> DataFrame:
+    """`df` with `out`: the sum of `value` over the key's rows up to each one in `order`, which must follow `ts`; with a bucket as in `dealt`.
+
+    Each bucket starts from the sum of those before it. Null values add nothing.
+    """
+    if bucket is None:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.withColumns({"_b": bucket_of(ts, bucket), "_v": value})
+    sums = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
+    kind = sums.schema["_s"].dataType
+    earlier = Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    first = sums.select(*keys, "_b", F.sum("_s").over(earlier).cast(kind).alias("_v")).where("_v is not null")
+    w = Window.partitionBy(*keys, "_b").orderBy("_f", *order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = with_first(rows.withColumn("_v", F.col("_v").cast(kind)), first)
+    return seen.withColumn(out, F.sum("_v").over(w).cast(kind)).where("_f = 1").drop("_f", "_b", "_v")
+
+
 def numbered_runs(df: DataFrame, keys: Sequence[str], ts: str, state: str, hours: float) -> DataFrame:
     """A row for each part of a run of equal states that lies in one bucket: keys, spell (of the whole key, from 1), state, start, end, n."""
     rows = df.select(*keys, F.col(ts).alias("_t"), F.col(state).alias("_s"), bucket_of(ts, hours).alias("_b"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,6 +111,11 @@ def join_groups(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left"
     return a.join(other, same, how).drop(*[f"_{i}_{c}" for i, c in enumerate(by)])
 
 
+def with_group(df: DataFrame, by: Sequence[str], exprs: Mapping[str, Column]) -> DataFrame:
+    """`df` with aggregates of each row's group (null groups too): an aggregate and a join, so that no task holds a large group."""
+    return join_groups(df, df.groupBy(*by).agg(*[e.alias(n) for n, e in exprs.items()]), by)
+
+
 def summary(df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """n, mean, std, min, max and quantiles (p25, ...) of the values of each group."""
     base = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import HOUR, micros
 from tidemark.operators.ranks import quantiles
-from tidemark.operators.scan import bucket_of, last_known, numbered_runs
+from tidemark.operators.scan import bucket_of, dealt, last_known, numbered_runs, own, running_sum
 
 
 def _us(hours: float) -> int:
@@ -198,14 +198,14 @@ def spells(df: DataFrame, keys: Sequence[str], ts: str, state: str, bucket: floa
     return out.withColumn("hours", (micros("end") - micros("start")) / HOUR)
 
 
-def bridged_spells(df: DataFrame, keys: Sequence[str], ts: str, state: str, hours: float) -> DataFrame:
-    """Spells after those shorter than `hours` between two equal states take the state around them."""
-    s = spells(df, keys, ts, state)
-    w = Window.partitionBy(*keys).orderBy("spell")
+def bridged_spells(df: DataFrame, keys: Sequence[str], ts: str, state: str, hours: float, bucket: float | None = None) -> DataFrame:
+    """Spells after those shorter than `hours` between two equal states take the state around them. `bucket` as in `asof_join`."""
+    s, w = dealt(spells(df, keys, ts, state, bucket), keys, "start", ["spell"], bucket, 1, 1)
     before, after = F.lag(state).over(w), F.lead(state).over(w)
-    s = s.withColumn("_new", F.when((F.col("hours") < hours) & (before == after), before).otherwise(F.col(state)))
-    w2 = Window.partitionBy(*keys).orderBy("spell")
-    s = s.withColumn("_c", (~F.col("_new").eqNullSafe(F.lag("_new").over(w2)) | F.lag("spell").over(w2).isNull()).cast("int")).withColumn("_s", F.sum("_c").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
+    s = own(s.withColumn("_new", F.when((F.col("hours") < hours) & (before == after), before).otherwise(F.col(state))))
+    s, w = dealt(s, keys, "start", ["spell"], bucket, 1)
+    s = own(s.withColumn("_c", (~F.col("_new").eqNullSafe(F.lag("_new").over(w)) | F.lag("spell").over(w).isNull()).cast("int")))
+    s = running_sum(s, keys, "start", ["spell"], F.col("_c"), "_s", bucket)
     out = s.groupBy(*keys, F.col("_s").alias("spell")).agg(F.first("_new").alias(state), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
     return out.withColumn("hours", (micros("end") - micros("start")) / HOUR)
 
@@ -223,35 +223,45 @@ def run_durations(df: DataFrame, keys: Sequence[str], ts: str, state: str, bucke
     return s.withColumn("hours", (micros("end") - micros("start")) / HOUR).drop("_next")
 
 
-def episodes(df: DataFrame, keys: Sequence[str], ts: str, on: Column, off: Column) -> DataFrame:
-    """ON to next OFF, the first of repeated ONs; an unclosed one is INCOMPLETE; OFF alone is dropped."""
-    m = df.withColumn("_m", F.when(on, F.lit("1")).when(off, F.lit("0"))).where("_m is not null")
-    w = Window.partitionBy(*keys).orderBy(ts, "_m")
-    turn = m.withColumn("_p", F.lag("_m").over(w)).where("_p is null or _p <> _m")
-    out = turn.withColumn("end", F.lead(ts).over(w)).where("_m = '1'")
+def episodes(df: DataFrame, keys: Sequence[str], ts: str, on: Column, off: Column, bucket: float | None = None) -> DataFrame:
+    """ON to next OFF, the first of repeated ONs; an unclosed one is INCOMPLETE; OFF alone is dropped. `bucket` as in `asof_join`."""
+    m = df.select(*keys, ts, F.when(on, F.lit("1")).when(off, F.lit("0")).alias("_m")).where("_m is not null")
+    m, w = dealt(m, keys, ts, [ts, "_m"], bucket, 1)
+    turn = own(m.withColumn("_p", F.lag("_m").over(w))).where("_p is null or _p <> _m").drop("_p")
+    turn, w = dealt(turn, keys, ts, [ts, "_m"], bucket, 0, 1)
+    out = own(turn.withColumn("end", F.lead(ts).over(w))).where("_m = '1'")
     return out.select(*keys, F.col(ts).alias("start"), "end", F.when(F.col("end").isNull(), "INCOMPLETE").otherwise("COMPLETE").alias("status"))
 
 
-def sojourns(df: DataFrame, keys: Sequence[str], ts: str, state: str) -> DataFrame:
-    """State and hours to the next event; times of 0 or below are dropped."""
-    w = Window.partitionBy(*keys).orderBy(ts, state)
-    out = df.withColumn("_n", F.lead(ts).over(w)).withColumn("hours", (micros("_n") - micros(ts)) / HOUR)
+def shifted(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[str, tuple[str, int]], tie: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
+    """`df` with name -> (column, steps): the column's value that many rows on (negative: back) along each key, null past its ends.
+
+    Rows of one instant are taken by `tie`, which should settle their order. `bucket` as in `asof_join`.
+    """
+    steps = [n for _, n in columns.values()]
+    rows, w = dealt(df, keys, ts, [ts, *tie], bucket, max([0, *[-n for n in steps]]), max([0, *steps]))
+    return own(rows.withColumns({name: F.lead(c, n).over(w) for name, (c, n) in columns.items()}))
+
+
+def sojourns(df: DataFrame, keys: Sequence[str], ts: str, state: str, bucket: float | None = None) -> DataFrame:
+    """State and hours to the next event; times of 0 or below are dropped. `bucket` as in `asof_join`."""
+    out = shifted(df.select(*keys, ts, state), keys, ts, {"_n": (ts, 1)}, [state], bucket).withColumn("hours", (micros("_n") - micros(ts)) / HOUR)
     return out.where("hours > 0").select(*keys, ts, state, "hours")
 
 
-def transitions(df: DataFrame, keys: Sequence[str], ts: str, state: str, loops: bool = False) -> DataFrame:
-    """from_state, to_state, n, share of the row; self loops only if asked for."""
-    w = Window.partitionBy(*keys).orderBy(ts, state)
-    t = df.select(F.col(state).alias("from_state"), F.lead(state).over(w).alias("to_state")).where("from_state is not null and to_state is not null")
+def transitions(df: DataFrame, keys: Sequence[str], ts: str, state: str, loops: bool = False, bucket: float | None = None) -> DataFrame:
+    """from_state, to_state, n, share of the row; self loops only if asked for. `bucket` as in `asof_join`."""
+    t = shifted(df.select(*keys, ts, state), keys, ts, {"to_state": (state, 1)}, [state], bucket)
+    t = t.select(F.col(state).alias("from_state"), "to_state").where("from_state is not null and to_state is not null")
     n = (t if loops else t.where("from_state <> to_state")).groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("from_state")))
 
 
-def path_edges(df: DataFrame, keys: Sequence[str], ts: str, state: str, min_count: int = 1, normalise: bool = False) -> DataFrame:
-    """Numbered steps of each key's path of changes: step, from_state, to_state, n, and with `normalise` the share of the step."""
-    w = Window.partitionBy(*keys).orderBy(ts, state)
-    changed = df.withColumn("_p", F.lag(state).over(w)).where(f"_p is null or _p <> `{state}`")
-    step = changed.withColumn("to_state", F.lead(state).over(w)).withColumn("step", F.row_number().over(w)).where("to_state is not null")
+def path_edges(df: DataFrame, keys: Sequence[str], ts: str, state: str, min_count: int = 1, normalise: bool = False, bucket: float | None = None) -> DataFrame:
+    """Numbered steps of each key's path of changes: step, from_state, to_state, n, and with `normalise` the share of the step. `bucket` as in `asof_join`."""
+    changed = shifted(df.select(*keys, ts, state), keys, ts, {"_p": (state, -1)}, [state], bucket).where(f"_p is null or _p <> `{state}`").drop("_p")
+    step = running_sum(changed, keys, ts, [ts, state], F.lit(1), "step", bucket).withColumn("step", F.col("step").cast("int"))
+    step = shifted(step, keys, ts, {"to_state": (state, 1)}, [state], bucket).where("to_state is not null")
     n = step.groupBy("step", F.col(state).alias("from_state"), "to_state").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("step"))) if normalise else n
 
@@ -277,34 +287,32 @@ def state_shares(df: DataFrame, keys: Sequence[str], ts: str, start: str, state:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("offset")))
 
 
-def interval_lookup(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, take: Sequence[str]) -> DataFrame:
-    """The taken columns of the interval [start, end] (open if end is null) that began last at or before the point."""
-    hit = asof_join(points, intervals, keys, ts, start, [end, *take])
+def interval_lookup(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, take: Sequence[str], bucket: float | None = None) -> DataFrame:
+    """The taken columns of the interval [start, end] (open if end is null) that began last at or before the point. `bucket` as in `asof_join`."""
+    hit = asof_join(points, intervals, keys, ts, start, [end, *take], bucket=bucket)
     inside = F.col(f"r_{start}").isNotNull() & (F.col(f"r_{end}").isNull() | (F.col(ts) <= F.col(f"r_{end}")))
     return hit.select(*points.columns, *[F.when(inside, F.col(f"r_{c}")).alias(c) for c in take])
 
 
-def segment(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, state: str) -> DataFrame:
-    """Both interval sets cut at the boundaries of either: keys, start, end, a_state, b_state."""
+def segment(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, state: str, bucket: float | None = None) -> DataFrame:
+    """Both interval sets cut at the boundaries of either: keys, start, end, a_state, b_state. `bucket` as in `asof_join`."""
     bounds = None
     for d in (a, b):
         for c in (start, end):
             x = d.select(*keys, F.col(c).alias("seg_start")).where("seg_start is not null")
             bounds = x if bounds is None else bounds.union(x)
-    w = Window.partitionBy(*keys).orderBy("seg_start")
-    segs = bounds.distinct().withColumn("seg_end", F.lead("seg_start").over(w)).where("seg_end is not null")
+    segs = shifted(bounds.distinct(), keys, "seg_start", {"seg_end": ("seg_start", 1)}, bucket=bucket).where("seg_end is not null")
     out = segs
     for d, name in ((a, "a_state"), (b, "b_state")):
-        hit = asof_join(out, d, keys, "seg_start", start, [end, state])
+        hit = asof_join(out, d, keys, "seg_start", start, [end, state], bucket=bucket)
         inside = F.col(f"r_{start}").isNotNull() & (F.col(f"r_{end}").isNull() | (F.col("seg_start") < F.col(f"r_{end}")))
         out = hit.select(*out.columns, F.when(inside, F.col(f"r_{state}")).alias(name))
     return out
 
 
-def thin(df: DataFrame, keys: Sequence[str], ts: str, hours: float, tie: Sequence[str] = ()) -> DataFrame:
-    """Rows at least `hours` after the row before; of one instant the first by `tie` may stay."""
-    w = Window.partitionBy(*keys).orderBy(ts, *tie)
-    return df.withColumn("_p", F.lag(ts).over(w)).where(F.col("_p").isNull() | (micros(ts) - micros("_p") >= _us(hours))).drop("_p")
+def thin(df: DataFrame, keys: Sequence[str], ts: str, hours: float, tie: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
+    """Rows at least `hours` after the row before; of one instant the first by `tie` may stay. `bucket` as in `asof_join`."""
+    return shifted(df, keys, ts, {"_p": (ts, -1)}, tie, bucket).where(F.col("_p").isNull() | (micros(ts) - micros("_p") >= _us(hours))).drop("_p")
 
 
 def level_gaps(df: DataFrame, keys: Sequence[str], ts: str, level: str) -> DataFrame:

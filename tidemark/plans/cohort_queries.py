@@ -489,9 +489,10 @@ def classified_names(spark, d):
 
 @query("SELECT o_orderkey, CAST(max(o_orderkey) OVER (PARTITION BY o_custkey, o_orderdate) AS BIGINT) AS top_of_instant, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS so_far, round(max(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS top_of_key FROM orders")
 def running_and_broadcast(spark, d):
-    o, w = read(spark, d, "orders"), Window.partitionBy("o_custkey")
-    so_far = F.sum("o_totalprice").over(w.orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0))
-    return o.select("o_orderkey", F.max("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderdate")).alias("top_of_instant"), F.round(so_far, 2).alias("so_far"), F.round(F.max("o_totalprice").over(w), 2).alias("top_of_key"))
+    o = N.running_sum(read(spark, d, "orders"), ["o_custkey"], "o_orderdate", ["o_orderdate", "o_orderkey"], F.col("o_totalprice"), "so_far")
+    o = R.with_group(o, ["o_custkey", "o_orderdate"], {"top_of_instant": F.max("o_orderkey")})
+    o = R.with_group(o, ["o_custkey"], {"top_of_key": F.max("o_totalprice")})
+    return o.select("o_orderkey", "top_of_instant", *rounded("so_far", "top_of_key", n=2))
 
 
 @query("SELECT event_id, " + ", ".join(f"lag(value, {i}) OVER w AS prev_{i}, lead(value, {i}) OVER w AS next_{i}" for i in range(10)) + " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY value > 150")
@@ -815,7 +816,7 @@ def state_at_event(spark, d):
 WITH f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS st FROM events), o AS (SELECT unnest([0.0, 6.0, 24.0]::DOUBLE[]) AS "offset"), l AS (SELECT f.user_id, o."offset", last(floor(f.value / 20)::BIGINT ORDER BY f.ts, f.value) AS state FROM f JOIN o ON (epoch_us(f.ts) - epoch_us(f.st)) <= o."offset" * 3600000000 GROUP BY 1, 2)
 SELECT "offset", state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY "offset"), 6) AS share FROM l GROUP BY 1, 2""")
 def state_shares_at(spark, d):
-    e = events(spark, d).withColumn("st", F.min("ts").over(Window.partitionBy("user_id"))).withColumn("state", F.floor(F.col("value") / 20))
+    e = R.with_group(events(spark, d), ["user_id"], {"st": F.min("ts")}).withColumn("state", F.floor(F.col("value") / 20))
     return T.state_shares(e, ["user_id"], "ts", "st", "state", [0, 6, 24]).withColumn("share", F.round("share", 6))
 
 
@@ -898,3 +899,38 @@ def runs_of_long_keys(spark, d):
     e, hours = _halves(spark, d)
     runs = T.run_durations(e.withColumn("high", F.col("value") > 60), ["half"], "ts", "high", hours)
     return runs.select("half", "spell", "high", "n", "censored", F.round("hours", 6).alias("hours"))
+
+
+@query("""
+WITH w AS (SELECT event_id, user_id % 2 AS half, ts, value, lag(ts) OVER k AS t, lag(value) OVER k AS v, avg(value) OVER (k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mean_before, avg(value) OVER (k ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS mean_after FROM events
+ WINDOW k AS (PARTITION BY user_id % 2 ORDER BY ts, event_id)), x AS (SELECT *, (epoch_us(ts) - epoch_us(t)) / 60e6 AS m, abs(value - v) AS dv FROM w)
+SELECT event_id, coalesce(m <= 60 AND dv / (m + 1e-6::DOUBLE) > 0.5 AND dv / (m + 1e-6::DOUBLE) < 1e6, false) AS too_fast, coalesce(m <= 60 AND dv > 20, false) AS too_far, round(mean_before, 6) AS mean_before, round(mean_after, 6) AS mean_after FROM x""")
+def steps_of_long_keys(spark, d):
+    e, hours = _halves(spark, d)
+    e = O.velocity_flags(e, ["half"], "ts", "value", 0.5, 20, 60, ["event_id"], hours)
+    return O.context(e, ["half"], "ts", "value", tie=["event_id"], bucket=hours).select("event_id", "too_fast", "too_far", *rounded("mean_before", "mean_after"))
+
+
+@query("""
+WITH x AS (SELECT *, user_id % 2 AS half FROM events), c AS (SELECT *, lag(event_type) OVER (PARTITION BY half ORDER BY ts, event_type) AS p FROM x),
+s AS (SELECT event_type AS from_state, lead(event_type) OVER w AS to_state, row_number() OVER w AS step FROM c WHERE p IS NULL OR p <> event_type WINDOW w AS (PARTITION BY half ORDER BY ts, event_type))
+SELECT step::INTEGER AS step, from_state, to_state, count(*) AS n FROM s WHERE to_state IS NOT NULL GROUP BY ALL""")
+def path_of_long_keys(spark, d):
+    e, hours = _halves(spark, d)
+    return T.path_edges(e, ["half"], "ts", "event_type", bucket=hours)
+
+
+@query("""
+WITH m AS (SELECT user_id % 2 AS half, ts, event_type, lag(event_type) OVER (PARTITION BY user_id % 2 ORDER BY ts, event_type = 'signup') AS p FROM events WHERE event_type IN ('signup', 'error')),
+t AS (SELECT *, lead(ts) OVER (PARTITION BY half ORDER BY ts, event_type = 'signup') AS e FROM m WHERE p IS NULL OR p <> event_type)
+SELECT half, ts AS "start", e AS "end", CASE WHEN e IS NULL THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status FROM t WHERE event_type = 'signup'""")
+def episodes_of_long_keys(spark, d):
+    e, hours = _halves(spark, d)
+    return T.episodes(e, ["half"], "ts", F.col("event_type") == "signup", F.col("event_type") == "error", hours)
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id % 2, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS place, lead(event_id, 5) OVER (PARTITION BY user_id % 2, event_type ORDER BY ts, event_id) AS fifth_on FROM events")
+def places_in_long_keys(spark, d):
+    e, hours = _halves(spark, d)
+    e = N.running_sum(e, ["half", "event_type"], "ts", ["ts", "event_id"], F.lit(1), "place", hours)
+    return T.shifted(e, ["half", "event_type"], "ts", {"fifth_on": ("event_id", 5)}, ["event_id"], hours).select("event_id", "place", "fifth_on")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import category, hours_between, plus_hours
 from tidemark.operators.ranks import quantiles
-from tidemark.operators.tables import first_rows, join_groups, top_n_other
-from tidemark.operators.temporal import asof_join, band_join, lookback, spells
+from tidemark.operators.scan import bucket_of, last_known, running_sum
+from tidemark.operators.tables import first_rows, join_groups, top_n_other, with_group
+from tidemark.operators.temporal import asof_join, band_join, lookback, shifted, spells
 from tidemark.plans.clinical import poa, severities, stacked
 
 
@@ -257,25 +258,31 @@ def spells_around(spell: DataFrame, anchors: DataFrame, key: str, state: str, st
     return near.groupBy(key, anchor).agg(*cols)
 
 
-def courses(df: DataFrame, keys: Sequence[str], ts: str, first: Column, last: Column) -> DataFrame:
-    """Numbered courses of each key: every first marker starts one; its first and earliest last time, and the hours between (rows of one instant by first marker)."""
-    d = df.withColumn("_f", F.coalesce(first, F.lit(False))).withColumn("_l", F.coalesce(last, F.lit(False)))
-    w = Window.partitionBy(*keys).orderBy(F.col(ts), F.col("_f").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("course", F.sum(F.col("_f").cast("int")).over(w))
-    out = d.groupBy(*keys, "course").agg(F.min(F.when(F.col("_f"), F.col(ts))).alias("first_time"), F.min(F.when(F.col("_l"), F.col(ts))).alias("last_time"))
+def courses(df: DataFrame, keys: Sequence[str], ts: str, first: Column, last: Column, bucket: float | None = None) -> DataFrame:
+    """Numbered courses of each key: every first marker starts one; its first and earliest last time, and the hours between (rows of one instant by first marker).
+
+    With `bucket` (hours, see `scan.bucket_hours`) a long key is dealt out by time; so in the functions below.
+    """
+    d = df.select(*keys, ts, (~F.coalesce(first, F.lit(False))).alias("_later"), F.coalesce(last, F.lit(False)).alias("_l"))
+    d = running_sum(d, keys, ts, [ts, "_later"], (~F.col("_later")).cast("int"), "course", bucket)
+    out = d.groupBy(*keys, "course").agg(F.min(F.when(~F.col("_later"), F.col(ts))).alias("first_time"), F.min(F.when(F.col("_l"), F.col(ts))).alias("last_time"))
     return out.withColumn("hours", hours_between("first_time", "last_time")).where("hours is not null")
 
 
-def state_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, state: str, short: float) -> DataFrame:
+def state_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, state: str, short: float, bucket: float | None = None) -> DataFrame:
     """Intervals with their hours, the hours to the next one, and the state with those shorter than `short` taken from the interval before (at the start: after)."""
     hours = hours_between(start, end)
-    w = Window.partitionBy(*keys).orderBy(start, end, state)
-    d = df.withColumn("_next", F.lead(start).over(w)).withColumn("hours", hours).withColumn("gap_hours", hours_between(end, "_next"))
-    kept = F.when(F.col("hours") >= short, F.col(state))
-    d = d.withColumn("_k", kept)
-    back = Window.partitionBy(*keys).orderBy(F.desc(start), F.desc(end), F.desc(state)).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("kept_state", F.coalesce(F.last("_k", True).over(ahead), F.last("_k", True).over(back))).drop("_next", "_k")
+    d = shifted(df, keys, start, {"_next": (start, 1)}, [end, state], bucket).withColumn("hours", hours).withColumn("gap_hours", hours_between(end, "_next"))
+    d = d.withColumn("_k", F.when(F.col("hours") >= short, F.col(state)))
+    # where no interval up to this one is long enough, the next that is is the key's first
+    place = F.when(F.col("_k").isNotNull(), F.struct(start, end, state))
+    d = with_group(d, keys, {"_first": F.min_by("_k", place)})
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(start, end, state).rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("_last", F.last("_k", True).over(w))
+    else:
+        d = last_known(d.withColumn("_b", bucket_of(start, bucket)), keys, "_k", [F.col(c) for c in (start, end, state)], F.max_by("_k", place), "_last").drop("_b")
+    return d.withColumn("kept_state", F.coalesce("_last", "_first")).drop("_next", "_k", "_last", "_first")
 
 
 def overlap_pattern(a_start: str, a_end: str, b_start: str, b_end: str) -> Column:
@@ -285,13 +292,12 @@ def overlap_pattern(a_start: str, a_end: str, b_start: str, b_end: str) -> Colum
     return F.when((a < y) & (b < z), how)
 
 
-def combined_states(segments: DataFrame, keys: Sequence[str], start: str, end: str, a: str, b: str) -> DataFrame:
+def combined_states(segments: DataFrame, keys: Sequence[str], start: str, end: str, a: str, b: str, bucket: float | None = None) -> DataFrame:
     """Episodes of equal combined state of adjacent segments: keys, episode, state, start, end, hours (summed over the segments)."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     s = segments.withColumn("state", F.concat(F.lit(f"{a}="), text(a), F.lit(f"|{b}="), text(b)))
-    w = Window.partitionBy(*keys).orderBy(start)
-    change = (~F.col("state").eqNullSafe(F.lag("state").over(w))).cast("int")
-    s = s.withColumn("_c", change).withColumn("episode", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = shifted(s, keys, start, {"_p": ("state", -1)}, bucket=bucket).withColumn("_c", (~F.col("state").eqNullSafe(F.col("_p"))).cast("int"))
+    s = running_sum(s, keys, start, [start], F.col("_c"), "episode", bucket)
     return s.groupBy(*keys, "episode").agg(F.first("state").alias("state"), F.min(start).alias("start"), F.max(end).alias("end"), F.sum(hours_between(start, end)).alias("hours"))
 
 
@@ -301,10 +307,9 @@ def state_time(episodes: DataFrame) -> DataFrame:
     return join_groups(n, quantiles(episodes, ["state"], "hours", {"median_hours": 0.5}), ["state"])
 
 
-def state_transitions(episodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def state_transitions(episodes: DataFrame, keys: Sequence[str], bucket: float | None = None) -> DataFrame:
     """state, next_state, n, total and mean hours in the source before the change."""
-    w = Window.partitionBy(*keys).orderBy("episode")
-    t = episodes.withColumn("next_state", F.lead("state").over(w)).where("next_state is not null and next_state <> state")
+    t = shifted(episodes, keys, "start", {"next_state": ("state", 1)}, ["episode"], bucket).where("next_state is not null and next_state <> state")
     return t.groupBy("state", "next_state").agg(F.count("*").alias("n"), F.sum("hours").alias("total_hours"), F.avg("hours").alias("mean_hours"))
 
 

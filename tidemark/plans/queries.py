@@ -133,11 +133,8 @@ def rolling_windows(spark, d):
 SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3600000000.0, 6) AS gap_hours, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def lag_lead(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _events(spark, d).withColumn("_p", F.lag("ts").over(w))
-    return e.select("event_id", F.round(S.hours_between("_p", "ts"), 6).alias("gap_hours"), F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"))
+    e = T.shifted(_events(spark, d), ["user_id"], "ts", {"_p": ("ts", -1), "before": ("event_type", -1), "after": ("event_type", 1)}, ["event_id"])
+    return e.select("event_id", F.round(S.hours_between("_p", "ts"), 6).alias("gap_hours"), "before", "after")
 
 
 @_query("SELECT event_id, CASE WHEN event_type = 'click' AND (value < 5 OR value > 60) THEN NULL WHEN event_type = 'view' AND (value < 0 OR value > 80) THEN NULL ELSE value END AS value FROM events")
@@ -243,9 +240,7 @@ o AS (SELECT unnest([0.0, 1.0, 6.0, 24.0, 72.0]::DOUBLE[]) AS "offset"),
 l AS (SELECT f.user_id, o."offset", last(f.value ORDER BY f.ts, f.value) AS v FROM f JOIN o ON (epoch_us(f.ts) - epoch_us(f.st)) <= o."offset" * 3600000000 GROUP BY 1, 2)
 SELECT "offset", count(v) AS n, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75 FROM l GROUP BY 1""")
 def trajectories(spark, d):
-    from pyspark.sql import Window
-
-    e = _events(spark, d).withColumn("st", F.min("ts").over(Window.partitionBy("user_id")))
+    e = R.with_group(_events(spark, d), ["user_id"], {"st": F.min("ts")})
     return T.trajectory(e, ["user_id"], "ts", "st", "value", [0, 1, 6, 24, 72]).select("offset", "n", *_r("median", "p25", "p75"))
 
 
