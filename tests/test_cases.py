@@ -165,6 +165,25 @@ def test_rolling_over_buckets(spark):
             assert out[i] == (float(np.flatnonzero(inside).sum()) if inside.any() else None)
 
 
+def test_latest_values_of_a_dense_key(spark):
+    """A look-back for the latest value costs the same however many readings its window holds: here up to 200,000."""
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.timestamp_micros(F.col("id") * 100_000).cast("timestamp_ntz").alias("t"), F.when(F.col("id") % 1000 == 0, "a").when(F.col("id") < 10, "b").otherwise("c").alias("g"), F.col("id").cast("double").alias("v"))
+    out = T.lookback(df, df, "k", "t", "g", "v", {"a": ("a", "last", 24), "a_min": ("a", "last", 1 / 60), "b": ("b", "last", 1), "c": ("c", "last", 24)})
+    got = out.withColumn("i", F.round((S.micros("t") / 100_000)).cast("long"))
+    a = F.col("i") - F.col("i") % 1000
+    c = F.when(F.col("i") % 1000 == 0, F.col("i") - 1).otherwise(F.col("i"))
+    want = [F.col("a") == a, F.col("a_min").eqNullSafe(F.when(F.col("i") % 1000 <= 600, a)), F.col("b").eqNullSafe(F.when(F.col("i") == 0, None).when(F.col("i") < 10, F.col("i")).when(F.col("i") <= 36_009, 9)), F.col("c").eqNullSafe(F.when(F.col("i") >= 10, c))]
+    assert got.count() == 200_000 and [got.where(~w).count() for w in want] == [0, 0, 0, 0]
+
+
+def test_neighbours_are_many_tasks(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"), "id")
+    out = T.shifted(df, ["k"], "t", {"p": ("id", -1), "n": ("id", 3)}, bucket=N.bucket_hours(df, ["k"], "t", 10_000))
+    per = out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if(F.col("p") != F.col("id") - 1).alias("x"), F.count_if(F.col("n") != F.col("id") + 3).alias("y"), F.count_if(F.col("p").isNull()).alias("z"), F.count_if(F.col("n").isNull()).alias("e")).collect()
+    assert len(per) >= 4 and max(x.n for x in per) < 500_000 and sum(x.n for x in per) == 1_000_000
+    assert [sum(x[c] for x in per) for c in ("x", "y", "z", "e")] == [0, 0, 1, 3]
+
+
 def test_a_long_key_is_many_tasks(spark):
     df = spark.range(1_000_000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"), F.when(F.col("id") % 1000 == 0, F.col("id")).alias("v"), (F.col("id") % 5000 < 2500).alias("s"))
     hours = N.bucket_hours(df, ["k"], "t", 10_000)

@@ -96,13 +96,18 @@ def lookback(timeline: DataFrame, events: DataFrame, key: str, ts: str, group: s
     e = e.withColumn("_b", F.explode(F.sequence(of(F.col("_us")), of(F.col("_us") + far))))
     both = t.unionByName(e, allowMissingColumns=True)
     w = Window.partitionBy(key, "_b").orderBy("_us")
+    # the latest event so far grows with the rows, whatever the hours: its age is tested after
+    sofar = w.rangeBetween(Window.unboundedPreceding, 0)
+    latest = {g: f"_last{i}" for i, g in enumerate(sorted({g for g, how, _ in features.values() if how == "last"}))}
+    both = both.withColumns({c: F.max(F.when(F.col(group) == g, F.struct("_us", value))).over(sofar) for g, c in latest.items()})
     cols = {}
     for name, (g, how, hours) in features.items():
         over = w.rangeBetween(-_us(hours), 0)
         hit = F.when(F.col(group) == g, F.col(value))
-        if how in ("first", "last"):
-            pick = F.min if how == "first" else F.max
-            cols[name] = pick(F.when(F.col(group) == g, F.struct("_us", value))).over(over)[value]
+        if how == "last":
+            cols[name] = F.when(F.col(latest[g])["_us"] >= F.col("_us") - _us(hours), F.col(latest[g])[value])
+        elif how == "first":
+            cols[name] = F.min(F.when(F.col(group) == g, F.struct("_us", value))).over(over)[value]
         else:
             cols[name] = {"max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum, "count": F.count}[how](hit).over(over)
     return both.withColumns(cols).where("_base").select(key, ts, *features)
