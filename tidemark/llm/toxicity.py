@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon words, word stems and patterns; one that doesn't fire abstains. Labels choose the
-stems and give the voters' first accuracies, as pseudo-counts; no row's own label is evidence for it,
-and rows without a label take part alike. A generative label model (EM) estimates how often each voter
+stems and give the voters' first accuracies, as pseudo-counts. A row's own label reaches its posterior
+only as one count among those of all labelled rows: rows of equal votes have equal posteriors, whatever
+their labels, and rows without a label take part alike. A generative label model (EM) estimates how often each voter
 fires on either class and how voters depend on each other: a spanning tree joins those that share most
 given the class, and a vote counts by how likely it is on either class, given what the voter above it
 in the tree did; a row without any vote has the evidence of its silence. The posteriors of all fitted rows train a logistic classifier on words, stems and
