@@ -167,6 +167,7 @@ def binary_factors(df: DataFrame, flags: Sequence[str], group: str, positive: st
     return cells.withColumns({"test": F.when(small, "Fisher's exact").otherwise("Chi-square"), "p": p("a", "b", "c", "d"), "odds_ratio": odds})
 
 
+# Fixed values of both functions: the limits of the words for an effect's size.
 def effect_of_v(v: Column) -> Column:
     return F.when(v < 0.1, "Negligible").when(v < 0.3, "Small").when(v < 0.5, "Medium").otherwise("Large")
 
