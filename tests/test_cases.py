@@ -354,6 +354,24 @@ def test_pf_ratio(spark):
     assert got == [(1, 200.0, None), (2, 198.0, 1), (3, 202.0, 0), (4, float("inf"), 0)]
 
 
+def test_pf_ratio_of_zeros(spark, tmp_path):
+    """Zeros, signs and nulls divide as they do in the query's SQL."""
+    import duckdb
+
+    from tidemark.plans import queries as Q
+
+    pairs = [(0.0, 0.0), (-1.0, 0.0), (1.0, -0.0), (5.0, 0.0), (0.0, 20.0), (None, 0.0), (7.0, None), (1.0, 5e-324), (1.0, 50.0)]
+    data = [(k, at(h), kind, v) for k, (p, q) in enumerate(pairs) for h, kind, v in ((0, "view", p), (1, "error", q))]
+    spark.createDataFrame(data, "user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = rows(Q.pulmonary_flags(spark, f"file://{tmp_path}").where("grp = 'PAO2'"), "user_id", "pf_ratio", "pulmonary_dysfunction_flag")
+    inf, nan = float("inf"), float("nan")
+    assert repr(got) == repr([(0, nan, 0), (1, -inf, 1), (2, -inf, 1), (3, inf, 0), (4, 0.0, 1), (5, None, None), (6, None, None), (7, inf, 0), (8, 2.0, 1)])
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        want = c.sql(f"SELECT user_id, pf_ratio, pulmonary_dysfunction_flag FROM ({Q.SQL['pulmonary_flags']}) WHERE grp = 'PAO2' ORDER BY 1").fetchall()
+    assert repr(got) == repr(want)
+
+
 def test_long_infections(spark):
     e = spark.createDataFrame([(1, at(0), "IV Antibiotics - First", "Antibiotics", None), (1, at(20), "P", "Blood Culture Order", None), (1, at(24), "L", "Lactate", None), (1, at(30), "O", "Code Sepsis Page", None), (1, at(31), "F", "Suspected Infection", "Yes"), (1, at(32), "F", "Suspected Infection", "yes"), (2, at(0), "P", "Blood Culture Order", None)], "EncounterEpicCsn int, Event_DateTime timestamp_ntz, Type string, Event_Grouper string, Value string")
     long = C.infections(e, C.Scenario())

@@ -236,11 +236,16 @@ class Ventilation:
 
 
 def pf_pairs(events: DataFrame, c: Columns, v: Ventilation) -> DataFrame:
-    """Each PaO2 with every FiO2 less than `pf_hours` away: key, times, name, pf_ratio (infinite for a FiO2 of 0), PF_Ratio_Flag (1 or null)."""
+    """Each PaO2 with every FiO2 less than `pf_hours` away: key, times, name, pf_ratio, PF_Ratio_Flag (1 or null).
+
+    A FiO2 of 0 divides as floating point does: an infinite ratio with the sign of the PaO2, and NaN, which
+    counts as more than any limit, for a PaO2 of 0.
+    """
     p = events.where(F.col(c.group) == v.pao2).select(c.key, F.col(c.ts).alias("p_t"), F.col(c.name).alias("p_name"), F.col(c.number).alias("pao2"))
     q = events.where(F.col(c.group) == v.fio2).select(c.key, F.col(c.ts).alias("f_t"), F.col(c.number).alias("fio2"))
     near = band_join(p, q, [c.key], "p_t", "f_t", v.pf_hours, v.pf_hours).where(F.abs(hours_between("p_t", "f_t")) < v.pf_hours)
-    ratio = F.when((F.col("fio2") == 0) & (F.col("pao2") > 0), float("inf")).otherwise(F.try_divide(F.col("pao2"), F.col("fio2") / 100))
+    share = F.col("fio2") / 100
+    ratio = F.when(share == 0, F.col("pao2") * F.pow(share, F.lit(-1.0))).otherwise(F.try_divide(F.col("pao2"), share))
     return near.withColumn("pf_ratio", ratio).withColumn("PF_Ratio_Flag", F.when(F.col("pf_ratio") < v.pf_limit, 1))
 
 
