@@ -354,6 +354,19 @@ def test_pf_ratio(spark):
     assert got == [(1, 200.0, None), (2, 198.0, 1), (3, 202.0, 0), (4, float("inf"), 0)]
 
 
+def test_highest_poa(spark, monkeypatch):
+    first = spark.createDataFrame([(1, at(1), None), (1, at(0), at(9)), (2, at(2), None), (3, None, None), (4, at(1), None), (5, None, at(3)), (None, at(0), at(0)), (7, at(0), None)], "k int, s1 timestamp_ntz, s2 timestamp_ntz")
+    enc = spark.createDataFrame([(1, at(0)), (2, at(0)), (3, at(0)), (4, None), (5, at(-9)), (5, at(1)), (None, at(0)), (6, at(0))], "k int, a timestamp_ntz")
+    want = [(1, "NPOA-2"), (2, "POA-1"), (4, "NPOA-1"), (5, "POA-2")]
+    assert rows(H.highest_poa(first, enc, "k", {1: "s1", 2: "s2"}, "a", 2, "l"), "k", "l") == want
+    # dealt by the number of rows
+    monkeypatch.setattr(H, "spread", lambda frames, keys: R.spread(frames, keys, rows=1))
+    many = first.crossJoin(spark.range(3).select()).cache()
+    got = H.highest_poa(many, enc, "k", {1: "s1", 2: "s2"}, "a", 2, "l")
+    assert rows(got, "k", "l") == want and [d.rdd.getNumPartitions() for d in R.spread([many, enc], ["k"], 2)] == [12, 12]
+    assert [d.rdd.getNumPartitions() for d in R.spread([enc], ["k"], 8)] == [enc.rdd.getNumPartitions()]
+
+
 def test_pf_ratio_of_zeros(spark, tmp_path):
     """Zeros, signs and nulls divide as they do in the query's SQL."""
     import duckdb

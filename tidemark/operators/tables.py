@@ -25,6 +25,17 @@ def counted(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(frames: Sequence[DataFrame], keys: Sequence[str], rows: int = 1_000_000) -> list[DataFrame]:
+    """The tables dealt alike by their keys into as many parts as the largest has `rows` rows, so that a task's part stays as large however they grow.
+
+    Spark joins its own parts up to a number of compressed bytes, from which rows of few distinct values
+    unfold many times over. Tables of at most `rows` rows are left to it.
+    """
+    n = -(-max(df.count() for df in frames) // rows)
+    parts = max(n, int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return [df.repartition(parts, *keys) for df in frames] if n > 1 else list(frames)
+
+
 def join_all(base: DataFrame, others: Sequence[DataFrame], on: Sequence[str], how: str = "left") -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(on), how), others, base)
 

@@ -69,9 +69,9 @@ WITH {_E}, {_F}, a AS (SELECT k, unnest([1, 2, 3]) AS n, unnest([s1, s2, s3]) AS
 l AS (SELECT k, n, CASE WHEN s <= arrival + INTERVAL 26280 HOUR THEN 'POA' ELSE 'NPOA' END || '-' || n AS l FROM a WHERE s IS NOT NULL)
 SELECT k, arg_max(l, (n, l)) AS "POA_arrival" FROM l GROUP BY 1""")
 def highest_poa(spark, d):
-    labels, e = _labels(spark, d), _enc(spark, d)
-    levels = [H.poa_by_level(labels[f"sepsis{i}"], e, "k", i, f"earliest_sepsis{i}_instance", {"arrival": 26280}).select("k", "POA_arrival") for i in (1, 2, 3)]
-    return H.highest_poa(levels, "k", "POA_arrival")
+    l = read(spark, d, "lineitem")
+    at = l.select(F.col("l_orderkey").alias("k"), *[F.when(F.col("l_returnflag") == f, F.col("l_shipdate")).alias(s) for s, f in (("s1", "A"), ("s2", "N"), ("s3", "R"))])
+    return H.highest_poa(at, _enc(spark, d), "k", {1: "s1", 2: "s2", 3: "s3"}, "arrival", 26280, "POA_arrival")
 
 
 @query(f"""

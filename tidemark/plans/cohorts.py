@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import category, hours_between, plus_hours
 from tidemark.operators.ranks import quantiles
 from tidemark.operators.scan import bucket_of, last_known, running_sum
-from tidemark.operators.tables import first_rows, join_groups, top_n_other, with_group
+from tidemark.operators.tables import first_rows, join_groups, spread, top_n_other, with_group
 from tidemark.operators.temporal import asof_join, band_join, lookback, shifted, spells
 from tidemark.plans.clinical import poa, severities, stacked
 
@@ -40,11 +40,18 @@ def poa_by_level(firsts: DataFrame, encounters: DataFrame, key: str, level: int,
     return out.withColumns({f"POA_{ref}": poa(first, ref, hours, F.lit(level)) for ref, hours in constraints.items()})
 
 
-def highest_poa(levels: Sequence[DataFrame], key: str, col: str) -> DataFrame:
-    """Per key the prefix and severity of its most severe label among the levels' tables (of equal ones the last by text)."""
-    all_rows = _union([d.select(key, F.col(col).alias("_l")) for d in levels])
-    n = F.split_part("_l", F.lit("-"), F.lit(-1)).try_cast("int")
-    return all_rows.groupBy(key).agg(F.max_by("_l", F.struct(n.alias("n"), F.col("_l").alias("l"))).alias(col))
+def highest_poa(firsts: DataFrame, encounters: DataFrame, key: str, levels: Mapping[int, str], reference: str, hours: float, col: str) -> DataFrame:
+    """Per key the POA label of its most severe level that has an instant, in `col`.
+
+    `firsts` has instants in a column per level (null: none), several rows a key or one. All levels are one
+    aggregate and one join, without strings; of several encounters of a key the latest reference decides,
+    as it makes POA if any does. Large tables are dealt so that a task's keys stay as many.
+    """
+    firsts, encounters = spread([firsts.select(key, *levels.values()), encounters.select(key, reference)], [key])
+    at = firsts.groupBy(key).agg(*[F.min(c).alias(c) for c in levels.values()]).where(F.coalesce(*levels.values()).isNotNull())
+    out = encounters.groupBy(key).agg(F.max(reference).alias(reference)).join(at, key)
+    ways = [F.when(F.col(levels[n]).isNotNull(), poa(levels[n], reference, hours, F.lit(n))) for n in sorted(levels, reverse=True)]
+    return out.select(key, F.coalesce(*ways).alias(col))
 
 
 def first_level(encounters: DataFrame, key: str, levels: Sequence[str], reference: str, hours: float) -> DataFrame:
