@@ -264,6 +264,24 @@ def _prose(rng, n):
     return " ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
 
+def test_pii_reads_every_place():
+    """What it adds is what it adds if it reads the whole texts; the paths of many texts are those of each alone."""
+    r, rng = np.random.default_rng(3), random.Random(3)
+    net = pii.Net()
+    net.p["t"] = r.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    codes = r.integers(0, 98, (5, 70))
+    assert np.abs(net.scores(codes) - (net._run(codes)[0] @ net.p["o"])).max() < 0.02
+    many = [3 * r.standard_normal((n, pii.TAGS)).astype(np.float32) for n in (1, 40, 7, 40, 300, 2)]
+    assert [p.tolist() for p in net.paths(many)] == [net.best(s) for s in many]
+    # a network that takes every letter, sign and digit for part of an address: a word at and a point far from it
+    net = pii.Net()
+    net.p = {k: 0 * v for k, v in net.p.items()}
+    net.p["c"][:3] = 0, 1, 2
+    texts = [f"{_prose(rng, n)} jo at {'hostname' * k}.org {_prose(rng, n)}" for n, k in ((2, 1), (20, 1), (40, 9), (40, 90))] + [_prose(rng, 50), "", "at", "é😀 at x.org"]
+    whole = [pii.added(t, [], 0, pii.tagged(net, [(t, 0, len(t))])[0]) if t else [] for t in texts]
+    assert pii.read(net, texts, [[] for _ in texts]) == whole and [len(x) for x in whole] == [1, 1, 1, 1, 0, 0, 0, 1]
+
+
 def test_pii_finds_what_patterns_miss(spark):
     rng = random.Random(21)
     names = ["anna.k", "rob_lee", "mia77", "t.stone", "nils-b", "eva"]

@@ -7,10 +7,11 @@ with other separators, `name at host dot org`), with a span spoilt (a failing ch
 255, too few digits, a date), and windows of plain numbers. Of each kind `KEPT` windows at most (the
 lowest by hash) are fitted, and `PLAIN` without a span.
 
-It reads overlapping windows over every stretch around a digit, an `@`, or a bracketed `at` or a `dot`,
-one of which all its kinds contain; each character takes its tag scores from the window in whose middle
-it lies, and a stretch is decoded as a whole. Spans that it adds keep clear of the base ones, hold what
-their kind needs (`_fits`), and end at word edges; an address starts with the word before its at sign.
+A span that it may add holds a digit or an at sign (`_fits`), so it reads the surroundings of every digit,
+`@` and word `at`, and goes on to either side for as long as its tags reach the end of what it has read:
+no other place can be part of a span. Windows over a stretch overlap, each character takes its tag scores
+from the window in whose middle it lies, and a stretch is decoded as a whole. Spans that it adds keep clear
+of the base ones and end at word edges; an address starts with the word before its at sign.
 
 Nulls and odd inputs: a null text is empty; without any base span in the sample the patterns alone
 decide; repeated rows get equal results; empty tables give empty results.
@@ -39,8 +40,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
-#: Where the network looks: at digits, and further around the signs of a written-out address.
-_LOOK = re.compile(r"[0-9]|(@|[(\[] ?at ?[)\]]|(?<![A-Za-z])dot(?![A-Za-z]))")
+#: What every added span holds one of, and how far it is read to either side at first: digits, and further for at signs.
+_SIGN = re.compile(r"[0-9]|(@|(?<![A-Za-z])at(?![A-Za-z]))")
+#: Where windows without a span are cut for the training.
+_LOOK = re.compile(r"[0-9]|@|(?<![A-Za-z])(?:at|dot)(?![A-Za-z])")
 
 DOCS, WINDOW, STRIDE, AROUND, FURTHER = 20_000, 64, 32, 16, 40
 HIDDEN, EMBED, EPOCHS, BATCH, RATE, KEPT, PLAIN = 24, 12, 6, 64, 0.012, 1_500, 2_400
@@ -87,34 +90,54 @@ def base(text: str) -> list[tuple[str, int, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Joined surroundings of all digits and signs of an address."""
+    """Joined surroundings of all signs of a span."""
     out: list[list[int]] = []
-    for m in _LOOK.finditer(text):
+    for m in _SIGN.finditer(text):
         by = FURTHER if m[1] else AROUND
         lo, hi = max(0, m.start() - by), min(len(text), m.end() + by)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-            k = len(out) - 1
-            out[k][0] = min(out[k][0], lo)
-            while k and out[k][0] <= out[k - 1][1]:  # a wide surrounding may reach back
-                out[k - 1][1] = max(out[k - 1][1], out[k][1])
-                out[k - 1][0] = min(out[k - 1][0], out[k][0])
-                out.pop()
-                k -= 1
-        else:
-            out.append([lo, hi])
+        while out and lo <= out[-1][1]:  # a wide surrounding may reach back
+            a, b = out.pop()
+            lo, hi = min(a, lo), max(b, hi)
+        out.append([lo, hi])
     return [(a, b) for a, b in out]
 
 
-def _codes(s: str) -> np.ndarray:
+def _code(c: str) -> int:
     """Printable ASCII by itself, white space, other letters and the rest in one class each."""
-    return np.array([ord(c) - 31 if "!" <= c <= "~" else 0 if c.isspace() else 96 if c.isalpha() else 97 for c in s], np.int64)
+    return ord(c) - 31 if "!" <= c <= "~" else 0 if c.isspace() else 96 if c.isalpha() else 97
+
+
+_TABLE = np.array([_code(chr(i)) for i in range(0x10000)], np.int64)
+
+
+def _codes(s: str) -> np.ndarray:
+    points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _TABLE[np.minimum(points, 0xFFFF)]
+    for i in np.nonzero(points > 0xFFFF)[0]:
+        out[i] = _code(chr(points[i]))
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _tanh(x: np.ndarray, z: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """tanh of x in its place within 0.0013, as a ratio of polynomials, which costs a third; z, p and q are room of its size."""
+    np.minimum(x, np.float32(3.6), out=x)
+    np.maximum(x, np.float32(-3.6), out=x)
+    np.multiply(x, x, out=z)
+    np.multiply(z, np.float32(15), out=q)
+    q += np.float32(420)
+    q *= z
+    q += np.float32(945)
+    np.add(z, np.float32(105), out=p)
+    p *= z
+    p += np.float32(945)
+    x *= p
+    x /= q
+
+
 class Net:
     """Embedding, two LSTMs (one from each end, run side by side), tag scores and CRF transitions."""
 
@@ -161,7 +184,37 @@ class Net:
         np.add.at(grad["e"], codes, (dx[:, 0] + dx[::-1, 1]).transpose(1, 0, 2))
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        return self._run(codes)[0] @ self.p["o"] + self.p["c"]
+        """Tag scores (n, steps, TAGS), near those of `_run` (`_tanh`), without what only the training needs; rows lie last in all arrays."""
+        n, steps = codes.shape
+        # one product a step: rows of h, of the embedding, and of ones; sigmoids are tanh of the half
+        w = np.concatenate([self.p["h"], self.p["x"], self.p["b"][:, None]], 1).transpose(0, 2, 1).copy()
+        w[:, : 3 * HIDDEN] *= np.float32(0.5)
+        o = self.p["o"].reshape(2, HIDDEN, TAGS).transpose(0, 2, 1).copy()
+        x = np.take(self.p["e"].T, codes.T, 1)  # embedding, step, row
+        both, c = np.zeros((2, HIDDEN + EMBED + 1, n), np.float32), np.zeros((2, HIDDEN, n), np.float32)
+        both[:, -1] = 1
+        a, tmp, s = np.empty((2, 4 * HIDDEN, n), np.float32), np.empty_like(c), np.empty((2, TAGS, n), np.float32)
+        room, less = [np.empty_like(a) for _ in range(3)], [np.empty_like(c) for _ in range(3)]
+        out = np.empty((steps, TAGS, n), np.float32)
+        out[:] = self.p["c"][:, None]
+        h, gates = both[:, :HIDDEN], a[:, : 3 * HIDDEN]
+        i, f, g, u = (a[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        for t in range(steps):
+            both[0, HIDDEN:-1], both[1, HIDDEN:-1] = x[:, t], x[:, steps - 1 - t]
+            np.matmul(w, both, out=a)
+            _tanh(a, *room)
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            np.multiply(f, c, out=c)
+            np.multiply(i, u, out=tmp)
+            np.add(c, tmp, out=c)
+            tmp[:] = c
+            _tanh(tmp, *less)
+            np.multiply(g, tmp, out=h)
+            np.matmul(o, h, out=s)
+            out[t] += s[0]
+            out[steps - 1 - t] += s[1]
+        return out.transpose(2, 0, 1)
 
     def loss_grad(self, codes: np.ndarray, tags: np.ndarray, mask: np.ndarray) -> tuple[float, dict]:
         """Negative log likelihood per row, and the gradient of its sum."""
@@ -232,6 +285,38 @@ class Net:
             out.append(int(b[out[-1]]))
         return out[::-1]
 
+    def paths(self, many: list[np.ndarray]) -> list[np.ndarray]:
+        """`best` of several stretches side by side, each as a whole; fastest if they are about as long."""
+        order = sorted(range(len(many)), key=lambda i: -len(many[i]))
+        lens = np.array([len(many[i]) for i in order])
+        n, last = len(many), int(lens[0])
+        a, out = np.zeros((last, TAGS, n), np.float32), np.zeros((last, n), np.int8)
+        for j, i in enumerate(order):
+            a[: lens[j], :, j] = many[i]
+        step = self.p["t"].copy()
+        for k in range(2, TAGS, 2):
+            step[[x for x in range(TAGS) if x not in (k - 1, k)], k] = -1e9
+        free = [0, *range(1, TAGS, 2)]
+        start, on, go = step[:, free, None], step[range(1, TAGS, 2), range(2, TAGS, 2), None], step[range(2, TAGS, 2), range(2, TAGS, 2), None]
+        a[0, 2::2] = -1e9
+        live = [int(x) for x in np.searchsorted(-lens, -np.arange(last + 1))]  # stretches longer than t
+        for t in range(1, last):
+            before, now = a[t - 1, :, : live[t]], a[t, :, : live[t]]
+            now[free] += (before[:, None] + start).max(0)
+            now[2::2] += np.maximum(before[1::2] + on, before[2::2] + go)
+            now -= now[0].copy()  # sums stay small
+        tag, step = np.zeros(n, np.int64), step.T.copy()
+        for t in reversed(range(last)):
+            if live[t] > live[t + 1]:
+                tag[live[t + 1] : live[t]] = a[t, :, live[t + 1] : live[t]].argmax(0)
+            out[t, : live[t]] = tag[: live[t]]
+            if t:
+                tag[: live[t]] = (a[t - 1, :, : live[t]].T + step[tag[: live[t]]]).argmax(1)
+        found: list[np.ndarray] = [out[:0, 0]] * n
+        for j, i in enumerate(order):
+            found[i] = out[: lens[j], j]
+        return found
+
 
 def _tags(n: int, spans: list[tuple[str, int, int]], lo: int) -> np.ndarray:
     t = np.zeros(n, np.int64)
@@ -301,7 +386,7 @@ def spoilt(kind: str, s: str, r: random.Random, words: list[str]) -> str:
 
 
 def examples(text: str) -> list[tuple[int, str, np.ndarray]]:
-    """(kind or -1, window, tags) of the base spans of a text, rewritten and spoilt ones, and plain numbers."""
+    """(kind or -1, window, tags) of the base spans of a text, rewritten and spoilt ones, and plain numbers and signs."""
     spans, out = base(text), []
     taken = np.zeros(len(text) + 1, bool)
     for kind, a, b in spans:
@@ -371,13 +456,13 @@ def _starts(n: int, lo: int, hi: int) -> list[int]:
     return sorted({max(0, min(x, n - WINDOW)) for x in at})
 
 
-def tagged(net: Net, parts: list[tuple[str, int, int]]) -> list[list[int]]:
+def tagged(net: Net, parts: list[tuple[str, int, int]]) -> list[np.ndarray]:
     """Tags of each stretch (text, lo, hi): overlapping windows are scored together, then reconciled and decoded."""
     cut = [(i, at) for i, (text, lo, hi) in enumerate(parts) for at in _starts(len(text), lo, hi)]
     scored = []
-    for k in range(0, len(cut), 512):
-        codes = np.zeros((min(512, len(cut) - k), WINDOW), np.int64)
-        for j, (i, at) in enumerate(cut[k : k + 512]):
+    for k in range(0, len(cut), 1024):
+        codes = np.zeros((min(1024, len(cut) - k), WINDOW), np.int64)
+        for j, (i, at) in enumerate(cut[k : k + 1024]):
             c = _codes(parts[i][0][at : at + WINDOW])
             codes[j, : len(c)] = c
         scored.append(net.scores(codes))
@@ -391,7 +476,7 @@ def tagged(net: Net, parts: list[tuple[str, int, int]]) -> list[list[int]]:
         better = mid[a - at : b - at] > edge[i][a - lo : b - lo]
         whole[i][a - lo : b - lo][better] = s[a - at : b - at][better]
         edge[i][a - lo : b - lo][better] = mid[a - at : b - at][better]
-    return [net.best(w) for w in whole]
+    return net.paths(whole) if whole else []
 
 
 _AT = re.compile(r"@|(?<![A-Za-z])at(?![A-Za-z])")
@@ -429,14 +514,13 @@ def _address_edges(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def added(text: str, found: list[tuple[str, int, int]], lo: int, tags: list[int]) -> list[tuple[str, int, int]]:
+def added(text: str, found: list[tuple[str, int, int]], lo: int, tags: np.ndarray | list[int]) -> list[tuple[str, int, int]]:
     """Spans of one stretch that the tags add to the base ones."""
-    out, k, n = [], 0, len(tags)
-    while k < n:
-        if not tags[k]:
-            k += 1
+    out, j, n = [], 0, len(tags)
+    for k in np.flatnonzero(tags).tolist():
+        if k < j:
             continue
-        kind, j = (tags[k] - 1) // 2, k + 1
+        kind, j = (int(tags[k]) - 1) // 2, k + 1
         while j < n and tags[j] == 2 + 2 * kind:
             j += 1
         a, b = lo + k, lo + j
@@ -448,7 +532,6 @@ def added(text: str, found: list[tuple[str, int, int]], lo: int, tags: list[int]
         whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
         if whole and _fits(name, text[a:b]) and not any(a < y and x < b for _, x, y in found):
             out.append((name, a, b))
-        k = j
     return out
 
 
@@ -456,6 +539,35 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))))
 
 
+def _shared(where: list[tuple[int, int, int]], chars: int = 1_000_000) -> Iterator[list[tuple[int, int, int]]]:
+    """The stretches by length, in turns of about `chars` characters, whose scores are held at once."""
+    some: list[tuple[int, int, int]] = []
+    for w in sorted(where, key=lambda w: w[2] - w[1]):
+        if some and (len(some) + 1) * (w[2] - w[1]) > chars:
+            yield some
+            some = []
+        some.append(w)
+    if some:
+        yield some
+
+
+def read(net: Net, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text that the network adds: stretches whose tags reach an end of theirs are read again, twice as far, until none does."""
+    out: list[set] = [set() for _ in texts]
+    todo = [(i, lo, hi) for i, t in enumerate(texts) for lo, hi in stretches(t)]
+    while todo:
+        again = set()
+        for some in _shared(todo):
+            for (i, lo, hi), tags in zip(some, tagged(net, [(texts[i], lo, hi) for i, lo, hi in some]), strict=True):
+                n, by = len(texts[i]), max(FURTHER, hi - lo)
+                if (tags[0] and lo) or (tags[-1] and hi < n):
+                    again.add((i, max(0, lo - by) if tags[0] else lo, min(n, hi + by) if tags[-1] else hi))
+                else:
+                    out[i].update(added(texts[i], bases[i], lo, tags))
+        todo = sorted(again)
+    return [sorted(x) for x in out]
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base spans by kind, base_sha256, all spans of every whole text."""
     weights = fit(docs)
@@ -470,11 +582,8 @@ def find(docs: DataFrame) -> DataFrame:
             bases = [base(t) for t in texts]
             spans = [list(s) for s in bases]
             if weights:
-                where = [(i, lo, hi) for i, t in enumerate(texts) for lo, hi in stretches(t)]
-                for k in range(0, len(where), 2048):
-                    some = where[k : k + 2048]
-                    for (i, lo, _), tags in zip(some, tagged(net, [(texts[i], lo, hi) for i, lo, hi in some]), strict=True):
-                        spans[i] += added(texts[i], bases[i], lo, tags)
+                for x, more in zip(spans, read(net, texts, bases), strict=True):
+                    x += more
             counts = [pa.array([sum(s[0] == k for s in x) for x in bases], pa.int64()) for k in KINDS]
             sha = [hashlib.sha256(_joined(s).encode()).hexdigest() for s in bases]
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), *counts, pa.array(sha, pa.string()), pa.array([_joined(s) for s in spans], pa.string())], names=names)
