@@ -547,6 +547,29 @@ def test_scenarios(spark, tmp_path):
     assert set(stages) == {"events", "bounded", "infect_long", "agg", "sirs", "organdysfunction", "septicshock", "o2vent", "sepsis1", "sepsis2", "sepsis3"} and all(t.columns for t in stages.values())
 
 
+def test_a_run_after_another(spark, tmp_path):
+    """The second of two compared runs takes what the label hours don't change from the first, if nothing else differs."""
+    from tidemark.plans import cohort_queries as Q
+
+    d, root = "/root/testdata/sf0.001", f"file://{tmp_path}/runs"
+    raw, seen = cut(Q._clinical(spark, d)), spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    enc = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS k", *[f"{x} AS {n}" for n, x in Q._BASE.items()])
+    usual, strict = C.Scenario(name="usual", columns=Q._CC), C.Scenario(name="strict", columns=Q._CC, organ_hours=1, shock_hours=1)
+    C.run_and_compare(spark, raw.mapInArrow(read, raw.schema), enc, usual, strict, root)
+    assert seen.value == raw.count()  # the events are read once for both
+    lazy = C.run(spark, raw, enc, strict)
+    assert all(sorted(map(repr, spark.read.parquet(f"{root}/{t}/scenario=strict").collect())) == sorted(map(repr, lazy[t].collect())) for t in ("agg", "o2vent", "sepsis1", "sepsis2", "sepsis3"))
+    other = C.Scenario(name="other", columns=Q._CC, bounds={"Pulse": (0, 100)})
+    C.run_scenario(spark, raw.mapInArrow(read, raw.schema), enc, other, root, after=usual)
+    assert seen.value == 2 * raw.count()
+
+
 def test_a_broken_run_goes_on(spark, tmp_path):
     from tidemark.plans import cohort_queries as Q
 
